@@ -67,11 +67,15 @@ def segment_share(df: DataFrame, segment: str, measure: Column, by: Sequence[str
 
     The largest is the headline. The window goes over one row per segment.
     """
-    sums = df.groupBy(*by, segment).agg(F.sum(measure).cast("double").alias("valor"))
-    first = Window.partitionBy(*by).orderBy(F.col("valor").desc(), segment)
-    total = F.sum("valor").over(Window.partitionBy(*by))
-    return sums.withColumn("participacion", ratio(F.col("valor"), total)).withColumn(
-        "principal", F.row_number().over(first) == 1
+    sums = df.groupBy(*by, segment).agg(F.sum(measure).alias("suma"))
+    first = Window.partitionBy(*by).orderBy(F.col("suma").desc(), segment)
+    total = F.sum("suma").over(Window.partitionBy(*by))
+    return sums.select(
+        *by,
+        segment,
+        F.col("suma").cast("double").alias("valor"),
+        ratio(F.col("suma"), total).alias("participacion"),
+        (F.row_number().over(first) == 1).alias("principal"),
     )
 
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsboard import schema
 from opsboard.functions import calendar, numbers
-from opsboard.operators import cards, filters, metrics, panels, series
+from opsboard.operators import cards, filters, metrics, series
 from opsboard.plans import testdata
 from opsboard.plans.catalog import Query
+from opsboard.plans.service_board import SERVICES_SQL
 from opsboard.plans.testdata import amount, customer_lines, kpi_actuals, order_lines, segment_months, table
 from opsboard.sources.dictionaries import small_table, with_label
 
@@ -349,8 +350,8 @@ def kpi_programme_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = calendar.quarter_start(F.col("o_orderdate")).alias("inicio")
     done = metrics.rows_where(F.col("o_orderstatus") == "F")
     quarters = metrics.ratio_kpi(table(spark, sf_dir, "orders"), done, F.lit(1), [start]).drop("ratio")
-    so_far = panels.Window.orderBy("inicio").rowsBetween(panels.Window.unboundedPreceding, 0)
-    everything = panels.Window.partitionBy()
+    so_far = Window.orderBy("inicio").rowsBetween(Window.unboundedPreceding, 0)
+    everything = Window.partitionBy()
     return quarters.select(
         "inicio",
         calendar.quarter_label(F.col("inicio")).alias("periodo_label"),
@@ -414,12 +415,6 @@ WHERE mes < (SELECT max(mes) FROM act)
 """
 
 
-def _services_sql(tail: str) -> str:
-    from opsboard.plans.service_board import _SERVICES_SQL
-
-    return _SERVICES_SQL + tail
-
-
 _CASES_SQL = """
 SELECT nodo, CAST(sum(servicios) AS BIGINT) AS medida, count(DISTINCT agente) AS entidades,
   CAST(sum(servicios) AS BIGINT) / count(DISTINCT agente) AS por_entidad
@@ -541,10 +536,11 @@ SELECT kpi_id, pais, count(*) AS puntos, min(least(v, coalesce(ci_lower, v), coa
         kpi_revenue_mix,
         _FACTS_SQL
         + """
-, mix AS (SELECT c_mktsegment AS segmento, CAST(sum(amount) AS DOUBLE) AS valor FROM priced
+, mix AS (SELECT c_mktsegment AS segmento, sum(amount) AS suma FROM priced
   JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
-SELECT segmento, valor, round(valor / sum(valor) OVER (), 12) AS participacion,
-  row_number() OVER (ORDER BY valor DESC, segmento) = 1 AS principal FROM mix""",
+SELECT segmento, CAST(suma AS DOUBLE) AS valor,
+  CAST(suma AS DOUBLE) / CAST(sum(suma) OVER () AS DOUBLE) AS participacion,
+  row_number() OVER (ORDER BY suma DESC, segmento) = 1 AS principal FROM mix""",
     ),
     "kpi_concentration": Query(
         kpi_concentration,
@@ -669,16 +665,15 @@ SELECT inicio, {_QUARTER_LABEL} AS periodo_label,
   SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS inicio,
     count(*) FILTER (o_orderstatus = 'F') AS n, count(*) AS d FROM orders GROUP BY ALL)""",
     ),
-    "kpi_cases_per_agent": Query(kpi_cases_per_agent, _services_sql(_CASES_SQL)),
+    "kpi_cases_per_agent": Query(kpi_cases_per_agent, SERVICES_SQL + _CASES_SQL),
     "kpi_cases_card": Query(
         kpi_cases_card,
-        _services_sql(
-            f"""
+        SERVICES_SQL
+        + f"""
 , cases AS ({_CASES_SQL})
 SELECT true AS pendiente_sin_filas, false AS pendiente, CAST(count(*) AS INTEGER) AS filas,
   string_agg(nodo || ' ' || rtrim(rtrim(format('{{:,.3f}}', por_entidad), '0'), '.'), ' | ' ORDER BY nodo) AS texto
-FROM cases"""
-        ),
+FROM cases""",
     ),
     "kpi_cost_to_serve": Query(
         kpi_cost_to_serve,

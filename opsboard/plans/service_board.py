@@ -98,7 +98,7 @@ PICKED = Selection(
     coordinadores=("Supplier#000000002", "Supplier#000000003", "C5", "C6", "(Sin asignar)"),
 )
 
-_SERVICES_SQL = """
+SERVICES_SQL = """
 WITH lines AS (
   SELECT r_name AS nodo, n_name AS soa, CAST(c_custkey AS VARCHAR) AS idcuenta,
     CASE WHEN c_custkey % 50 = 0 THEN 'Prueba ' || c_name
@@ -298,11 +298,11 @@ def _agent_options(services: DataFrame) -> DataFrame:
 
 
 def _s(panel: Callable[[DataFrame], DataFrame], sql: str) -> Query:
-    return Query(_over_services(panel), _SERVICES_SQL + sql)
+    return Query(_over_services(panel), SERVICES_SQL + sql)
 
 
 QUERIES: dict[str, Query] = {
-    "svc_clean_summary": Query(_two_extracts_summary, _SERVICES_SQL + _CLEAN_SQL),
+    "svc_clean_summary": Query(_two_extracts_summary, SERVICES_SQL + _CLEAN_SQL),
     "svc_kpi_block": _s(panels.kpi_block, _KPI_SQL),
     "svc_status_share": _s(panels.status_share, _STATUS_SHARE_SQL),
     "svc_monthly_trend": _s(panels.monthly_trend, _TREND_SQL),
@@ -319,12 +319,12 @@ QUERIES: dict[str, Query] = {
     "svc_detail": _s(panels.detail_table, _DETAIL_SQL + " GROUP BY ALL"),
     "svc_filtered_detail": Query(
         _filtered_detail,
-        _SERVICES_SQL
+        SERVICES_SQL
         + _DETAIL_SQL
         + f" AND {_PICKED_SQL} AND agente IN ('Supplier#000000002', 'Supplier#000000003', 'C5', 'C6', '(Sin asignar)')"
         + " GROUP BY ALL",
     ),
-    "svc_empty_filter": Query(_empty_filter, _SERVICES_SQL + _DETAIL_SQL + " AND nodo = 'NOWHERE' GROUP BY ALL"),
+    "svc_empty_filter": Query(_empty_filter, SERVICES_SQL + _DETAIL_SQL + " AND nodo = 'NOWHERE' GROUP BY ALL"),
     "svc_nodos": _s(
         lambda s: options.members(s, "nodo"), "SELECT DISTINCT nodo FROM services WHERE nodo IS NOT NULL"
     ),

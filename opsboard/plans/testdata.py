@@ -156,10 +156,16 @@ def kpi_actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.coalesce(F.sum(F.when(F.col("l_returnflag") == "R", amount())), zero).alias("siniestralidad"),
         )
     )
+    amounts = {
+        "INGRESOS": F.col("ingresos"),
+        "SINIESTRALIDAD": F.col("siniestralidad"),
+        "EBITDA": F.col("ingresos") - F.col("siniestralidad"),
+    }
     kpis = F.array(
-        F.struct(F.lit("INGRESOS").alias("kpi_id"), F.col("ingresos").cast("decimal(38,4)").alias("valor")),
-        F.struct(F.lit("SINIESTRALIDAD"), F.col("siniestralidad").cast("decimal(38,4)")),
-        F.struct(F.lit("EBITDA"), (F.col("ingresos") - F.col("siniestralidad")).cast("decimal(38,4)")),
+        *[
+            F.struct(F.lit(kpi).alias("kpi_id"), valor.cast("decimal(38,4)").alias("valor"))
+            for kpi, valor in amounts.items()
+        ]
     )
     bounded = F.month("mes") % 3 != 0
     valor = F.col("valor").cast("double")
