@@ -42,24 +42,18 @@ def per_entity(df: DataFrame, measure: Column, entity: str, by: Sequence[str | C
 def topn_concentration(df: DataFrame, key: str, measure: Column, n: int = 10) -> DataFrame:
     """What the ``n`` largest members hold of everything.
 
-    Member sums and the grand total come from one pass; sorting keeps ``n`` + 2 rows (the total,
-    perhaps the rows without a member, and the members), which is all the last step sees.
+    Sorting keeps ``n`` + 1 sums (rows without a member may be one of them). The grand total, a
+    scalar, adds up the same member sums from the same shuffle.
     """
-    largest = [F.col("es_total").desc(), F.col("valor").desc(), F.col(key).asc()]
-    few = (
-        df.groupingSets([[key], []], key)
-        .agg(F.sum(measure).alias("valor"), F.grouping(key).alias("es_total"))
-        .orderBy(*largest)
-        .limit(n + 2)
-    )
-    is_member = (F.col("es_total") == 0) & F.col(key).isNotNull()
-    placed = few.withColumn(
-        "pos", F.sum(F.when(is_member, 1).otherwise(0)).over(Window.orderBy(*largest))
+    sums = df.groupBy(key).agg(F.sum(measure).alias("valor"))
+    largest = [F.col("valor").desc(), F.col(key).asc()]
+    few = sums.orderBy(*largest).limit(n + 1).filter(F.col(key).isNotNull()).orderBy(*largest).limit(n)
+    total = sums.agg(F.sum("valor").cast("double").alias("total")).scalar()
+    return (
+        few.agg(F.sum("valor").cast("double").alias("top"))
+        .withColumn("total", total)
+        .withColumn("concentracion", ratio(F.col("top"), F.col("total")))
     )
-    return placed.agg(
-        F.sum(F.when(is_member & (F.col("pos") <= n), F.col("valor"))).cast("double").alias("top"),
-        F.max(F.when(F.col("es_total") == 1, F.col("valor"))).cast("double").alias("total"),
-    ).withColumn("concentracion", ratio(F.col("top"), F.col("total")))
 
 
 def segment_share(df: DataFrame, segment: str, measure: Column, by: Sequence[str] = ()) -> DataFrame:

@@ -40,10 +40,12 @@ def pct_of(part: Column, total: Column) -> Column:
 def kpi_block(services: DataFrame) -> DataFrame:
     """Total, active accounts, countries, and shares concluded and cancelled.
 
-    The total counts all rows; the shares are of rows that have a status, known or not.
+    The total counts all rows; the shares are of rows that have a status, known or not. Rows are
+    summed per account first, so the distinct counts fan out over accounts and not over rows.
     """
     estatus = F.col("estatus")
-    sums = services.groupBy(BY).agg(
+    accounts = services.groupBy(BY, "soa", "cuenta", "estatus").agg(services_sum().alias("servicios"))
+    sums = accounts.groupBy(BY).agg(
         services_sum().alias("servicios_totales"),
         F.count_distinct("cuenta").alias("cuentas_activas"),
         F.count_distinct("soa").alias("paises"),
@@ -106,30 +108,35 @@ def monthly_trend(services: DataFrame) -> DataFrame:
     )
 
 
-def _ranked_with_total(groups: DataFrame, member: str, top: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Best ``top`` members and the grand total they are a share of.
+def _totals(groups: DataFrame) -> DataFrame:
+    """Grand total per perspective, from sums already made: one row each, so it can be broadcast.
 
-    ``groups`` has one row per member, one for the null member if there is one, and one total row
-    (``es_total`` = 1) per perspective. Ranking first keeps ``top`` + 2 rows per perspective, and
-    Spark does so before the shuffle, so whatever follows sees a handful of rows.
+    Where the same sums are listed too, both read one shuffle of them (exchange reuse). That needs
+    the null group to be there until the total is attached, which is why :func:`_share` and not a
+    filter on the member takes it out.
     """
-    best_first = [F.col("es_total").desc(), F.col("servicios").desc(), F.col(member).asc()]
-    ranked = Window.partitionBy(BY).orderBy(*best_first)
-    everyone = Window.partitionBy(BY)
-    few = groups.withColumn("lugar", F.row_number().over(ranked)).filter(F.col("lugar") <= top + 2)
-    with_total = few.withColumn("total", F.max(F.when(F.col("es_total") == 1, F.col("servicios"))).over(everyone))
-    members = with_total.filter((F.col("es_total") == 0) & F.col(member).isNotNull())
+    return groups.groupBy(BY).agg(services_sum().alias("total"))
+
+
+def _share(groups: DataFrame, totals: DataFrame, member: str) -> DataFrame:
+    """Attach ``pct`` of the grand total and drop the null group, which has no share."""
+    pct = F.when(F.col(member).isNotNull(), pct_of(F.col("servicios"), or_one(F.col("total"))))
+    return groups.join(F.broadcast(totals), BY).withColumn("pct", pct).filter(F.col("pct").isNotNull())
+
+
+def _best(groups: DataFrame, totals: DataFrame, member: str, top: int, *extra: str) -> DataFrame:
+    """The ``top`` largest members with their place and share.
+
+    Ranking comes first and keeps ``top`` + 1 rows (the null group may hold a place); Spark applies
+    such a limit before the shuffle, so what follows sees a handful of rows.
+    """
+    order = Window.partitionBy(BY).orderBy(F.col("servicios").desc(), member)
+    few = groups.withColumn("lugar", F.row_number().over(order)).filter(F.col("lugar") <= top + 1)
     return (
-        members.withColumn("pos", F.row_number().over(ranked))
+        _share(few, totals, member)
+        .withColumn("pos", F.row_number().over(order))
         .filter(F.col("pos") <= top)
-        .select(
-            BY,
-            "pos",
-            member,
-            *extra,
-            "servicios",
-            pct_of(F.col("servicios"), or_one(F.col("total"))).alias("pct"),
-        )
+        .select(BY, "pos", member, *extra, "servicios", "pct")
         .orderBy(BY, "pos")
     )
 
@@ -137,24 +144,14 @@ def _ranked_with_total(groups: DataFrame, member: str, top: int, extra: tuple[st
 def participation(services: DataFrame, member: str, top: int | None = None) -> DataFrame:
     """Sum by any dimension, largest first, and its share of *all* rows.
 
-    With ``top`` members and grand total come from the same pass (grouping sets). Without it,
-    every member is listed: dictionary dimensions add up their few sums, others take a one-row
-    total per perspective from a second, two-column aggregation.
+    ``top`` keeps the largest members only; their shares stay shares of everything.
     """
-    if top is not None:
-        groups = services.groupingSets([[BY, member], [BY]], BY, member).agg(
-            services_sum().alias("servicios"), F.grouping(member).alias("es_total")
-        )
-        return _ranked_with_total(groups, member, top)
     groups = services.groupBy(BY, member).agg(services_sum().alias("servicios"))
-    if member in schema.DICTIONARY_DIMS:
-        groups = groups.withColumn("total", F.sum("servicios").over(Window.partitionBy(BY)))
-    else:
-        totals = services.groupBy(BY).agg(services_sum().alias("total"))
-        groups = groups.join(F.broadcast(totals), BY)
+    if top is not None:
+        return _best(groups, _totals(groups), member, top)
     return (
-        groups.filter(F.col(member).isNotNull())
-        .select(BY, member, "servicios", pct_of(F.col("servicios"), or_one(F.col("total"))).alias("pct"))
+        _share(groups, _totals(groups), member)
+        .select(BY, member, "servicios", "pct")
         .orderBy(BY, F.col("servicios").desc(), member)
     )
 
@@ -166,43 +163,35 @@ def top_accounts(services: DataFrame, n: int = 15) -> DataFrame:
 def status_mix(services: DataFrame, member: str) -> DataFrame:
     """Percentage of each known status within each member, as a full member x status grid.
 
-    One pass with conditional sums, one row per member; the grid is that row unfolded. The
-    divisor counts every status, known or not; a status the member lacks has a null share. A
-    status nobody has is left out.
+    The divisor counts every status, known or not; a status the member lacks has a null share, and
+    a status nobody has is left out. Each member's sums end up in one row, and the grid is that
+    row unfolded.
     """
-    estatus = F.col("estatus")
-    rows = (
+    estatus, servicios = F.col("estatus"), F.col("servicios")
+    cells = (
         services.filter(F.col(member).isNotNull())
-        .groupBy(BY, member)
-        .agg(
-            services_sum().alias("total_miembro"),
-            F.sum(F.when(estatus.isNotNull(), F.col("servicios"))).alias("con_estatus"),
-            *[
-                # null when no row has the status, 0 when its rows add up to nothing
-                F.when(
-                    F.count(F.when(estatus == name, 1)) > 0, sum_where(estatus == name)
-                ).alias(f"s{place}")
-                for place, name in enumerate(schema.STATUSES)
-            ],
-        )
+        .groupBy(BY, member, "estatus")
+        .agg(services_sum().alias("servicios"))
+    )
+    used = cells.groupBy(BY, "estatus").agg(F.sum("servicios").alias("usado")).filter("usado != 0")
+    rows = cells.groupBy(BY, member).agg(
+        services_sum().alias("total_miembro"),
+        F.sum(F.when(estatus.isNotNull(), servicios)).alias("con_estatus"),
+        *[F.sum(F.when(estatus == name, servicios)).alias(f"s{ord}") for ord, name in enumerate(schema.STATUSES)],
     )
-    cells = F.array(
+    grid = F.array(
         *[
-            F.struct(F.lit(place).alias("ord"), F.lit(name).alias("estatus"), F.col(f"s{place}").alias("servicios"))
-            for place, name in enumerate(schema.STATUSES)
+            F.struct(F.lit(ord).alias("ord"), F.lit(name).alias("estatus"), F.col(f"s{ord}").alias("servicios"))
+            for ord, name in enumerate(schema.STATUSES)
         ]
     )
-    grid = rows.select(BY, member, "total_miembro", "con_estatus", F.inline(cells))
-    if member in schema.DICTIONARY_DIMS:
-        used = F.sum("servicios").over(Window.partitionBy(BY, "ord"))
-        grid = grid.withColumn("usado", used).filter("usado != 0")
-    else:
-        used = grid.groupBy(BY, "ord").agg(F.sum("servicios").alias("usado")).filter("usado != 0")
-        grid = grid.join(F.broadcast(used), [BY, "ord"], "left_semi")
-    share = F.try_divide(F.col("servicios"), F.col("con_estatus")) * 100
-    return grid.select(
-        BY, member, "total_miembro", "ord", "estatus", "servicios", share.alias("pct")
-    ).orderBy(BY, "total_miembro", member, "ord")
+    share = F.try_divide(servicios, F.col("con_estatus")) * 100
+    return (
+        rows.select(BY, member, "total_miembro", "con_estatus", F.inline(grid))
+        .join(F.broadcast(used), [BY, "estatus"], "left_semi")
+        .select(BY, member, "total_miembro", "ord", "estatus", "servicios", share.alias("pct"))
+        .orderBy(BY, "total_miembro", member, "ord")
+    )
 
 
 def hierarchy_rollup(services: DataFrame) -> DataFrame:
@@ -248,10 +237,7 @@ def top_agents(services: DataFrame, n: int = 15) -> DataFrame:
     )
     codigo = F.coalesce(F.nullif(F.array_join(F.array_sort("codes"), "/"), F.lit("")), F.lit(schema.NO_CODE))
     named = agents.select(BY, "agente", codigo.alias("codigo"), "servicios")
-    groups = named.groupingSets([[BY, "agente", "codigo"], [BY]], BY, "agente", "codigo").agg(
-        services_sum().alias("servicios"), F.grouping("agente").alias("es_total")
-    )
-    return _ranked_with_total(groups, "agente", n, ("codigo",))
+    return _best(named, _totals(pairs), "agente", n, "codigo")
 
 
 def detail_table(services: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ FROM (SELECT {by}, {num} AS numerador, {den} AS denominador FROM {source} GROUP
 
 
 def kpi_mom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.month_over_month(series.monthly_total(kpi_actuals(spark, sf_dir))).orderBy("kpi_id", "mes")
+    return series.month_over_month(series.monthly_total(kpi_actuals(spark, sf_dir)))
 
 
 def kpi_mom_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +116,7 @@ def kpi_target_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = metrics.with_target(
         series.monthly_total(kpi_actuals(spark, sf_dir)), small_table(spark, GAP_TARGETS, struct)
     )
-    return metrics.target_gap(points, F.col("valor"), F.col("target"), F.col("direction")).orderBy("kpi_id", "mes")
+    return metrics.target_gap(points, F.col("valor"), F.col("target"), F.col("direction"))
 
 
 def kpi_slicers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,7 @@ def kpi_slicers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         with_label(chosen, names, "pais", label="n_name")
         .select("kpi_id", "mes", "pais", "etiqueta", F.col("valor").cast("double").alias("valor"))
-        .orderBy("kpi_id", "pais", "mes")
+        
     )
 
 
@@ -137,17 +137,17 @@ def kpi_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
     trend = filters.without_gaps(
         series.monthly_total(forecast.filter("kpi_id <> 'SINIESTRALIDAD'"), ("kpi_id", "escenario"))
     )
-    return series.trend_or_bars(bars, trend).orderBy("kpi_id", "mes")
+    return series.trend_or_bars(bars, trend)
 
 
 def kpi_without_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     real = filters.scenario_filter(kpi_actuals(spark, sf_dir), with_forecast=False)
-    return series.monthly_total(real).orderBy("kpi_id", "mes")
+    return series.monthly_total(real)
 
 
 def kpi_series_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = kpi_actuals(spark, sf_dir).withColumn("valor", F.col("valor").cast("double"))
-    return series.series_profile(points, ("kpi_id", "pais")).orderBy("kpi_id", "pais")
+    return series.series_profile(points, ("kpi_id", "pais"))
 
 
 def kpi_quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,17 +171,17 @@ def kpi_grouped_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrays = series.to_grouped(
         _segment_points(spark, sf_dir), "segmento", calendar.month_label(F.col("mes")), "mes"
     )
-    return series.grouped_long(arrays).orderBy("name", "pos")
+    return series.grouped_long(arrays)
 
 
 def kpi_grouped_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.grouped_wide(kpi_grouped_long(spark, sf_dir), SEGMENTS).orderBy("pos")
+    return series.grouped_wide(kpi_grouped_long(spark, sf_dir), SEGMENTS)
 
 
 def kpi_revenue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.segment_share(
         customer_lines(spark, sf_dir).withColumnRenamed("c_mktsegment", "segmento"), "segmento", amount()
-    ).orderBy(F.col("valor").desc())
+    )
 
 
 def kpi_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +209,7 @@ def kpi_cagr(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.sum("valor").cast("double").alias("valor"))
     )
     grown = series.cagr(yearly, ("segmento",))
-    return grown.withColumn("cagr", F.round("cagr", 9)).orderBy("segmento")
+    return grown.withColumn("cagr", F.round("cagr", 9))
 
 
 # ---- ratios -----------------------------------------------------------------------------
@@ -317,11 +317,11 @@ def kpi_fcr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kpi_abandonment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.gone_next_month(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate").orderBy("mes")
+    return metrics.gone_next_month(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate")
 
 
 def kpi_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.gone_next_month(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_shipdate").orderBy("mes")
+    return metrics.gone_next_month(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_shipdate")
 
 
 def kpi_abandonment_change(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,7 +361,7 @@ def kpi_programme_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kpi_cases_per_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
     services = testdata.services(spark, sf_dir).filter("perspectiva = 'gestion' AND nodo IS NOT NULL")
-    return metrics.per_entity(services, F.col("servicios"), "agente", ["nodo"]).orderBy("nodo")
+    return metrics.per_entity(services, F.col("servicios"), "agente", ["nodo"])
 
 
 def kpi_cases_card(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,7 +395,7 @@ def kpi_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("o_orderpriority").alias("title"), state.alias("subtitle"), told.alias("status"))
         .agg(F.count("*").alias("pedidos"))
         .withColumn("colour", cards.milestone_colour(F.col("status")))
-        .orderBy("title", "subtitle")
+        
     )
 
 

@@ -62,10 +62,6 @@ DIMENSIONS = {
     "agente": "Coordinador de cabina",
 }
 
-# Dimensions whose members come from a dictionary: their count does not grow with the data, so
-# a window over the *aggregated* members is small. Accounts and coordinators are not among them.
-DICTIONARY_DIMS = frozenset({"nodo", "soa", "estatus"})
-
 # Fallbacks and the pattern of accounts that are not real customers.
 UNASSIGNED = "(Sin asignar)"
 NO_CODE = "—"

@@ -63,11 +63,13 @@ def rejected_dates(raw: DataFrame, date_format: str | None = None) -> DataFrame:
 
 def clean(services: DataFrame, test_accounts: str = schema.TEST_ACCOUNTS) -> DataFrame:
     """Leave out test accounts; derive month, coordinator and coordinator code."""
-    return (
-        services.filter(~is_test_account(F.col("cuenta"), test_accounts))
-        .withColumn("mes", month_start(F.col("periodo")))
-        .withColumn("agente", coordinator_name(F.col("nombre"), F.col("coordinador")))
-        .withColumn("coord_code", coordinator_code(F.col("coordinador")))
+    nombre, code = F.col("nombre"), F.col("coordinador")
+    return services.filter(~is_test_account(F.col("cuenta"), test_accounts)).withColumns(
+        {
+            "mes": month_start(F.col("periodo")),
+            "agente": coordinator_name(nombre, code),
+            "coord_code": coordinator_code(code),
+        }
     )
 
 
