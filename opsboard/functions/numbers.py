@@ -92,16 +92,19 @@ def percent(ratio: Column, digits: int = 1) -> Column:
 
 
 def grouped_number(value: Column) -> Column:
-    """Thousands separated by commas, at most three decimals."""
+    """Thousands separated by commas, at most three decimals.
+
+    Locale-aware formatting rounds the shortest decimal text of a number, unlike fixed decimals, so
+    here Spark's own cast to decimal is right.
+    """
     value = value.cast("double")
 
-    def written(thousandths: Column) -> Column:
-        decimals = F.regexp_replace(F.lpad((thousandths % 1000).cast("string"), 3, "0"), "0+$", "")
-        whole = F.format_number(((thousandths - thousandths % 1000) / 1000).cast("long"), 0)
+    def written(rounded: Column) -> Column:
+        whole = F.format_number(F.floor(rounded), 0)
+        decimals = F.regexp_replace(F.right(rounded.cast("string"), F.lit(3)), "0+$", "")
         return F.concat(whole, F.when(decimals == "", "").otherwise(F.concat(F.lit("."), decimals)))
 
-    sign = F.when(value < 0, "-").otherwise("")
-    return F.concat(sign, _named(_rounded_units(F.abs(value), 3, "away"), written))
+    return F.concat(F.when(value < 0, "-").otherwise(""), _named(F.abs(value).cast("decimal(25,3)"), written))
 
 
 def by_kind(value: Column, kind: Column, unit: Column) -> Column:

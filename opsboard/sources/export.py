@@ -27,6 +27,11 @@ def write_detail_csv(detail: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def write_services(services: DataFrame, path: str, mode: str = "error") -> None:
-    """Clean services as parquet by perspective and month, so period filters prune directories."""
+    """Clean services as parquet by perspective and month, so period filters prune directories.
+
+    Rebalancing brings the rows of a month together in files of the advisory size: few files for a
+    small month, many writing tasks for a big one.
+    """
     columns = [c for c in schema.SERVICES.names if c in services.columns]
-    services.select(*columns).write.mode(mode).partitionBy("perspectiva", "mes").parquet(path)
+    layout = ["perspectiva", "mes"]
+    services.select(*columns).hint("rebalance", *layout).write.mode(mode).partitionBy(*layout).parquet(path)

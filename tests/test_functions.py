@@ -1,0 +1,108 @@
+import datetime as dt
+import random
+from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from opsboard.functions import calendar, numbers, text
+
+
+def one_column(spark, values, kind, expression):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, x {kind}")
+    return [r[0] for r in df.orderBy("i").select(expression(F.col("x"))).collect()]
+
+
+def test_strip_takes_every_kind_of_white_space(spark):
+    values = ["\t Ana \n", " Ana ", "A na", "   ", "", None, "\x1cAna　"]
+    assert one_column(spark, values, "string", text.strip) == ["Ana", "Ana", "A na", "", "", None, "Ana"]
+
+
+def test_white_space_is_what_unicode_says():
+    assert set(text.WHITESPACE) == {chr(i) for i in range(0x110000) if chr(i).isspace()}
+
+
+def test_coordinator_falls_back_to_code_then_to_marker(spark):
+    df = spark.createDataFrame(
+        [(0, " Ana ", "7"), (1, "  ", " 7\t"), (2, None, "007"), (3, None, None), (4, "", " ")],
+        "i int, n string, c string",
+    ).orderBy("i")
+    got = [tuple(r) for r in df.select(text.coordinator_name(F.col("n"), F.col("c")), text.coordinator_code(F.col("c"))).collect()]
+    assert got == [("Ana", "7"), ("7", "7"), ("007", "007"), ("(Sin asignar)", "—"), ("(Sin asignar)", "—")]
+
+
+def test_test_accounts_in_any_case_but_never_null(spark):
+    values = ["PRUEBA uno", "x iKaTech y", "No Aperturar", "Seguros", None, "no  apertur"]
+    assert one_column(spark, values, "string", text.is_test_account) == [True, True, True, False, False, False]
+
+
+def test_month_labels_and_periods(spark):
+    days = [dt.date(2025, 1, 31), dt.date(2026, 6, 1), dt.date(2026, 12, 9), None]
+    assert one_column(spark, days, "date", calendar.month_label) == ["Ene 2025", "Jun 2026", "Dic 2026", None]
+    assert one_column(spark, days, "date", calendar.quarter_label) == ["Q1'25", "Q2'26", "Q4'26", None]
+    assert one_column(spark, days, "date", calendar.half_year_label)[:3] == ["1er Sem'25", "1er Sem'26", "2do Sem'26"]
+    assert one_column(spark, days, "date", calendar.half_year_start)[:3] == [
+        dt.date(2025, 1, 1), dt.date(2026, 1, 1), dt.date(2026, 7, 1)
+    ]
+    assert one_column(spark, days, "date", calendar.month_start) == [
+        dt.date(2025, 1, 1), dt.date(2026, 6, 1), dt.date(2026, 12, 1), None
+    ]
+
+
+def test_months_covered_is_half_open_over_month_starts():
+    assert calendar.months_covered(dt.date(2025, 1, 1), dt.date(2025, 12, 1)) == (dt.date(2025, 1, 1), dt.date(2026, 1, 1))
+    assert calendar.months_covered(dt.date(2025, 1, 2), dt.date(2025, 3, 9)) == (dt.date(2025, 2, 1), dt.date(2025, 4, 1))
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2, 3])
+def test_fixed_rounds_the_exact_binary_value(spark, digits):
+    random.seed(digits)
+    values = [0.15, 0.25, 0.35, 2.5, 1.005, -0.0001, 99.95, 0.0, -2.5, 999.995]
+    values += [random.uniform(-1000, 1000) for _ in range(300)]
+    values += [round(random.uniform(0, 100), 2) for _ in range(300)]
+    values += [random.randrange(100000) / 16 for _ in range(300)]
+    place = Decimal(1).scaleb(-digits)
+    even = one_column(spark, values, "double", lambda x: numbers.fixed(x, digits, "even"))
+    away = one_column(spark, values, "double", lambda x: numbers.fixed(x, digits, "away"))
+    assert even == [str(Decimal(v).quantize(place, ROUND_HALF_EVEN)) for v in values]
+    assert away == [str(Decimal(v).quantize(place, ROUND_HALF_UP)) for v in values]
+
+
+def test_compact_money(spark):
+    values = [17566000.0, 1434000.0, -866560.0, 2.5e9, 12.345, 0.0]
+    assert one_column(spark, values, "double", numbers.compact_money) == [
+        "17.566M", "1.434M", "-866.56K", "2.50B", "12.35", "0.00"
+    ]
+    assert one_column(spark, values, "double", lambda x: numbers.compact_money(x, 0)) == [
+        "18M", "1M", "-867K", "3B", "12", "0"
+    ]
+
+
+def test_compact_count_and_grouped_number(spark):
+    values = [85450.0, 1250000.0, 2500.0, -2500.0, 8.5, 259.0]
+    assert one_column(spark, values, "double", numbers.compact_count) == ["85K", "1.3M", "3K", "-2K", "8.5", "259"]
+    values = [85450.0, 1234567.8915, 0.5, -1200.0, 999.9996]
+    assert one_column(spark, values, "double", numbers.grouped_number) == [
+        "85,450", "1,234,567.892", "0.5", "-1,200", "1,000"
+    ]
+
+
+def test_value_by_kind(spark):
+    df = spark.createDataFrame(
+        [(0, 0.18, "percent", "%"), (1, 1.5, "ratio", ""), (2, 7514000.0, "currency", "USD"), (3, 20.0, "ms", "ms"), (4, None, "currency", "USD")],
+        "i int, v double, k string, u string",
+    ).orderBy("i")
+    got = [r[0] for r in df.select(numbers.by_kind(F.col("v"), F.col("k"), F.col("u"))).collect()]
+    assert got == ["18.00%", "1.500", "7.514M USD", "20.00 ms", None]
+
+
+def test_delta_label_and_arrow(spark):
+    deltas = [0.00123, -0.05, 0.125, -0.625, 0.0, None, 0.009999, -0.00001]
+    assert one_column(spark, deltas, "double", numbers.delta_label) == [
+        "0.123%", "-5.0%", "13%", "-62%", "0.000%", None, "1.000%", "-0.001%"
+    ]
+    assert one_column(spark, deltas, "double", numbers.direction_arrow) == ["↗", "↘", "↗", "↘", "→", None, "↗", "↘"]
+
+
+def test_percent(spark):
+    assert one_column(spark, [0.007, 0.991, 1.0], "double", numbers.percent) == ["0.7%", "99.1%", "100.0%"]
