@@ -1,5 +1,6 @@
 import datetime as dt
 import glob
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,7 +108,7 @@ def test_kpi_facts_conform_to_the_contract(spark, tmp_path):
     assert facts.columns == schema.KPI_ACTUALS.names
     assert facts.first().asDict() == {
         "kpi_id": "K", "mes": dt.date(2025, 1, 1), "pais": None, "escenario": None,
-        "valor": __import__("decimal").Decimal("1.5000"), "ci_lower": None, "ci_upper": None,
+        "valor": Decimal("1.5000"), "ci_lower": None, "ci_upper": None,
     }
     with pytest.raises(ValueError, match="mes"):
         kpi_facts.conform(spark.sql("SELECT 'K' AS kpi_id"), schema.KPI_ACTUALS)
