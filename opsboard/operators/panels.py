@@ -69,20 +69,40 @@ def small_slice_label(part: Column, total: Column) -> Column:
     return F.when(part / total >= 0.01, F.concat(fixed(pct_of(part, total), 1, "even"), F.lit("%"))).otherwise("")
 
 
+def _unfolded(*columns: str) -> Column:
+    """One row per known status from one value column per status, in display order."""
+    return F.inline(
+        F.array(
+            *[
+                F.struct(F.lit(ord).alias("ord"), F.lit(name).alias("estatus"), F.col(value).alias("servicios"))
+                for ord, (name, value) in enumerate(zip(schema.STATUSES, columns))
+            ]
+        )
+    )
+
+
+def status_totals(services: DataFrame) -> DataFrame:
+    """Sum of each known status, 0 where there is none; other statuses do not appear.
+
+    The domain is completed by conditional sums unfolded into rows, so no join with it is needed.
+    """
+    sums = [f"s{ord}" for ord in range(len(schema.STATUSES))]
+    folded = services.groupBy(BY).agg(
+        *[sum_where(F.col("estatus") == name).alias(s) for name, s in zip(schema.STATUSES, sums)]
+    )
+    return folded.select(BY, _unfolded(*sums))
+
+
 def status_share(services: DataFrame) -> DataFrame:
     """Known statuses with a positive sum, in display order, and their share of each other."""
-    sums = (
-        services.filter(F.col("estatus").isin(*schema.STATUSES))
-        .groupBy(BY, "estatus")
-        .agg(services_sum().alias("servicios"))
-        .filter("servicios > 0")
-    )
     total = F.sum("servicios").over(Window.partitionBy(BY))  # at most four rows per perspective
     return (
-        sums.withColumn("total", total)
+        status_totals(services)
+        .filter("servicios > 0")
+        .withColumn("total", total)
         .select(
             BY,
-            status_order(F.col("estatus")).alias("ord"),
+            "ord",
             "estatus",
             "servicios",
             (F.col("servicios") / F.col("total")).alias("participacion"),
@@ -168,6 +188,7 @@ def status_mix(services: DataFrame, member: str) -> DataFrame:
     row unfolded.
     """
     estatus, servicios = F.col("estatus"), F.col("servicios")
+    sums = [f"s{ord}" for ord in range(len(schema.STATUSES))]
     cells = (
         services.filter(F.col(member).isNotNull())
         .groupBy(BY, member, "estatus")
@@ -177,17 +198,11 @@ def status_mix(services: DataFrame, member: str) -> DataFrame:
     rows = cells.groupBy(BY, member).agg(
         services_sum().alias("total_miembro"),
         F.sum(F.when(estatus.isNotNull(), servicios)).alias("con_estatus"),
-        *[F.sum(F.when(estatus == name, servicios)).alias(f"s{ord}") for ord, name in enumerate(schema.STATUSES)],
-    )
-    grid = F.array(
-        *[
-            F.struct(F.lit(ord).alias("ord"), F.lit(name).alias("estatus"), F.col(f"s{ord}").alias("servicios"))
-            for ord, name in enumerate(schema.STATUSES)
-        ]
+        *[F.sum(F.when(estatus == name, servicios)).alias(s) for name, s in zip(schema.STATUSES, sums)],
     )
     share = F.try_divide(servicios, F.col("con_estatus")) * 100
     return (
-        rows.select(BY, member, "total_miembro", "con_estatus", F.inline(grid))
+        rows.select(BY, member, "total_miembro", "con_estatus", _unfolded(*sums))
         .join(F.broadcast(used), [BY, "estatus"], "left_semi")
         .select(BY, member, "total_miembro", "ord", "estatus", "servicios", share.alias("pct"))
         .orderBy(BY, "total_miembro", member, "ord")

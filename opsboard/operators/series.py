@@ -46,7 +46,9 @@ def change_vs(
 
     Adds ``base``, ``pendiente`` and ``delta``.
     """
-    if base == "previous_month":
+    if not isinstance(base, str):
+        against = (base if isinstance(base, Column) else F.lit(base)).cast("double")
+    elif base == "previous_month":
         against = months_before(value, keys, 1)
     elif base == "same_month_last_year":
         against = months_before(value, keys, 12)
@@ -56,7 +58,7 @@ def change_vs(
         )
         against = F.first(value).over(since_start)
     else:
-        against = (base if isinstance(base, Column) else F.lit(base)).cast("double")
+        raise ValueError(f"unknown base: {base}")
     current, reference = F.col(value), F.col("base")
     return (
         points.withColumn("base", against)
@@ -164,6 +166,20 @@ def by_period(
     )
 
 
+def baseline_first(points: DataFrame, baseline: DataFrame, label: str = "Baseline") -> DataFrame:
+    """A period series with its baseline in front, and every point's change against it.
+
+    ``points`` has ``inicio``, ``periodo_label`` and ``valor``; ``baseline`` is one row with
+    ``valor``. The baseline has no date, which sorts before all dates.
+    """
+    reference = baseline.agg(F.max("valor").alias("valor")).scalar()
+    front = baseline.select(
+        F.lit(None).cast("date").alias("inicio"), F.lit(label).alias("periodo_label"), "valor"
+    )
+    joined = front.unionByName(points.select("inicio", "periodo_label", "valor"))
+    return change_vs(joined, reference).orderBy(F.col("inicio").asc_nulls_first())
+
+
 def scenario_split(facts: DataFrame, keys: Sequence[str] = ("kpi_id",)) -> tuple[DataFrame, DataFrame]:
     """Actual points and forecast points of the same series."""
     return (

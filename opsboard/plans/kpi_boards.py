@@ -188,6 +188,29 @@ def kpi_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.topn_concentration(order_lines(spark, sf_dir), "o_custkey", amount(), 10)
 
 
+def kpi_concentration_ebitda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = F.when(F.col("l_returnflag") != "R", amount())
+    return metrics.topn_concentration(order_lines(spark, sf_dir), "o_custkey", kept, 10)
+
+
+def kpi_cycle_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean days from order to shipment per quarter, against the first year's mean."""
+    days = F.datediff("l_shipdate", "o_orderdate")
+    quarters = (
+        order_lines(spark, sf_dir)
+        .groupBy(calendar.quarter_start(F.col("o_orderdate")).alias("inicio"))
+        .agg(F.sum(days).alias("dias"), F.count(days).alias("n"))
+    )
+    first_year = F.col("inicio") < F.lit(date(1996, 1, 1))
+    mean = metrics.ratio(F.sum("dias"), F.sum("n")).alias("valor")
+    points = quarters.select(
+        "inicio",
+        calendar.quarter_label(F.col("inicio")).alias("periodo_label"),
+        metrics.ratio(F.col("dias"), F.col("n")).alias("valor"),
+    )
+    return series.baseline_first(points, quarters.filter(first_year).agg(mean))
+
+
 def kpi_yoy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.change_vs(_segment_points(spark, sf_dir), "same_month_last_year", ("segmento",))
 
@@ -330,6 +353,25 @@ def kpi_abandonment_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.month_over_month(rates)
 
 
+def kpi_absence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier days without a shipment over all supplier days of the month."""
+    suppliers = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n")).scalar()
+    present = (
+        table(spark, sf_dir, "lineitem")
+        .select("l_suppkey", F.to_date("l_shipdate").alias("dia"))
+        .distinct()
+        .groupBy(calendar.month_start(F.col("dia")).alias("mes"))
+        .agg(F.count("*").alias("presentes"))
+    )
+    expected = suppliers * F.day(F.last_day("mes"))
+    return present.withColumn("esperados", expected).select(
+        "mes",
+        (F.col("esperados") - F.col("presentes")).alias("numerador"),
+        F.col("esperados").alias("denominador"),
+        metrics.ratio(F.col("esperados") - F.col("presentes"), F.col("esperados")).alias("ratio"),
+    )
+
+
 def kpi_standardisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that meet the standard over all that were looked at, per group."""
     looked_at = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
@@ -550,6 +592,27 @@ SELECT segmento, CAST(suma AS DOUBLE) AS valor,
 s AS (SELECT CAST((SELECT sum(v) FROM (SELECT v FROM best ORDER BY v DESC, o_custkey LIMIT 10)) AS DOUBLE) AS top,
   CAST((SELECT sum(v) FROM best) AS DOUBLE) AS total)
 SELECT top, total, top / total AS concentracion FROM s""",
+    ),
+    "kpi_concentration_ebitda": Query(
+        kpi_concentration_ebitda,
+        _FACTS_SQL
+        + """
+, best AS (SELECT o_custkey, sum(amount) AS v FROM priced JOIN orders ON l_orderkey = o_orderkey
+  WHERE l_returnflag <> 'R' GROUP BY ALL),
+s AS (SELECT CAST((SELECT sum(v) FROM (SELECT v FROM best ORDER BY v DESC, o_custkey LIMIT 10)) AS DOUBLE) AS top,
+  CAST((SELECT sum(v) FROM best) AS DOUBLE) AS total)
+SELECT top, total, top / total AS concentracion FROM s""",
+    ),
+    "kpi_cycle_vs_baseline": Query(
+        kpi_cycle_vs_baseline,
+        f"""
+WITH d AS (SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS inicio,
+    date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS dias FROM {_LINES}),
+b AS (SELECT CAST(sum(dias) AS DOUBLE) / count(dias) AS base FROM d WHERE inicio < DATE '1996-01-01'),
+p AS (
+  SELECT CAST(NULL AS DATE) AS inicio, 'Baseline' AS periodo_label, base AS valor FROM b
+  UNION ALL SELECT inicio, {_QUARTER_LABEL}, CAST(sum(dias) AS DOUBLE) / count(dias) FROM d GROUP BY inicio)
+SELECT p.*, base, false AS pendiente, (valor - base) / base AS delta FROM p, b""",
     ),
     "kpi_yoy": Query(
         kpi_yoy,
@@ -640,6 +703,15 @@ SELECT dia, numerador, denominador, numerador / denominador AS ratio FROM (
     ),
     "kpi_abandonment": Query(kpi_abandonment, _ABANDONED_SQL),
     "kpi_turnover": Query(kpi_turnover, _gone_sql("lineitem", "l_suppkey", "l_shipdate")),
+    "kpi_absence": Query(
+        kpi_absence,
+        """
+WITH p AS (SELECT CAST(date_trunc('month', dia) AS DATE) AS mes, count(*) AS presentes FROM (
+    SELECT DISTINCT l_suppkey, CAST(l_shipdate AS DATE) AS dia FROM lineitem) GROUP BY ALL),
+e AS (SELECT mes, presentes, (SELECT count(*) FROM supplier) * day(last_day(mes)) AS esperados FROM p)
+SELECT mes, esperados - presentes AS numerador, esperados AS denominador,
+  (esperados - presentes) / esperados AS ratio FROM e""",
+    ),
     "kpi_abandonment_change": Query(
         kpi_abandonment_change,
         f"WITH rates AS (SELECT 'ABANDONO' AS kpi_id, mes, ratio AS valor FROM ({_ABANDONED_SQL}))"

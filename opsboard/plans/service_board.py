@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from datetime import date
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,8 +65,14 @@ class ServiceBoard:
         return cls(load_perspectives(spark, paths, **options_))
 
     def keep(self) -> ServiceBoard:
-        """Hold the cube for further panels. It is small, and lost pieces are recomputed."""
-        return ServiceBoard(self.services, self.cube.persist(StorageLevel.MEMORY_AND_DISK))
+        """Compute the cube once for all further panels.
+
+        It goes to the checkpoint folder all executors share, so no lost executor sends the panels
+        back to the extract. The folder is the cluster's to name (``spark.checkpoint.dir``).
+        """
+        if self.cube.sparkSession.sparkContext.getCheckpointDir() is None:
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        return ServiceBoard(self.services, self.cube.checkpoint())
 
     def select(self, chosen: Selection) -> ServiceBoard:
         services = apply_selection(self.services, chosen)
@@ -212,6 +217,12 @@ FROM (SELECT *, CAST(sum(servicios) OVER (PARTITION BY perspectiva) AS BIGINT) A
   FROM services JOIN domain USING (estatus) GROUP BY ALL HAVING sum(servicios) > 0))
 """
 
+_STATUS_TOTALS_SQL = """
+SELECT p.perspectiva, d.ord, d.estatus, CAST(coalesce(sum(servicios), 0) AS BIGINT) AS servicios
+FROM (SELECT DISTINCT perspectiva FROM services) p CROSS JOIN domain d
+LEFT JOIN services s ON s.perspectiva = p.perspectiva AND s.estatus = d.estatus GROUP BY ALL
+"""
+
 _TREND_SQL = """
 SELECT perspectiva, mes, ord, estatus, servicios FROM (
   SELECT *, sum(servicios) OVER (PARTITION BY perspectiva, estatus) AS serie FROM (
@@ -305,6 +316,7 @@ QUERIES: dict[str, Query] = {
     "svc_clean_summary": Query(_two_extracts_summary, SERVICES_SQL + _CLEAN_SQL),
     "svc_kpi_block": _s(panels.kpi_block, _KPI_SQL),
     "svc_status_share": _s(panels.status_share, _STATUS_SHARE_SQL),
+    "svc_status_totals": _s(panels.status_totals, _STATUS_TOTALS_SQL),
     "svc_monthly_trend": _s(panels.monthly_trend, _TREND_SQL),
     "svc_participation_nodo": _s(lambda s: panels.participation(s, "nodo"), _participation_sql("nodo")),
     "svc_participation_soa": _s(lambda s: panels.participation(s, "soa"), _participation_sql("soa")),

@@ -32,6 +32,13 @@ def test_kpi_block_without_any_status_divides_by_one(services, rows):
     assert rows(panels.kpi_block(df), "servicios_totales", "pct_concluido", "pct_cancelado") == [(7, 0.0, 0.0)]
 
 
+def test_status_totals_complete_the_domain(services, rows):
+    df = services({"estatus": NOW, "servicios": 4}, {"estatus": "Otro"}, {"estatus": None})
+    assert sorted(rows(panels.status_totals(df), "ord", "estatus", "servicios")) == [
+        (0, DONE, 0), (1, OPEN, 0), (2, NOW, 4), (3, LATER, 0)
+    ]
+
+
 def test_status_share_is_of_known_positive_statuses(services, rows):
     df = services(
         {"estatus": LATER, "servicios": 199},
@@ -263,7 +270,15 @@ def test_invariants(random_services):
     assert panels.detail_table(one).agg(F.sum("servicios")).first()[0] == keyed.agg(F.sum("servicios")).first()[0]
 
 
-def test_cube_gives_the_same_panels(random_services):
+def test_kept_cube_needs_a_shared_folder(random_services, monkeypatch):
+    monkeypatch.setattr("pyspark.SparkContext.getCheckpointDir", lambda self: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ServiceBoard(random_services).keep()
+
+
+def test_cube_gives_the_same_panels(spark, random_services, tmp_path):
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
     chosen = Selection(meses=(dt.date(2025, 2, 1), dt.date(2025, 5, 1)), nodos=("N1", "N2"))
     raw = ServiceBoard(random_services.drop("periodo")).select(chosen)
     direct = apply_selection(random_services.drop("periodo"), chosen)
