@@ -20,18 +20,18 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
-def text_or_null(text: Column) -> Column:
-    """Stripped text; blank counts as missing."""
-    return F.nullif(strip(text), F.lit(""))
+def _filled(text: Column) -> Column:
+    """Blank counts as missing."""
+    return F.nullif(text, F.lit(""))
 
 
 def coordinator_name(nombre: Column, code: Column) -> Column:
-    """Name, else code, else the unassigned marker."""
-    return F.coalesce(text_or_null(nombre), text_or_null(code), F.lit(schema.UNASSIGNED))
+    """Name, else code, else the unassigned marker; both already stripped."""
+    return F.coalesce(_filled(nombre), _filled(code), F.lit(schema.UNASSIGNED))
 
 
 def coordinator_code(code: Column) -> Column:
-    return F.coalesce(text_or_null(code), F.lit(schema.NO_CODE))
+    return F.coalesce(_filled(code), F.lit(schema.NO_CODE))
 
 
 def is_test_account(cuenta: Column, pattern: str = schema.TEST_ACCOUNTS) -> Column:

@@ -19,6 +19,11 @@ def members(services: DataFrame, column: str) -> DataFrame:
     return services.select(column).dropna().distinct().orderBy(column)
 
 
+def hierarchy_members(services: DataFrame) -> DataFrame:
+    """Distinct node, country and account: all that the lists below need of the services."""
+    return services.select("nodo", "soa", "cuenta").distinct()
+
+
 def membership(services: DataFrame, parent: str, child: str) -> DataFrame:
     """Which children occur under which parent, over all perspectives."""
     return services.select(parent, child).dropna().distinct().orderBy(parent, child)
@@ -28,7 +33,7 @@ def cascade_options(services: DataFrame, nodos: Iterable[str] = (), paises: Iter
     """Countries of the chosen nodes, and accounts of the chosen countries.
 
     With no country chosen, the accounts are those of every country offered; an account belongs to
-    a country whichever node its rows are in.
+    a country whichever node its rows are in. ``services`` may be :func:`hierarchy_members`.
     """
     offered = (
         one_of(services.filter(F.col("nodo").isNotNull()), "nodo", nodos).select("soa").dropna().distinct()

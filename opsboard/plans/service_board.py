@@ -56,29 +56,39 @@ class ServiceBoard:
     The dictionary panels read the cube, the account, coordinator and detail panels the services.
     """
 
-    def __init__(self, services: DataFrame, cube: DataFrame | None = None):
+    def __init__(self, services: DataFrame, cube: DataFrame | None = None, members: DataFrame | None = None):
         self.services = services
         self.cube = monthly_cube(services) if cube is None else cube
+        self.members = options.hierarchy_members(services) if members is None else members
 
     @classmethod
     def load(cls, spark: SparkSession, paths: Mapping[str, str], **options_) -> ServiceBoard:
         return cls(load_perspectives(spark, paths, **options_))
 
     def keep(self) -> ServiceBoard:
-        """Compute the cube once for all further panels.
+        """Compute the cube and the filter members once for all further panels.
 
-        It goes to the checkpoint folder all executors share, so no lost executor sends the panels
+        They go to the checkpoint folder all executors share, so no lost executor sends the panels
         back to the extract. The folder is the cluster's to name (``spark.checkpoint.dir``).
         """
         if self.cube.sparkSession.sparkContext.getCheckpointDir() is None:
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        return ServiceBoard(self.services, self.cube.checkpoint())
+        return ServiceBoard(self.services, self.cube.checkpoint(), self.members.checkpoint())
 
     def select(self, chosen: Selection) -> ServiceBoard:
+        """The board over a selection; what the filters offer stays that of the whole board."""
         services = apply_selection(self.services, chosen)
-        if chosen.cuentas or chosen.coordinadores:
-            return ServiceBoard(services)
-        return ServiceBoard(services, apply_selection(self.cube, chosen))
+        if chosen.cuentas or chosen.coordinadores:  # the cube does not know these
+            return ServiceBoard(services, members=self.members)
+        return ServiceBoard(services, apply_selection(self.cube, chosen), self.members)
+
+    def options(self, nodos: tuple[str, ...] = (), paises: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+        return {
+            "meses": options.members(self.cube, "mes"),
+            "nodos": options.members(self.members, "nodo"),
+            "cascada": options.cascade_options(self.members, nodos, paises),
+            "coordinadores": options.agent_options(self.services),
+        }
 
     def panels(self, top_n: int = 15) -> dict[str, DataFrame]:
         return {

@@ -44,42 +44,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---- services -------------------------------------------------------------------------
 
 
-def _account_name() -> Column:
-    key, name = F.col("c_custkey"), F.col("c_name")
-    return (
-        F.when(key % 50 == 0, F.concat(F.lit("Prueba "), name))
-        .when(key % 50 == 1, F.concat(F.lit("IKATECH "), name))
-        .when(key % 77 == 5, F.lit(None))
-        .otherwise(name)
-    )
-
-
-def _status() -> Column:
-    flag = F.col("l_returnflag")
-    return (
-        F.when(flag == "A", schema.CANCELLED_AT_ONCE)
-        .when(flag == "R", schema.CANCELLED_LATER)
-        .when(F.col("l_linestatus") == "F", schema.CONCLUDED)
-        .otherwise(schema.IN_PROGRESS)
-    )
-
-
-def _code() -> Column:
-    key = F.col("s_suppkey")
-    return (
-        F.when(key % 20 == 0, F.lit(None))
-        .when(key % 20 == 1, F.lit(""))
-        .otherwise(F.concat(F.lit(" C"), key.cast("string")))
-    )
-
-
-def _name() -> Column:
-    key = F.col("s_suppkey")
-    return (
-        F.when(key % 5 == 0, F.lit(None))
-        .when(key % 5 == 1, F.lit("   "))
-        .otherwise(F.concat(F.lit("  "), F.col("s_name"), F.lit(" ")))
-    )
+RAW_COLUMNS = [
+    "r_name AS NODO",
+    "n_name AS SOA",
+    "CAST(c_custkey AS STRING) AS `ID CUENTA`",
+    """CASE WHEN c_custkey % 50 = 0 THEN 'Prueba ' || c_name WHEN c_custkey % 50 = 1 THEN 'IKATECH ' || c_name
+       WHEN c_custkey % 77 = 5 THEN NULL ELSE c_name END AS CUENTA""",
+    """CASE WHEN l_returnflag = 'A' THEN 'Cancelado al momento' WHEN l_returnflag = 'R' THEN 'Cancelado posterior'
+       WHEN l_linestatus = 'F' THEN 'Concluido' ELSE 'En proceso' END AS STATUS""",
+    "CAST(l_quantity AS BIGINT) AS `# SERVICIOS`",
+    """CASE WHEN s_suppkey % 20 = 0 THEN NULL WHEN s_suppkey % 20 = 1 THEN ''
+       ELSE ' C' || CAST(s_suppkey AS STRING) END AS COORDINADOR""",
+    """CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 5 = 1 THEN '   '
+       ELSE '  ' || s_name || ' ' END AS NOMBRE""",
+]
 
 
 def _dated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,34 +80,19 @@ def _dated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _raw_columns() -> list[Column]:
-    return [
-        F.col("r_name").alias("NODO"),
-        F.col("n_name").alias("SOA"),
-        F.col("c_custkey").cast("string").alias("ID CUENTA"),
-        _account_name().alias("CUENTA"),
-        _status().alias("STATUS"),
-        F.col("l_quantity").cast("long").alias("# SERVICIOS"),
-        _code().alias("COORDINADOR"),
-        _name().alias("NOMBRE"),
-    ]
-
-
 def raw_extract(spark: SparkSession, sf_dir: str, perspectiva: str) -> DataFrame:
     """One perspective in the raw layout; date filters on it reach the file scan."""
-    moment = F.col("o_orderdate" if perspectiva == "apertura" else "l_shipdate")
-    return _dated_lines(spark, sf_dir).select(
-        F.lit(perspectiva).alias("perspectiva"), moment.alias("PERIODO GESTION"), *_raw_columns()
+    moment = "o_orderdate" if perspectiva == "apertura" else "l_shipdate"
+    return _dated_lines(spark, sf_dir).selectExpr(
+        f"'{perspectiva}' AS perspectiva", f"{moment} AS `PERIODO GESTION`", *RAW_COLUMNS
     )
 
 
 def raw_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both perspectives from one join: each line is unfolded into its opening and its handling."""
-    dated = F.array(
-        F.struct(F.lit("apertura").alias("perspectiva"), F.col("o_orderdate").alias("PERIODO GESTION")),
-        F.struct(F.lit("gestion").alias("perspectiva"), F.col("l_shipdate").alias("PERIODO GESTION")),
-    )
-    return _dated_lines(spark, sf_dir).select(F.inline(dated), *_raw_columns())
+    dated = """inline(array(struct('apertura' AS perspectiva, o_orderdate AS `PERIODO GESTION`),
+                            struct('gestion' AS perspectiva, l_shipdate AS `PERIODO GESTION`)))"""
+    return _dated_lines(spark, sf_dir).selectExpr(dated, *RAW_COLUMNS)
 
 
 def services(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,13 +63,19 @@ def rejected_dates(raw: DataFrame, date_format: str | None = None) -> DataFrame:
 
 def clean(services: DataFrame, test_accounts: str = schema.TEST_ACCOUNTS) -> DataFrame:
     """Leave out test accounts; derive month, coordinator and coordinator code."""
-    nombre, code = F.col("nombre"), F.col("coordinador")
-    return services.filter(~is_test_account(F.col("cuenta"), test_accounts)).withColumns(
-        {
-            "mes": month_start(F.col("periodo")),
-            "agente": coordinator_name(nombre, code),
-            "coord_code": coordinator_code(code),
-        }
+    # stripped in a step of its own: the rules below look at each text several times
+    nombre, code = F.col("_nombre"), F.col("_code")
+    return (
+        services.filter(~is_test_account(F.col("cuenta"), test_accounts))
+        .withColumns({"_nombre": strip(F.col("nombre")), "_code": strip(F.col("coordinador"))})
+        .withColumns(
+            {
+                "mes": month_start(F.col("periodo")),
+                "agente": coordinator_name(nombre, code),
+                "coord_code": coordinator_code(code),
+            }
+        )
+        .drop("_nombre", "_code")
     )
 
 

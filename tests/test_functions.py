@@ -27,7 +27,8 @@ def test_coordinator_falls_back_to_code_then_to_marker(spark):
         [(0, " Ana ", "7"), (1, "  ", " 7\t"), (2, None, "007"), (3, None, None), (4, "", " ")],
         "i int, n string, c string",
     ).orderBy("i")
-    got = [tuple(r) for r in df.select(text.coordinator_name(F.col("n"), F.col("c")), text.coordinator_code(F.col("c"))).collect()]
+    name, code = text.strip(F.col("n")), text.strip(F.col("c"))
+    got = [tuple(r) for r in df.select(text.coordinator_name(name, code), text.coordinator_code(code)).collect()]
     assert got == [("Ana", "7"), ("7", "7"), ("007", "007"), ("(Sin asignar)", "—"), ("(Sin asignar)", "—")]
 
 

@@ -288,6 +288,11 @@ def test_cube_gives_the_same_panels(spark, random_services, tmp_path):
     assert shown["nodo"].collect() == panels.participation(direct, "nodo").collect()
     assert shown["mezcla_nodo"].collect() == panels.status_mix(direct, "nodo").collect()
     assert shown["jerarquia"].collect() == panels.hierarchy_rollup(direct).collect()
+    offered = raw.keep().options(("N1",))
+    assert offered["nodos"].collect() == options.members(random_services, "nodo").collect()
+    assert offered["cascada"].collect() == options.cascade_options(random_services, ("N1",)).collect()
+    assert offered["meses"].collect() == options.members(direct, "mes").collect()
+    assert offered["coordinadores"].collect() == options.agent_options(direct).collect()
     narrowed = ServiceBoard(random_services.drop("periodo")).select(Selection(cuentas=("C1",)))
     assert narrowed.panels()["nodo"].collect() == panels.participation(
         random_services.filter("cuenta = 'C1'"), "nodo"
