@@ -79,6 +79,45 @@ def kpi_cards(facts: DataFrame, targets: DataFrame, month: date) -> DataFrame:
     )
 
 
+def card_faces(stored: DataFrame) -> DataFrame:
+    """What a board shows of its stored cards: rows if there are any, else the pending label, else
+    the ready display value; plus the second line and the target's own text."""
+    rows = F.col("rows")
+    pending = is_pending(F.col("value"), rows)
+    has_rows = F.coalesce(F.size(rows) > 0, F.lit(False))
+    second = F.col("secondary_line")
+    return stored.select(
+        "id",
+        "title",
+        "status",
+        pending.alias("pendiente"),
+        F.when(has_rows, "filas").when(pending, "pendiente").otherwise("valor").alias("cara"),
+        F.when(has_rows, rows_text(rows))
+        .when(pending, F.coalesce("pending_label", F.lit("TBD")))
+        .otherwise(F.col("display_value"))
+        .alias("texto"),
+        F.concat_ws(" ", second["label"], second["value"]).alias("segunda_linea"),
+        F.col("target.text").alias("meta_texto"),
+    )
+
+
+def money_card_faces(stored: DataFrame) -> DataFrame:
+    """The same for money cards, which know no rows, format their value themselves and name a
+    pending card by its title."""
+    value, kind, unit = F.col("value"), F.col("value_format"), F.col("value_unit")
+    target = F.col("target")
+    return stored.select(
+        "id",
+        "title",
+        "status",
+        is_pending(value).alias("pendiente"),
+        F.when(is_pending(value), F.coalesce("pending_label", "title"))
+        .otherwise(numbers.by_kind(value, kind, unit))
+        .alias("texto"),
+        target_text(target["formatted"], target["value"], kind, target["unit"]).alias("meta_texto"),
+    )
+
+
 def flat_cards(cards: DataFrame) -> DataFrame:
     """Cards without nesting, for sinks that know no structs."""
     return cards.select(

@@ -56,13 +56,18 @@ def topn_concentration(df: DataFrame, key: str, measure: Column, n: int = 10) ->
     )
 
 
-def segment_share(df: DataFrame, segment: str, measure: Column, by: Sequence[str] = ()) -> DataFrame:
+def segment_share(
+    df: DataFrame, segment: str, measure: Column, by: Sequence[str] = (), order: Column | None = None
+) -> DataFrame:
     """Sum and share per segment. Segments need not add up to 100; the share is of their sum.
 
-    The largest is the headline. The window goes over one row per segment.
+    The headline is the first segment in declared ``order``, else the largest. The windows go over
+    one row per segment.
     """
-    sums = df.groupBy(*by, segment).agg(F.sum(measure).alias("suma"))
-    first = Window.partitionBy(*by).orderBy(F.col("suma").desc(), segment)
+    sums = df.groupBy(*by, segment).agg(
+        F.sum(measure).alias("suma"), F.min(F.lit(0) if order is None else order).alias("_orden")
+    )
+    first = Window.partitionBy(*by).orderBy("_orden", F.col("suma").desc(), segment)
     total = F.sum("suma").over(Window.partitionBy(*by))
     return sums.select(
         *by,

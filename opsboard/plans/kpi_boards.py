@@ -17,6 +17,7 @@ from opsboard.plans.catalog import Query
 from opsboard.plans.service_board import SERVICES_SQL
 from opsboard.plans.testdata import amount, customer_lines, kpi_actuals, order_lines, segment_months, table
 from opsboard.sources.dictionaries import small_table, with_label
+from opsboard.sources.kpi_facts import conform
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 CARD_MONTH = date(2000, 12, 1)
@@ -419,6 +420,45 @@ def kpi_cases_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def kpi_board_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored cards of the three kinds – rows, value, pending – and the face each one shows."""
+    cases = cards.multi_value_card(kpi_cases_per_agent(spark, sf_dir), "nodo", "por_entidad", "nodo").select(
+        F.lit("CASOS").alias("id"), "rows"
+    )
+    events = metrics.ratio_kpi(table(spark, sf_dir, "events"), metrics.rows_where(F.col("event_type") != "error"), F.lit(1))
+    uptime = events.select(
+        F.lit("DISPONIBILIDAD").alias("id"),
+        F.col("ratio").alias("value"),
+        numbers.percent(F.col("ratio"), 1).alias("display_value"),
+        F.struct(F.lit("Eventos").alias("label"), numbers.grouped_number(F.col("denominador")).alias("value")).alias(
+            "secondary_line"
+        ),
+    )
+    # no supplier has a usage figure, so this card has no value yet
+    adoption = table(spark, sf_dir, "supplier").agg(F.lit("ADOPCION").alias("id"), F.max(F.lit(None).cast("double")).alias("value"))
+    stored = cases.unionByName(uptime, True).unionByName(adoption, True)
+    return cards.card_faces(conform(stored, schema.KPI_CARD)).select("id", "pendiente", "cara", "texto", "segunda_linea")
+
+
+def kpi_number_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces per segment and year, as the boards write them."""
+    pieces = metrics.segment_share(
+        customer_lines(spark, sf_dir).withColumn("anio", F.year("o_orderdate")),
+        "c_mktsegment",
+        F.col("l_quantity").cast("long"),
+        ("anio",),
+        order=F.when(F.col("c_mktsegment") == "HOUSEHOLD", 0).otherwise(1),
+    )
+    return pieces.select(
+        "anio",
+        "c_mktsegment",
+        "principal",
+        numbers.compact_count(F.col("valor")).alias("compacto"),
+        numbers.grouped_number(F.col("valor")).alias("agrupado"),
+        numbers.percent(F.col("participacion"), 0).alias("pct"),
+    )
+
+
 def kpi_cost_to_serve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims amount per customer served, per year."""
     claims = F.when(F.col("l_returnflag") == "R", amount())
@@ -746,6 +786,30 @@ SELECT inicio, {_QUARTER_LABEL} AS periodo_label,
 SELECT true AS pendiente_sin_filas, false AS pendiente, CAST(count(*) AS INTEGER) AS filas,
   string_agg(nodo || ' ' || rtrim(rtrim(format('{{:,.3f}}', por_entidad), '0'), '.'), ' | ' ORDER BY nodo) AS texto
 FROM cases""",
+    ),
+    "kpi_board_cards": Query(
+        kpi_board_cards,
+        SERVICES_SQL
+        + f"""
+, cases AS ({_CASES_SQL}), e AS (SELECT count(*) AS n, count(*) FILTER (event_type <> 'error') AS ok FROM events)
+SELECT 'CASOS' AS id, false AS pendiente, 'filas' AS cara, string_agg(
+  nodo || ' ' || rtrim(rtrim(format('{{:,.3f}}', por_entidad), '0'), '.'), ' | ' ORDER BY nodo) AS texto,
+  '' AS segunda_linea FROM cases
+UNION ALL SELECT 'DISPONIBILIDAD', false, 'valor', printf('%.1f', ok / n * 100) || '%',
+  'Eventos ' || format('{{:,}}', n) FROM e
+UNION ALL SELECT 'ADOPCION', true, 'pendiente', 'TBD', ''""",
+    ),
+    "kpi_number_labels": Query(
+        kpi_number_labels,
+        """
+WITH p AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS anio, c_mktsegment, CAST(sum(l_quantity) AS BIGINT) AS v
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+SELECT anio, c_mktsegment, c_mktsegment = 'HOUSEHOLD' AS principal,
+  CASE WHEN v >= 1e6 THEN printf('%.1fM', v / 1e6)
+       WHEN v >= 1e3 THEN CAST(CAST(floor(v / 1e3 + 0.5) AS BIGINT) AS VARCHAR) || 'K'
+       ELSE CAST(v AS VARCHAR) END AS compacto,
+  format('{:,}', v) AS agrupado,
+  printf('%.0f', v / CAST(sum(v) OVER (PARTITION BY anio) AS DOUBLE) * 100) || '%' AS pct FROM p""",
     ),
     "kpi_cost_to_serve": Query(
         kpi_cost_to_serve,

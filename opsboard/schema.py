@@ -96,6 +96,48 @@ KPI_TARGETS = T.StructType(
     ]
 )
 
+# A card as it is stored: what one card has and another lacks is null. ``status`` is stored, never
+# computed from value and target.
+KPI_CARD = T.StructType(
+    [
+        T.StructField("id", T.StringType(), False),
+        T.StructField("title", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("value_unit", T.StringType()),
+        T.StructField("value_format", T.StringType()),
+        T.StructField("value_period_label", T.StringType()),
+        T.StructField("display_value", T.StringType()),
+        T.StructField("pending_label", T.StringType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("okr_label", T.StringType()),
+        T.StructField("subtitle", T.StringType()),
+        T.StructField(
+            "rows",
+            T.ArrayType(
+                T.StructType([T.StructField("label", T.StringType()), T.StructField("value", T.DoubleType())])
+            ),
+        ),
+        T.StructField(
+            "secondary_line",
+            T.StructType([T.StructField("label", T.StringType()), T.StructField("value", T.StringType())]),
+        ),
+        T.StructField(
+            "target",
+            T.StructType(
+                [
+                    T.StructField("value", T.DoubleType()),
+                    T.StructField("unit", T.StringType()),
+                    T.StructField("formatted", T.StringType()),
+                    T.StructField("text", T.StringType()),
+                    T.StructField("period_label", T.StringType()),
+                    T.StructField("growth_label", T.StringType()),
+                    T.StructField("extra", T.StringType()),
+                ]
+            ),
+        ),
+    ]
+)
+
 GROUPED_SERIES = T.StructType(
     [
         T.StructField("categories", T.ArrayType(T.StringType())),

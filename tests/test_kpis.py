@@ -161,6 +161,12 @@ def test_segment_share_need_not_add_up(spark, rows):
     assert got == [("Asist", 87.5 / 100.6, True), ("Log", 12 / 100.6, False), ("Tec", 1.1 / 100.6, False)]
 
 
+def test_declared_order_decides_the_headline(spark, rows):
+    df = spark.sql("SELECT * FROM VALUES ('Pendiente', 42, 1), ('Completado', 58, 2) AS t(s, v, o)")
+    got = rows(metrics.segment_share(df, "s", F.col("v"), order=F.col("o")).orderBy("s"), "s", "participacion", "principal")
+    assert got == [("Completado", 0.58, False), ("Pendiente", 0.42, True)]
+
+
 def test_gone_next_month(spark, rows):
     df = spark.createDataFrame(
         [("a", month(0)), ("a", month(0)), ("a", month(1)), ("b", month(0)), ("b", month(2)), ("c", month(2)), (None, month(0))],
@@ -219,15 +225,52 @@ def test_kpi_cards(spark, rows):
 
 
 def test_cards_with_rows(spark, rows):
-    df = spark.sql("SELECT * FROM VALUES ('MCS', 1522.0D, 2), ('TSC', 441.5D, 3), ('Uno', 259D, 1) AS t(l, v, o)")
+    df = spark.sql("SELECT * FROM VALUES ('Dos', 1522.0D, 2), ('Tres', 441.5D, 3), ('Uno', 259D, 1) AS t(l, v, o)")
     card = cards.multi_value_card(df, "l", "v", "o")
     value = F.lit(None).cast("double")
     got = card.select(cards.rows_text(F.col("rows")), cards.is_pending(value, F.col("rows")), cards.is_pending(value)).first()
-    assert tuple(got) == ("Uno 259 | MCS 1,522 | TSC 441.5", False, True)
+    assert tuple(got) == ("Uno 259 | Dos 1,522 | Tres 441.5", False, True)
     empty = spark.sql("SELECT array() AS none, CAST(NULL AS array<int>) AS missing")
     assert tuple(empty.select(cards.is_pending(value, F.col("none")), cards.is_pending(value, F.col("missing"))).first()) == (True, True)
 
 
+def test_stored_card_faces(spark, rows):
+    def card(key, **given):
+        return tuple({"id": key, "title": f"T{key}", **given}.get(n) for n in schema.KPI_CARD.names)
+
+    target = dict.fromkeys(schema.KPI_CARD["target"].dataType.names)
+    stored = small_table(
+        spark,
+        [
+            card("a", value=0.91, display_value="91%", status="off-track", target={**target, "text": "≥ 95%"}),
+            card("b", pending_label="+TBC", rows=[]),
+            card("c"),
+            card("d", rows=[{"label": "X", "value": 259.0}, {"label": "Y", "value": 1522.0}]),
+            card("e", value=1.0, display_value="85,450", secondary_line={"label": "Concluidos", "value": "65,185"}),
+        ],
+        schema.KPI_CARD,
+    )
+    got = rows(cards.card_faces(stored).orderBy("id"), "id", "status", "pendiente", "cara", "texto", "segunda_linea", "meta_texto")
+    assert got == [
+        ("a", "off-track", False, "valor", "91%", "", "≥ 95%"),
+        ("b", None, True, "pendiente", "+TBC", "", None),
+        ("c", None, True, "pendiente", "TBD", "", None),
+        ("d", None, False, "filas", "X 259 | Y 1,522", "", None),
+        ("e", None, False, "valor", "85,450", "Concluidos 65,185", None),
+    ]
+    money = small_table(
+        spark,
+        [
+            card("a", value=0.18, value_format="percent", value_unit="%", target={**target, "value": 0.18, "unit": "%"}),
+            card("b", value_format="currency", rows=[{"label": "X", "value": 1.0}], target={**target, "unit": "USD"}),
+            card("c", value=7514000.0, value_format="currency", value_unit="USD", target={**target, "value": 1.0, "formatted": "18%"}),
+        ],
+        schema.KPI_CARD,
+    )
+    got = rows(cards.money_card_faces(money).orderBy("id"), "id", "pendiente", "texto", "meta_texto")
+    assert got == [("a", False, "18.00%", "18.00%"), ("b", True, "Tb", "TBD"), ("c", False, "7.514M USD", "18%")]
+
+
 def test_milestone_colour(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(["green", "amber", "red", "blue", None])], "i int, s string")
     got = [r[0] for r in df.orderBy("i").select(cards.milestone_colour(F.col("s"))).collect()]
