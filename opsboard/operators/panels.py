@@ -74,8 +74,8 @@ def _unfolded(*columns: str) -> Column:
     return F.inline(
         F.array(
             *[
-                F.struct(F.lit(ord).alias("ord"), F.lit(name).alias("estatus"), F.col(value).alias("servicios"))
-                for ord, (name, value) in enumerate(zip(schema.STATUSES, columns))
+                F.struct(F.lit(place).alias("ord"), F.lit(name).alias("estatus"), F.col(value).alias("servicios"))
+                for place, (name, value) in enumerate(zip(schema.STATUSES, columns))
             ]
         )
     )
@@ -86,7 +86,7 @@ def status_totals(services: DataFrame) -> DataFrame:
 
     The domain is completed by conditional sums unfolded into rows, so no join with it is needed.
     """
-    sums = [f"s{ord}" for ord in range(len(schema.STATUSES))]
+    sums = [f"s{place}" for place in range(len(schema.STATUSES))]
     folded = services.groupBy(BY).agg(
         *[sum_where(F.col("estatus") == name).alias(s) for name, s in zip(schema.STATUSES, sums)]
     )
@@ -188,7 +188,7 @@ def status_mix(services: DataFrame, member: str) -> DataFrame:
     row unfolded.
     """
     estatus, servicios = F.col("estatus"), F.col("servicios")
-    sums = [f"s{ord}" for ord in range(len(schema.STATUSES))]
+    sums = [f"s{place}" for place in range(len(schema.STATUSES))]
     cells = (
         services.filter(F.col(member).isNotNull())
         .groupBy(BY, member, "estatus")
@@ -224,9 +224,7 @@ def hierarchy_rollup(services: DataFrame) -> DataFrame:
     def at_level(level: int, *keys: str) -> Column:
         return F.max(F.when(F.col("nivel") == level, F.col("servicios"))).over(Window.partitionBy(BY, *keys))
 
-    parent = (
-        F.when(F.col("nivel") == 2, F.col("del_nodo")).otherwise(F.col("del_total"))
-    )
+    parent = F.when(F.col("nivel") == 2, F.col("del_nodo")).otherwise(F.col("del_total"))
     return (
         levels.withColumn("del_nodo", at_level(1, "nodo"))
         .withColumn("del_total", at_level(0))

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsboard import schema
 from opsboard.operators import options, panels
 from opsboard.operators.filters import Selection, apply_selection
 from opsboard.plans import testdata
@@ -82,6 +83,12 @@ class ServiceBoard:
             return ServiceBoard(services, members=self.members)
         return ServiceBoard(services, apply_selection(self.cube, chosen), self.members)
 
+    def breakdown(self, dimension: str, top: int | None = None) -> DataFrame:
+        """Participation by one of the board's dimensions."""
+        if dimension not in schema.DIMENSIONS:
+            raise ValueError(f"no dimension {dimension}; there are {', '.join(schema.DIMENSIONS)}")
+        return panels.participation(self.cube if dimension in CUBE_KEYS else self.services, dimension, top)
+
     def options(self, nodos: tuple[str, ...] = (), paises: tuple[str, ...] = ()) -> dict[str, DataFrame]:
         return {
             "meses": options.members(self.cube, "mes"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opsboard import schema
 from opsboard.operators import panels
+from opsboard.plans.service_board import ServiceBoard
 from opsboard.sources import export, kpi_facts, services as source
 from opsboard.sources.dictionaries import countries, months, status_domain, with_label
 
@@ -45,6 +46,19 @@ def test_two_perspectives_are_told_apart_by_file(spark, extract, rows):
     ]
 
 
+def test_board_from_files(spark, extract, rows):
+    board = ServiceBoard.load(spark, {"apertura": extract, "gestion": extract}, fmt="csv")
+    assert rows(board.panels()["detalle"], "perspectiva", "cuenta", "servicios") == [
+        ("apertura", "Seguros", 5), ("apertura", 'Uno, "dos"', 2), ("gestion", "Seguros", 5), ("gestion", 'Uno, "dos"', 2)
+    ]
+    shares = {name: rows(board.breakdown(name, 1).filter("perspectiva = 'gestion'"), name, "pct") for name in schema.DIMENSIONS}
+    assert shares == {
+        "nodo": [("GT", 70.0)], "soa": [("gt", 70.0)], "cuenta": [("Seguros", 50.0)], "agente": [("Ana", 50.0)]
+    }
+    with pytest.raises(ValueError, match="no dimension"):
+        board.breakdown("estado")
+
+
 def test_bad_dates_raise_or_are_counted(spark, tmp_path):
     path = tmp_path / "bad.csv"
     path.write_text("\n".join([HEADER, LINES[0], LINES[1].replace("2025-02-01", "soon")]), encoding="utf-8")
