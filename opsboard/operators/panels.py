@@ -44,14 +44,17 @@ def kpi_block(services: DataFrame) -> DataFrame:
     summed per account first, so the distinct counts fan out over accounts and not over rows.
     """
     estatus = F.col("estatus")
-    accounts = services.groupBy(BY, "soa", "cuenta", "estatus").agg(services_sum().alias("servicios"))
+    measures = {
+        "servicios_totales": services_sum(),
+        "concluido": sum_where(estatus == schema.CONCLUDED),
+        "cancelado": sum_where(estatus.isin(schema.CANCELLED_AT_ONCE, schema.CANCELLED_LATER)),
+        "con_estatus": sum_where(estatus.isNotNull()),
+    }
+    accounts = services.groupBy(BY, "soa", "cuenta").agg(*[m.alias(name) for name, m in measures.items()])
     sums = accounts.groupBy(BY).agg(
-        services_sum().alias("servicios_totales"),
         F.count_distinct("cuenta").alias("cuentas_activas"),
         F.count_distinct("soa").alias("paises"),
-        sum_where(estatus == schema.CONCLUDED).alias("concluido"),
-        sum_where(estatus.isin(schema.CANCELLED_AT_ONCE, schema.CANCELLED_LATER)).alias("cancelado"),
-        sum_where(estatus.isNotNull()).alias("con_estatus"),
+        *[F.sum(name).alias(name) for name in measures],
     )
     divisor = or_one(F.col("con_estatus"))
     return sums.select(
@@ -194,7 +197,10 @@ def status_mix(services: DataFrame, member: str) -> DataFrame:
         .groupBy(BY, member, "estatus")
         .agg(services_sum().alias("servicios"))
     )
-    used = cells.groupBy(BY, "estatus").agg(F.sum("servicios").alias("usado")).filter("usado != 0")
+    # at most the known statuses per perspective, so it can be broadcast; asked of the sums and not
+    # of the status, or this branch would no longer read the same shuffle as the other
+    known = F.sum(F.when(estatus.isin(*schema.STATUSES), servicios))
+    used = cells.groupBy(BY, "estatus").agg(known.alias("usado")).filter("usado != 0")
     rows = cells.groupBy(BY, member).agg(
         services_sum().alias("total_miembro"),
         F.sum(F.when(estatus.isNotNull(), servicios)).alias("con_estatus"),
@@ -265,18 +271,25 @@ def detail_table(services: DataFrame) -> DataFrame:
 
 
 def clean_summary(services: DataFrame) -> DataFrame:
-    """Row and sum counts of a load, with what the cleaning rules left and marked."""
+    """Row and sum counts of a load, with what the cleaning rules left and marked; one cheap pass."""
     return services.groupBy(BY).agg(
         F.count(F.lit(1)).alias("filas"),
         services_sum().alias("servicios"),
         F.count_if(F.col("cuenta").isNull()).alias("sin_cuenta"),
         F.count_if(F.col("agente") == schema.UNASSIGNED).alias("sin_asignar"),
         F.count_if(F.col("coord_code") == schema.NO_CODE).alias("sin_codigo"),
+        F.min("mes").alias("primer_mes"),
+        F.max("mes").alias("ultimo_mes"),
+    )
+
+
+def member_counts(services: DataFrame) -> DataFrame:
+    """Distinct members of the large dimensions and distinct months. Exact, so every row is looked
+    at once per count; only distinct values reach the shuffle."""
+    return services.groupBy(BY).agg(
         F.count_distinct("cuenta").alias("cuentas"),
         F.count_distinct("agente").alias("agentes"),
         F.count_distinct("mes").alias("meses"),
-        F.min("mes").alias("primer_mes"),
-        F.max("mes").alias("ultimo_mes"),
     )
 
 

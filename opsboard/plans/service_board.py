@@ -211,11 +211,15 @@ SELECT perspectiva, count(*) AS filas, CAST(sum(servicios) AS BIGINT) AS servici
   count(*) FILTER (cuenta IS NULL) AS sin_cuenta,
   count(*) FILTER (agente = '(Sin asignar)') AS sin_asignar,
   count(*) FILTER (coord_code = '—') AS sin_codigo,
-  count(DISTINCT cuenta) AS cuentas, count(DISTINCT agente) AS agentes, count(DISTINCT mes) AS meses,
   min(mes) AS primer_mes, max(mes) AS ultimo_mes
 FROM services GROUP BY perspectiva
 """
 
+_MEMBER_COUNTS_SQL = """
+SELECT perspectiva, count(DISTINCT cuenta) AS cuentas, count(DISTINCT agente) AS agentes,
+  count(DISTINCT mes) AS meses FROM services GROUP BY perspectiva
+"""
+
 _KPI_SQL = """
 SELECT perspectiva, CAST(sum(servicios) AS BIGINT) AS servicios_totales,
   count(DISTINCT cuenta) AS cuentas_activas, count(DISTINCT soa) AS paises,
@@ -331,6 +335,7 @@ def _s(panel: Callable[[DataFrame], DataFrame], sql: str) -> Query:
 
 QUERIES: dict[str, Query] = {
     "svc_clean_summary": Query(_two_extracts_summary, SERVICES_SQL + _CLEAN_SQL),
+    "svc_member_counts": _s(panels.member_counts, _MEMBER_COUNTS_SQL),
     "svc_kpi_block": _s(panels.kpi_block, _KPI_SQL),
     "svc_status_share": _s(panels.status_share, _STATUS_SHARE_SQL),
     "svc_status_totals": _s(panels.status_totals, _STATUS_TOTALS_SQL),

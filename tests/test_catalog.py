@@ -92,3 +92,16 @@ def test_windows_without_key_only_see_calendar_rows(spark, sf_dir, name):
             "svc_reconciliation", "kpi_programme_progress", "kpi_abandonment", "kpi_abandonment_change",
             "kpi_turnover", "kpi_revenue_mix",
         }
+
+
+@pytest.mark.parametrize("name", ["svc_status_mix_agente", "svc_top_agents", "svc_cascade_options", "kpi_cards", "kpi_scenario"])
+def test_same_result_when_nothing_is_small_enough_to_broadcast(spark, sf_dir, name):
+    usual = sorted(map(repr, QUERIES[name](spark, sf_dir).collect()))
+    limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for limit in limits:
+            spark.conf.set(limit, "-1")
+        assert sorted(map(repr, QUERIES[name](spark, sf_dir).collect())) == usual
+    finally:
+        for limit in limits:
+            spark.conf.unset(limit)

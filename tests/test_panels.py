@@ -170,6 +170,11 @@ def test_reconciliation_is_a_full_outer_join(services, rows):
     ]
 
 
+def test_member_counts_skip_null(services, rows):
+    df = services({"cuenta": "a"}, {"cuenta": None, "mes": None}, {"cuenta": "a", "agente": "A2"}, {"cuenta": "b"})
+    assert rows(panels.member_counts(df), "cuentas", "agentes", "meses") == [(2, 2, 1)]
+
+
 def test_options(services, rows):
     df = services(
         {"nodo": "x", "soa": "p", "cuenta": "a"},
