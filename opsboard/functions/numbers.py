@@ -58,16 +58,12 @@ def whole_number(value: Column) -> Column:
 def compact_money(value: Column, digits: int | None = None) -> Column:
     """B, M and K with 2, 3 and 2 decimals, plain numbers with 2; ``digits`` overrides all."""
     size = F.abs(value)
-
-    def scaled(divisor: float, default: int, suffix: str) -> Column:
-        return F.concat(fixed(value / divisor, default if digits is None else digits), F.lit(suffix))
-
-    return (
-        F.when(size >= 1e9, scaled(1e9, 2, "B"))
-        .when(size >= 1e6, scaled(1e6, 3, "M"))
-        .when(size >= 1e3, scaled(1e3, 2, "K"))
-        .otherwise(fixed(value, 2 if digits is None else digits))
-    )
+    billions, millions, thousands = size >= 1e9, size >= 1e6, size >= 1e3
+    scaled = value / F.when(billions, 1e9).when(millions, 1e6).when(thousands, 1e3).otherwise(1.0)
+    suffix = F.when(billions, "B").when(millions, "M").when(thousands, "K").otherwise("")
+    if digits is not None:
+        return F.concat(fixed(scaled, digits), suffix)
+    return F.concat(F.when(millions & ~billions, fixed(scaled, 3)).otherwise(fixed(scaled, 2)), suffix)
 
 
 def plain_number(value: Column) -> Column:
