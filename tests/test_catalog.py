@@ -7,11 +7,14 @@ import pytest
 
 import __spark_entry__ as entry_point
 from opsboard.operators import filters, panels
+from opsboard.plans import kpi_boards, service_board
 from opsboard.plans import testdata as inputs
 from opsboard.plans.service_board import PICKED
 from opsboard.sources.services import canonical, clean
 
-QUERIES, TWINS = entry_point.queries(), entry_point.oracle_sql()
+REGISTERED = entry_point.queries()
+CATALOG = {**service_board.QUERIES, **kpi_boards.QUERIES}
+QUERIES, TWINS = {name: REGISTERED[name] for name in CATALOG}, entry_point.oracle_sql()
 
 
 @pytest.fixture(scope="module")
