@@ -66,10 +66,10 @@ windows AS (
   FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
 docs AS (SELECT doc_id, row_number() OVER () AS rn, {_WORDS} AS w FROM documents),
 lengths AS (SELECT DISTINCT n FROM windows),
-at AS (
+spots AS (
   SELECT rn, n, i, array_to_string(w[i : i + n - 1], ' ') AS window
   FROM (SELECT rn, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM docs, lengths)),
-hits AS (SELECT rn, a.n, i, item_id FROM at a JOIN windows v ON a.window = v.window AND a.n = v.n),
+hits AS (SELECT rn, a.n, i, item_id FROM spots a JOIN windows v ON a.window = v.window AND a.n = v.n),
 covered AS (SELECT rn, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT rn, unnest(range(i, i + n)) AS p FROM hits) GROUP BY rn),
 found AS (
   SELECT rn, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
