@@ -160,7 +160,11 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, most_windows
     )
     ids = F.array_sort(F.collect_set(F.col("item_id").cast("string")))
     items = named.groupBy("passage").agg(ids.alias("ids"))
-    return judged.drop("hit_windows").join(items, "passage", "left").select(
+    # Most documents have no passage: they would meet under one null key, so they pass by the join.
+    hit = judged.filter(F.col("passage").isNotNull()).join(items, "passage", "left")
+    others = judged.filter(F.col("passage").isNull()).withColumn("ids", F.array().cast("array<string>"))
+    columns = ["doc_id", "n_words", "n_hit", "ids"]
+    return hit.select(*columns).unionAll(others.select(*columns)).select(
         "doc_id",
         "n_words",
         "n_hit",

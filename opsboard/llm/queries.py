@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsboard.llm import chat, decontaminate, quality, url_filter, warc
+from opsboard.llm import chat, decontaminate, pieces, pii, quality, token_counts, url_filter, warc
 from opsboard.llm.common import new_path, table
 from opsboard.plans.catalog import Query
 
 
+def sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document, and whether they decode to its text (with U+2581 as a space)."""
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    same = F.col("decoded").eqNullSafe(F.replace("text", F.lit(pieces.SPACE), F.lit(" ")))
+    return pieces.decode(encoded).select(
+        "doc_id", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_tokens"), "ids", same.alias("round_trip")
+    )
+
+
 def chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
@@ -43,6 +52,17 @@ def quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after three edits, and how much of it was encoded again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    indexed = token_counts.build(docs).withColumn("edits", token_counts.sample_edits(F.col("text")))
+    return token_counts.edited(indexed, "edits").select("doc_id", "n_tokens", "n_tokens_after", "n_leaves", "leaves_touched", "chars_reencoded")
+
+
+def bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS digest FROM pages),
 sized AS (SELECT page_id, digest, octet_length(encode(body)) AS payload_bytes FROM p),
@@ -80,9 +100,12 @@ FROM docs LEFT JOIN covered USING (rn) LEFT JOIN found USING (rn)
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece_scan": Query(sentencepiece_scan),
     "op2_chat_perspectives": Query(chat_perspectives),
     "op4_warc_chunks": Query(warc_chunks, WARC_SQL),
     "op5_url_trees": Query(url_trees),
     "op6_decontamination": Query(decontamination, DECONTAMINATION_SQL),
     "op7_quality_trees": Query(quality_trees),
+    "op8_edited_counts": Query(edited_counts),
+    "op10_bootstrapped_pii": Query(bootstrapped_pii),
 }
