@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsboard.llm import chat, decontaminate, pieces, pii, quality, token_counts, url_filter, warc
+from opsboard.llm import ann, chat, decontaminate, pieces, pii, quality, token_counts, url_filter, warc
 from opsboard.llm.common import new_path, table
 from opsboard.plans.catalog import Query
 
@@ -23,6 +23,10 @@ def chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
 
+def forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     folder = new_path(spark, "warc")
@@ -102,6 +106,7 @@ FROM docs LEFT JOIN covered USING (rn) LEFT JOIN found USING (rn)
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece_scan": Query(sentencepiece_scan),
     "op2_chat_perspectives": Query(chat_perspectives),
+    "op3_forest_neighbours": Query(forest_neighbours),
     "op4_warc_chunks": Query(warc_chunks, WARC_SQL),
     "op5_url_trees": Query(url_trees),
     "op6_decontamination": Query(decontamination, DECONTAMINATION_SQL),
