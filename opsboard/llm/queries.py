@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsboard.llm import ann, chat, decontaminate, pieces, pii, quality, token_counts, url_filter, warc
+from opsboard.llm import ann, chat, decontaminate, jaccard, pieces, pii, quality, token_counts, url_filter, warc
 from opsboard.llm.common import new_path, table
 from opsboard.plans.catalog import Query
 
@@ -67,6 +67,10 @@ def bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(table(spark, sf_dir, "documents"))
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS digest FROM pages),
 sized AS (SELECT page_id, digest, octet_length(encode(body)) AS payload_bytes FROM p),
@@ -103,6 +107,25 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN covered USING (rn) LEFT JOIN found USING (rn)
 """
 
+JACCARD_SQL = """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both >= 75 * (x.n + y.n - both)),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM docs UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM docs d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) USING (doc_id)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece_scan": Query(sentencepiece_scan),
     "op2_chat_perspectives": Query(chat_perspectives),
@@ -112,5 +135,6 @@ QUERIES: dict[str, Query] = {
     "op6_decontamination": Query(decontamination, DECONTAMINATION_SQL),
     "op7_quality_trees": Query(quality_trees),
     "op8_edited_counts": Query(edited_counts),
+    "op9_jaccard_regions": Query(jaccard_regions, JACCARD_SQL),
     "op10_bootstrapped_pii": Query(bootstrapped_pii),
 }
