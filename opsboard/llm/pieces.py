@@ -14,7 +14,7 @@ at the chunk borders follow; then every chunk is traced back for itself. A strin
 characters, hence at most 2^31 / (chunk_chars * FAN) blocks of one document meet.
 
 No piece has a space after another character, so the lattice falls apart at the start of each word; words
-are solved once and remembered.
+are solved once, many at a time, and remembered.
 
 Defined results: a null text has null ids, an empty one none; a character without a piece becomes its bytes;
 equal long texts are encoded once; repeated documents are returned each; extra columns are kept by `encode`
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -41,9 +42,13 @@ CHUNK_CHARS = 16_384
 FAN = 64
 SPACE = "▁"
 MOST_CACHED = 400_000
+TOGETHER = 4_000_000  # characters whose words are solved together
+LONGEST_WORD = 32  # of the words that are solved many at a time
 _NORMAL, _BYTE, _UNIGRAM, _BPE = 1, 6, 1, 2
-_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+# A word, or a line break: no piece holds one, so it stands alone as well.
+_WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 NONE = -np.inf
+_BASE = 0x9E3779B97F4A7C15
 
 
 class Lattice(dict):
@@ -65,6 +70,8 @@ class Lattice(dict):
         self.score = {p.piece: p.score for p in model.pieces if p.type == _NORMAL}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("only models whose pieces stay within words")
+        if any("\n" in p for p in self.ids):
+            raise ValueError("only models without pieces across lines")
         self.longest = max(map(len, self.ids))
         self.unknown = min(self.score.values()) - 10
         self.bytes = {int(p.piece[3:5], 16): k for k, p in enumerate(model.pieces) if p.type == _BYTE}
@@ -74,6 +81,16 @@ class Lattice(dict):
             for k, p in enumerate(model.pieces)
         ]
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.piece = {k: p for p, k in self.ids.items()}
+        ordered = sorted((self._hash(p), k) for p, k in self.ids.items())
+        self.hashes = np.array([h for h, _ in ordered], np.uint64)
+        self.of_hash = np.array([k for _, k in ordered], np.int64)
+        if len(np.unique(self.hashes)) < len(ordered):
+            raise ValueError("two pieces share a hash")
+        self.maybe = np.zeros(1 << 20, bool)  # most characters' runs are no piece; this tells so at once
+        self.maybe[self.hashes >> np.uint64(44)] = True
+        self.weights = np.array([self.score.get(p.piece, self.unknown) for p in model.pieces])
+        self.pair_keys, self.pair_known = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short text: the best neighbours merge first, of equals the leftmost."""
@@ -140,6 +157,107 @@ class Lattice(dict):
             self[word] = ids
         return ids
 
+    @staticmethod
+    def _hash(piece: str) -> int:
+        total = 0
+        for c in piece:
+            total = (total * _BASE + ord(c) + 1) % (1 << 64)
+        return total
+
+    def _together(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """may_follow for arrays of ids; -1 is the start of a text, -2 a character without a piece."""
+        allowed = np.ones(before.shape, bool)
+        if not self.bpe:
+            return allowed
+        some = (before >= 0) & (after >= 0)
+        keys = before[some] << 16 | after[some]
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), max(0, len(self.pair_keys) - 1))
+        missing = np.unique(keys[self.pair_keys[at] != keys] if len(self.pair_keys) else keys)
+        if len(missing):
+            if len(self.pair_keys) > 4 * MOST_CACHED:
+                self.pair_keys, self.pair_known = np.zeros(0, np.int64), np.zeros(0, bool)
+                missing = np.unique(keys)
+            new = [self.merged(a + b) == [a, b] for a, b in ((self.piece[k >> 16], self.piece[k & 65_535]) for k in missing.tolist())]
+            every = np.concatenate((self.pair_keys, missing))
+            order = np.argsort(every, kind="stable")
+            self.pair_keys, self.pair_known = every[order], np.concatenate((self.pair_known, np.array(new, bool)))[order]
+            at = np.searchsorted(self.pair_keys, keys)
+        allowed[some] = self.pair_known[at]
+        return allowed
+
+    def _solved(self, words: list[str]) -> list[bytes]:
+        """The ids of words of one length: the same best paths as `walk`, all words a step at a time."""
+        n = len(words[0])
+        chars = np.array(words).view(np.uint32).reshape(-1, n).astype(np.uint64) + np.uint64(1)
+        m, base = len(words), np.uint64(_BASE)
+        arcs = np.full((n, n + 1, m), -1, np.int64)  # by start and end
+        for start in range(n):
+            total = np.zeros(m, np.uint64)
+            for end in range(start + 1, min(n, start + self.longest) + 1):
+                total = total * base + chars[:, end - 1]
+                some = np.flatnonzero(self.maybe[total >> np.uint64(44)])
+                wanted = total[some]
+                at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+                arcs[start, end] = -2 if end == start + 1 else -1
+                true = self.hashes[at] == wanted
+                arcs[start, end, some[true]] = self.of_hash[at[true]]
+        best, last, step = np.full((n + 1, m), NONE), np.full((n + 1, m), -1, np.int64), np.zeros((n + 1, m), np.int64)
+        best[0] = 0
+        for end in range(1, n + 1):
+            starts = range(end - 1, max(0, end - self.longest) - 1, -1)
+            ids = np.stack([arcs[start, end] for start in starts])
+            before = np.stack([last[start] for start in starts])
+            open_ = (ids != -1) & (np.stack([best[start] for start in starts]) > NONE)
+            follows = np.zeros(ids.shape, bool)
+            follows[open_] = self._together(before[open_], ids[open_])
+            for k, start in enumerate(starts):
+                weight = 0.0 if self.bpe else np.where(ids[k] >= 0, self.weights[ids[k]], self.unknown)
+                score = best[start] + weight
+                # Lengths come from one character upwards here, so of equal scores the longer arc is taken, as in `walk`.
+                better = follows[k] & (score >= best[end])
+                best[end][better] = score[better] if np.ndim(score) else score
+                last[end][better], step[end][better] = ids[k][better], end - start
+        out, at, count = np.zeros((m, n), np.int32), np.full(m, n), np.zeros(m, np.int64)
+        strange = np.zeros(m, bool)
+        while (going := np.flatnonzero(at > 0)).size:
+            ids = last[at[going], going]
+            strange[going] |= ids < 0
+            count[going] += 1
+            out[going, n - count[going]] = ids
+            at[going] -= step[at[going], going]
+        return [
+            np.array(self.numbers(self.path(w, 0, n, None)), np.int32).tobytes() if odd else row[n - c :].tobytes()
+            for w, row, c, odd in zip(words, out, count.tolist(), strange.tolist(), strict=True)
+        ]
+
+    def learn(self, texts: list[str]) -> None:
+        """Solve the words of normalised texts that are not known yet, those of a length together."""
+        words = set().union(*map(_WORD.findall, texts))
+        new = words - self.keys()
+        if len(self) + len(new) > MOST_CACHED:
+            self.clear()
+            new = words
+        by_length: dict[int, list[str]] = {}
+        for word in new:
+            if len(word) <= LONGEST_WORD:
+                by_length.setdefault(len(word), []).append(word)
+        for group in by_length.values():
+            for k in range(0, len(group), 4_096):
+                part = group[k : k + 4_096]
+                self.update(zip(part, self._solved(part), strict=True))
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text or "")
+            if size >= TOGETHER:
+                self.learn([normal(t) for t in held if t])
+                yield from (None if t is None else self.encode(t) for t in held)
+                held, size = [], 0
+        self.learn([normal(t) for t in held if t])
+        yield from (None if t is None else self.encode(t) for t in held)
+
     def words(self, text: str) -> np.ndarray:
         """The ids of normalised text that begins and ends with whole words."""
         return np.frombuffer(b"".join(map(self.__getitem__, _WORD.findall(text))), np.int32)
@@ -348,6 +466,7 @@ def scanned(texts: DataFrame, model: Model, chunk_chars: int) -> DataFrame:
         lattice = model.lattice()
         for batch in batches:
             rows = batch.to_pylist()
+            lattice.learn([r["body"] for r in rows])
             ids = [lattice.traced(r["body"], r["cut"], r["stop"], r["chunk"] == 0, r["final"], r["into"], r["out"]) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("chunk"), _lists(ids)], ["digest", "chunk", "ids"])
 
@@ -372,7 +491,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = CHUNK_CHARS)
     def run(batches):
         lattice = sent.lattice()
         for batch in batches:
-            ids = [None if t is None else lattice.encode(t) for t in batch.column("text").to_pylist()]
+            ids = list(lattice.encode_all(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids)], [*names, "ids"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
