@@ -136,24 +136,30 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
 
 
-def _parts_of(values: np.ndarray, others: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(part, low half of the hash, other column) of each part of the hash space."""
-    part = ((values >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    part, low, others = part[order], values[order].astype(np.uint32), others[order]
+def _parts_of(values: np.ndarray, others: np.ndarray, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(part, sorted low halves of the hashes, other column) of each part of the hash space."""
+    part, low = ((values >> np.uint64(32)) % np.uint64(parts)).astype(np.int64), values.astype(np.uint32)
+    order = np.lexsort((low, part))
+    part, low, others = part[order], low[order], others[order]
     bounds = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
     for a, b in zip(bounds, bounds[1:], strict=False):
-        yield int(part[a]), low[a:b], others[a:b]
+        yield int(part[a]), _narrow(low[a:b]), others[a:b].tobytes()
 
 
-def _blobs(rows: list[tuple]) -> pa.RecordBatch:
+def _narrow(low: np.ndarray) -> bytes:
+    """Sorted numbers as steps, byte planes apart: the upper planes are all but empty and compress away."""
+    return np.diff(low, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _widened(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
+def _blobs(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
     part, low, other = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.RecordBatch.from_pydict(
-        {
-            "part": pa.array(part, pa.int32()),
-            "low": pa.array([x.tobytes() for x in low], pa.binary()),
-            "other": pa.array([x.tobytes() for x in other], pa.binary()),
-        }
+        {"part": pa.array(part, pa.int32()), "low": pa.array(low, pa.binary()), "other": pa.array(other, pa.binary())}
     )
 
 
@@ -161,7 +167,7 @@ _BLOBS = "part int, low binary, other binary"
 
 
 def _joined(table: pa.Table, kind) -> tuple[np.ndarray, np.ndarray]:
-    low = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint32)
+    low = np.concatenate([_widened(x) for x in table["low"].to_pylist()])
     return low, np.frombuffer(b"".join(table["other"].to_pylist()), kind)
 
 
@@ -196,55 +202,66 @@ def frequent(docs: DataFrame, parts: int, hot: int = HOT) -> np.ndarray | None:
     return levels
 
 
-def named(docs: DataFrame, parts: int, levels) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, key, n, sid), and (region, sid) of the regions with several nodes."""
-    doc_id = docs.schema["doc_id"]
-    schema = T.StructType(
-        [
-            doc_id,
-            T.StructField("key", T.LongType()),
-            T.StructField("n", T.LongType()),
-            T.StructField("sid", T.LongType()),
-            T.StructField("hot", T.ArrayType(T.LongType())),
-            T.StructField("part", T.IntegerType()),
-            T.StructField("low", T.BinaryType()),
-            T.StructField("other", T.BinaryType()),
-        ]
-    )
+def sketch(found: np.ndarray) -> bytes:
+    """A bit per shingle, in about two bits of room for each."""
+    room = min(1 << 20, max(64, 1 << (2 * len(found) - 1).bit_length()))
+    bits = np.zeros(room, bool)
+    bits[(found & np.uint64(room - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
 
-    def place(batches):
-        sketch = levels.value if levels is not None else None
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Bits that differ, the larger sketch folded to the smaller: no more than the shingles that do."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _hot(chosen: np.ndarray, levels: np.ndarray | None) -> np.ndarray:
+    return np.zeros(len(chosen), bool) if levels is None else levels[(chosen & np.uint64(SLOTS - 1)).astype(np.int64)] > 0
+
+
+def named(docs: DataFrame, levels) -> DataFrame:
+    """doc_id, key, n, sid, bits (the sketch) and hot, the frequent shingles of its window, of each document."""
+    fields = [("key", T.LongType()), ("n", T.LongType()), ("sid", T.LongType()), ("bits", T.BinaryType()), ("hot", T.ArrayType(T.LongType()))]
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in fields)])
+
+    def run(batches):
+        frequent_ones = levels.value if levels is not None else None
         for batch in batches:
-            found = [shingles(t.as_py()) for t in batch.column("text")]
-            sids = [name_of(f) if len(f) else None for f in found]
-            values, owners, frequent_ones = [], [], []
-            for f, sid in zip(found, sids, strict=True):
-                chosen = window(f, sketch) if len(f) else f
-                is_hot = sketch[(chosen & np.uint64(SLOTS - 1)).astype(np.int64)] > 0 if sketch is not None else np.zeros(len(chosen), bool)
-                frequent_ones.append(chosen[is_hot].astype(np.int64).tolist() or None)
-                values.append(chosen[~is_hot])
-                owners.append(np.full(len(values[-1]), sid or 0, np.int64))
-            n = batch.num_rows
-            nothing = pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("key"),
-                    pa.array([len(f) for f in found], pa.int64()),
-                    pa.array(sids, pa.int64()),
-                    pa.array(frequent_ones, pa.list_(pa.int64())),
-                    pa.nulls(n, pa.int32()),
-                    nothing,
-                    nothing,
-                ],
-                schema.names,
-            )
-            blobs = _blobs(list(_parts_of(np.concatenate([np.zeros(0, np.uint64), *values]), np.concatenate([np.zeros(0, np.int64), *owners]), parts)))
-            m = blobs.num_rows
-            empty = [pa.nulls(m, batch.column("doc_id").type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*empty, pa.nulls(m, pa.list_(pa.int64())), *blobs.columns], schema.names)
+            rows = []
+            for text in batch.column("text"):
+                found = shingles(text.as_py())
+                if not len(found):
+                    rows.append((0, None, None, None))
+                    continue
+                chosen = window(found, frequent_ones)
+                hot = chosen[_hot(chosen, frequent_ones)].astype(np.int64).tolist()
+                rows.append((len(found), name_of(found), sketch(found), hot or None))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
 
-    placed = written(docs.mapInArrow(place, schema), "jaccard-windows")
+def regions_of(docs: DataFrame, known: DataFrame, parts: int, levels) -> DataFrame:
+    """(region, sid) of the regions with several nodes."""
+
+    def place(batches):
+        frequent_ones = levels.value if levels is not None else None
+        for batch in batches:
+            values, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for text in batch.column("text"):
+                found = shingles(text.as_py())
+                if len(found):
+                    chosen = window(found, frequent_ones)
+                    values.append(chosen[~_hot(chosen, frequent_ones)])
+                    owners.append(np.full(len(values[-1]), name_of(found), np.int64))
+            yield _blobs(list(_parts_of(np.concatenate(values), np.concatenate(owners), parts)))
 
     def meet(table: pa.Table) -> pa.Table:
         low, sid = _joined(table, np.int64)
@@ -258,21 +275,21 @@ def named(docs: DataFrame, parts: int, levels) -> tuple[DataFrame, DataFrame]:
         part = np.int64(table["part"][0].as_py())
         return pa.table({"region": pa.array((part << np.int64(32)) | low[many].astype(np.int64)), "sid": pa.array(sid[many])})
 
-    few = placed.filter("part IS NOT NULL").select("part", "low", "other").groupBy("part").applyInArrow(meet, "region long, sid long")
-    # Frequent shingles: summed by (shingle, node) before the shuffle, joined rather than gathered.
-    hot_rows = placed.filter("hot IS NOT NULL").select("sid", F.explode("hot").alias("region")).select("region", "sid").distinct()
+    few = docs.select("text").mapInArrow(place, _BLOBS).groupBy("part").applyInArrow(meet, "region long, sid long")
+    # Frequent shingles: made one per (shingle, node) before the shuffle, joined rather than gathered.
+    hot_rows = known.filter("hot IS NOT NULL").select("sid", F.explode("hot").alias("region")).select("region", "sid").distinct()
     hot_rows = written(hot_rows, "jaccard-frequent")
     several = hot_rows.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1").select("region")
     # Parts number their regions from 0 upwards; the sign tells the regions of frequent shingles apart.
-    frequent_regions = hot_rows.join(several, "region", "left_semi").select((F.col("region").bitwiseOR(F.lit(-(2**63)))).alias("region"), "sid")
-    return placed.filter("part IS NULL").select("doc_id", "key", "n", "sid"), written(few.unionAll(frequent_regions), "jaccard-regions")
+    own = hot_rows.join(several, "region", "left_semi").select(F.col("region").bitwiseOR(F.lit(-(2**63))).alias("region"), "sid")
+    return written(few.unionAll(own), "jaccard-regions")
 
 
 def sets_of(docs: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
     """sid and shingles of the nodes in `wanted` (sid), each taken from one of its documents.
 
     A bit filter of fixed size over the keys of those documents spares the others the hashing; what it lets
-    through in error goes in the join.
+    through in error, or for repeated rows, is not asked for or is made one.
     """
     keys = known.join(wanted.distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("key").alias("key"))
     keys = written(keys, "jaccard-keys")
@@ -287,16 +304,17 @@ def sets_of(docs: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             key = batch.column("key").to_numpy()
-            rows = np.flatnonzero(_asked(sent.value, key))
-            found = [shingles(batch.column("text")[int(i)].as_py()) for i in rows]
+            found = [shingles(batch.column("text")[int(i)].as_py()) for i in np.flatnonzero(_asked(sent.value, key))]
+            found = [f for f in found if len(f)]
             offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
             values = np.concatenate([np.zeros(0, np.uint64), *found]).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[rows], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["key", "items"]
+                [pa.array([name_of(f) for f in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
+                ["sid", "items"],
             )
 
-    texts = docs.select("key", "text").mapInArrow(run, "key long, items array<long>")
-    return texts.join(keys, "key").dropDuplicates(["sid"]).select("sid", "items")
+    found = docs.select("key", "text").mapInArrow(run, "sid long, items array<long>")
+    return written(found, "jaccard-sets").repartition("sid").dropDuplicates(["sid"])
 
 
 def _asked(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -304,6 +322,24 @@ def _asked(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
 
 
+def near(pairs: DataFrame, sketches: DataFrame, radius: float) -> DataFrame:
+    """The pairs (a, b) that may lie within `radius`: what surely lies beyond by size or sketch goes."""
+    one = sketches.select(F.col("sid").alias("a"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"))
+    two = sketches.select(F.col("sid").alias("b"), F.col("n").alias("b_n"), F.col("bits").alias("b_bits"))
+    close = F.least("a_n", "b_n") >= (1 - radius) * F.greatest("a_n", "b_n")
+    joined = pairs.join(two, "b").join(one, "a").filter(close)
+
+    def run(batches):
+        for batch in batches:
+            a, b, a_n, b_n, a_bits, b_bits = (batch.column(c).to_pylist() for c in ("a", "b", "a_n", "b_n", "a_bits", "b_bits"))
+            gap = np.array([least_difference(x, y) for x, y in zip(a_bits, b_bits, strict=True)], np.float64)
+            both = np.array(a_n, np.float64) + np.array(b_n, np.float64)
+            keep = pa.array(both - gap >= (1 - radius) * (both + gap) - 1e-6)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).filter(keep), pa.array(b, pa.int64()).filter(keep)], ["a", "b"])
+
+    return joined.mapInArrow(run, "a long, b long")
+
+
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, both (shingles in common), any (in either) of each pair."""
     one = sets.select(F.col("sid").alias("a"), F.col("items").alias("a_items"))
@@ -343,24 +379,35 @@ def classes(docs: DataFrame, hot: int = HOT) -> DataFrame:
     rows = _rows(docs)
     parts = max(32, rows.count() // DOCS_PER_PART)
     levels = frequent(rows, parts, hot)
-    known, regions = named(rows, parts, spark.sparkContext.broadcast(levels) if levels is not None else None)
+    sent = spark.sparkContext.broadcast(levels) if levels is not None else None
+    known = written(named(rows, sent), "jaccard-names")
+    regions = regions_of(rows, known, parts, sent)
+    sketches = known.filter("sid IS NOT NULL").select("sid", "n", "bits").dropDuplicates(["sid"]).join(regions.select("sid").distinct(), "sid", "left_semi")
+    sketches = written(sketches, "jaccard-sketches")
+
+    def measured(pairs: DataFrame, radius: float, what: str) -> DataFrame:
+        """a, b, both, any of the pairs that may lie within `radius`."""
+        open_pairs = written(near(pairs, sketches, radius), f"jaccard-{what}")
+        if not open_pairs.limit(1).count():
+            return spark.createDataFrame([], "a long, b long, both int, any int")
+        sets = sets_of(rows, known, open_pairs.select(F.col("a").alias("sid")).unionAll(open_pairs.select("b")))
+        return written(distances(open_pairs, sets), f"jaccard-{what}-exact")
 
     # First round: each node of a region against the region's pivot.
     pivots = regions.groupBy("region").agg(F.min("sid").alias("b"))
-    stars = written(regions.join(pivots, "region").filter("sid <> b").select(F.col("sid").alias("a"), "b").distinct(), "jaccard-stars")
+    stars = regions.join(pivots, "region").filter("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
     nodes = regions.select("sid")
-    sets = written(sets_of(rows, known, nodes), "jaccard-sets")
-    first = written(distances(stars, sets), "jaccard-first")
+    first = measured(stars, 2 * RADIUS, "stars")
     links = first.filter(_links())
     labels = components(links)
 
     # A node's home is the pivot it lies nearest to; a pivot with a cell of its own is its own home.
-    near = links.groupBy(F.col("a").alias("sid")).agg(F.min(F.struct(_distance().alias("d"), F.col("b").alias("home"))).alias("near"))
+    closest = links.groupBy(F.col("a").alias("sid")).agg(F.min(F.struct(_distance().alias("d"), F.col("b").alias("home"))).alias("near"))
     centres = links.select(F.col("b").alias("sid")).distinct().withColumn("centre", F.lit(True))
     placed = (
         nodes.distinct()
         .join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-        .join(near, "sid", "left")
+        .join(closest, "sid", "left")
         .join(centres, "sid", "left")
         .select(
             "sid",
@@ -376,18 +423,15 @@ def classes(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     # Second round: nodes against the homes of other components in their region.
     cells = members.select("region", F.col("home").alias("b"), F.col("label").alias("b_label")).distinct()
-    told = first.select("a", "b").unionAll(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     asked = members.join(cells, "region").filter("b_label < label").select(F.col("sid").alias("a"), "b").distinct()
-    second = distances(asked.join(told, ["a", "b"], "left_anti"), sets)
-    known_far = asked.join(first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b"), "both", "any")), ["a", "b"])
-    second = written(second.unionByName(known_far.dropDuplicates(["a", "b"])), "jaccard-second")
+    second = measured(asked, 2 * RADIUS, "cells")
 
     # Third round: nodes near another cell against its members in their region, as the triangle allows.
     border = second.filter(~_links() & (_distance() <= 2 * RADIUS + 1e-9)).select("a", F.col("b").alias("home"), _distance().alias("far"))
     inside = members.select("region", F.col("sid").alias("b"), "home", "d", F.col("label").alias("b_label")).filter("b <> home")
     here = members.select("region", F.col("sid").alias("a"), "label").join(border, "a")
     reach = here.join(inside, ["region", "home"]).filter((F.col("b_label") < F.col("label")) & (F.abs(F.col("far") - F.col("d")) <= RADIUS + 1e-9))
-    third = distances(reach.select("a", "b").distinct(), sets)
+    third = measured(reach.select("a", "b").distinct(), RADIUS, "members")
     more = written(second.unionByName(third).filter(_links()).select("a", "b"), "jaccard-more")
     if more.limit(1).count():
         labels = components(links.select("a", "b").unionAll(more))
