@@ -41,8 +41,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 16_384
 FAN = 64
 SPACE = "▁"
-MOST_CACHED = 400_000
-TOGETHER = 4_000_000  # characters whose words are solved together
+MOST_CACHED = 200_000
+TOGETHER = 2_000_000  # characters whose words are solved together
 LONGEST_WORD = 32  # of the words that are solved many at a time
 _NORMAL, _BYTE, _UNIGRAM, _BPE = 1, 6, 1, 2
 # A word, or a line break: no piece holds one, so it stands alone as well.
@@ -185,12 +185,41 @@ class Lattice(dict):
         allowed[some] = self.pair_known[at]
         return allowed
 
+    def _only_paths(self, arcs: np.ndarray, last: np.ndarray, step: np.ndarray) -> None:
+        """In a BPE lattice one path reaches a position: the first arc that fits is its last one."""
+        n, _, m = arcs.shape
+        for end in range(1, n + 1):
+            left = np.arange(m)
+            for start in range(max(0, end - self.longest), end):
+                ids = arcs[start, end, left]
+                some = np.flatnonzero(ids != -1)
+                if not some.size:
+                    continue
+                rows, ids = left[some], ids[some].astype(np.int64)
+                fits = self._together(last[start, rows], ids)
+                last[end, rows[fits]], step[end, rows[fits]] = ids[fits], end - start
+                left = np.delete(left, some[fits])
+                if not left.size:
+                    break
+
+    def _best_paths(self, arcs: np.ndarray, last: np.ndarray, step: np.ndarray) -> None:
+        """In a unigram lattice the best score decides; of equal ones the longer arc, as in `walk`."""
+        n, _, m = arcs.shape
+        best = np.full((n + 1, m), NONE)
+        best[0] = 0
+        for end in range(1, n + 1):
+            for start in range(max(0, end - self.longest), end):
+                ids = arcs[start, end]
+                score = best[start] + np.where(ids >= 0, self.weights[ids], self.unknown)
+                better = (ids != -1) & (score > best[end])
+                best[end][better], last[end][better], step[end][better] = score[better], ids[better], end - start
+
     def _solved(self, words: list[str]) -> list[bytes]:
         """The ids of words of one length: the same best paths as `walk`, all words a step at a time."""
         n = len(words[0])
         chars = np.array(words).view(np.uint32).reshape(-1, n).astype(np.uint64) + np.uint64(1)
         m, base = len(words), np.uint64(_BASE)
-        arcs = np.full((n, n + 1, m), -1, np.int64)  # by start and end
+        arcs = np.full((n, n + 1, m), -1, np.int32)  # by start and end
         for start in range(n):
             total = np.zeros(m, np.uint64)
             for end in range(start + 1, min(n, start + self.longest) + 1):
@@ -201,22 +230,11 @@ class Lattice(dict):
                 arcs[start, end] = -2 if end == start + 1 else -1
                 true = self.hashes[at] == wanted
                 arcs[start, end, some[true]] = self.of_hash[at[true]]
-        best, last, step = np.full((n + 1, m), NONE), np.full((n + 1, m), -1, np.int64), np.zeros((n + 1, m), np.int64)
-        best[0] = 0
-        for end in range(1, n + 1):
-            starts = range(end - 1, max(0, end - self.longest) - 1, -1)
-            ids = np.stack([arcs[start, end] for start in starts])
-            before = np.stack([last[start] for start in starts])
-            open_ = (ids != -1) & (np.stack([best[start] for start in starts]) > NONE)
-            follows = np.zeros(ids.shape, bool)
-            follows[open_] = self._together(before[open_], ids[open_])
-            for k, start in enumerate(starts):
-                weight = 0.0 if self.bpe else np.where(ids[k] >= 0, self.weights[ids[k]], self.unknown)
-                score = best[start] + weight
-                # Lengths come from one character upwards here, so of equal scores the longer arc is taken, as in `walk`.
-                better = follows[k] & (score >= best[end])
-                best[end][better] = score[better] if np.ndim(score) else score
-                last[end][better], step[end][better] = ids[k][better], end - start
+        last, step = np.full((n + 1, m), -1, np.int64), np.zeros((n + 1, m), np.int64)
+        if self.bpe:
+            self._only_paths(arcs, last, step)
+        else:
+            self._best_paths(arcs, last, step)
         out, at, count = np.zeros((m, n), np.int32), np.full(m, n), np.zeros(m, np.int64)
         strange = np.zeros(m, bool)
         while (going := np.flatnonzero(at > 0)).size:
@@ -473,6 +491,14 @@ def scanned(texts: DataFrame, model: Model, chunk_chars: int) -> DataFrame:
     return whole.drop("matrix").join(chosen, ["digest", "chunk"]).mapInArrow(trace, "digest binary, chunk int, ids array<int>")
 
 
+def _sliced(batches, most: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """Batches of about `most` bytes, at least a row each: what is unpacked at once stays small."""
+    for batch in batches:
+        step = max(1, int(most * batch.num_rows / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def _lists(rows: list[np.ndarray | None]) -> pa.Array:
     offsets = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([0 if r is None else len(r) for r in rows], out=offsets[1:])
@@ -490,7 +516,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = CHUNK_CHARS)
 
     def run(batches):
         lattice = sent.lattice()
-        for batch in batches:
+        for batch in _sliced(batches):
             ids = list(lattice.encode_all(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids)], [*names, "ids"])
 
@@ -512,7 +538,7 @@ def decode(encoded: DataFrame, ids: str = "ids", added: str = "decoded", model:
 
     def run(batches):
         lattice = sent.lattice()
-        for batch in batches:
+        for batch in _sliced(batches):
             texts = [None if r is None else lattice.decode(r) for r in (v.as_py() for v in batch.column(ids))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, added])
 
