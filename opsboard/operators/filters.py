@@ -8,14 +8,9 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from opsboard import schema
 from opsboard.functions.calendar import months_covered
-from opsboard.sources.dictionaries import small_table
-
-# Longer lists become a semi join with a local table instead of a predicate.
-LONGEST_IN_LIST = 1000
 
 
 @dataclass(frozen=True)
@@ -31,14 +26,9 @@ class Selection:
 
 
 def one_of(df: DataFrame, column: str, members: Iterable) -> DataFrame:
-    """Keep rows whose ``column`` is among ``members``; null never is."""
+    """Keep rows whose ``column`` is among ``members``; null never is. Spark turns a long list into a hash set."""
     members = list(members)
-    if not members:
-        return df
-    if len(members) <= LONGEST_IN_LIST:
-        return df.filter(F.col(column).isin(members))
-    struct = T.StructType([T.StructField(column, df.schema[column].dataType)])
-    return df.join(small_table(df.sparkSession, [(m,) for m in set(members)], struct), column, "left_semi")
+    return df.filter(F.col(column).isin(members)) if members else df
 
 
 def months_between(df: DataFrame, lo: date, hi: date) -> DataFrame:

@@ -122,17 +122,26 @@ def trend_or_bars(bars: DataFrame, trend: DataFrame, keys: Sequence[str] = ("kpi
     return trend.withColumn("origen", F.lit("tendencia")).unionByName(rest.withColumn("origen", F.lit("barras")))
 
 
+def bars_and_line(points: DataFrame, keys: Sequence[str] = ("kpi_id",)) -> DataFrame:
+    """Points of both scenarios with what draws them: actual ones are bars; the line is the forecast of a
+    series that has one, else its bars. ``points`` are sums by series, scenario and month."""
+    forecast = F.col("escenario") == schema.FORECAST
+    has_trend = F.max(forecast).over(Window.partitionBy(*keys))
+    return points.withColumns({"en_barras": ~forecast, "en_linea": forecast | ~has_trend})
+
+
 def to_grouped(points: DataFrame, name: str, category: Column, order: str, value: str = "valor") -> DataFrame:
-    """One row per series with position-aligned arrays; as long as its categories, so short."""
-    rows = F.array_sort(
-        F.collect_list(F.struct(F.col(order).alias("o"), category.alias("c"), F.col(value).alias("v")))
+    """One row per series with arrays aligned to the categories of all series, null where a series has
+    no value. As long as the categories, so short; the common axis is made over one row per series."""
+    at = F.struct(F.col(order).alias("o"), category.alias("c"))
+    own = points.groupBy(F.col(name).alias("name")).agg(
+        F.collect_set(at).alias("own"), F.map_from_entries(F.collect_list(F.struct(F.col(order), F.col(value)))).alias("by_order")
     )
-    return (
-        points.groupBy(F.col(name).alias("name"))
-        .agg(rows.alias("rows"))
-        .select(
-            F.col("rows.c").alias("categories"), "name", F.col("rows.v").cast("array<double>").alias("valores")
-        )
+    axis = F.array_sort(F.array_distinct(F.flatten(F.collect_list("own").over(Window.partitionBy()))))
+    return own.withColumn("axis", axis).select(
+        F.col("axis.c").alias("categories"),
+        "name",
+        F.transform("axis", lambda a: F.try_element_at("by_order", a["o"])).cast("array<double>").alias("valores"),
     )
 
 

@@ -125,19 +125,13 @@ def kpi_slicers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         with_label(chosen, names, "pais", label="n_name")
         .select("kpi_id", "mes", "pais", "etiqueta", F.col("valor").cast("double").alias("valor"))
-        
     )
 
 
 def kpi_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actual months as bars; forecast months as the line of the KPIs that have one."""
-    facts = kpi_actuals(spark, sf_dir)
-    real, forecast = series.scenario_split(facts)
-    bars = filters.without_gaps(series.monthly_total(real, ("kpi_id", "escenario")))
-    trend = filters.without_gaps(
-        series.monthly_total(forecast.filter("kpi_id <> 'SINIESTRALIDAD'"), ("kpi_id", "escenario"))
-    )
-    return series.trend_or_bars(bars, trend)
+    """Actual months as bars; the line over them is the forecast of the KPIs that have one."""
+    points = filters.without_gaps(series.monthly_total(kpi_actuals(spark, sf_dir), ("kpi_id", "escenario")))
+    return series.bars_and_line(points)
 
 
 def kpi_without_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,12 +218,13 @@ def kpi_vs_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kpi_cagr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    year = F.trunc("mes", "year")
+    """Over all full years: those with a value in each of their twelve months."""
     yearly = (
         segment_months(spark, sf_dir)
-        .filter(F.year("mes").between(1995, 2000))
-        .groupBy("segmento", year.alias("mes"))
-        .agg(F.sum("valor").cast("double").alias("valor"))
+        .groupBy("segmento", F.trunc("mes", "year").alias("mes"))
+        .agg(F.sum("valor").cast("double").alias("valor"), F.count(F.lit(1)).alias("meses"))
+        .filter("meses = 12")
+        .drop("meses")
     )
     grown = series.cagr(yearly, ("segmento",))
     return grown.withColumn("cagr", F.round("cagr", 9))
@@ -402,18 +397,17 @@ def kpi_programme_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kpi_cases_per_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    services = testdata.services(spark, sf_dir).filter("perspectiva = 'gestion' AND nodo IS NOT NULL")
-    return metrics.per_entity(services, F.col("servicios"), "agente", ["nodo"])
+    services = testdata.services(spark, sf_dir).filter("nodo IS NOT NULL")
+    return metrics.per_entity(services, F.col("servicios"), "agente", ["perspectiva", "nodo"])
 
 
 def kpi_cases_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as one card with a row per node."""
+    """The same as one card per perspective with a row per node."""
     rows = kpi_cases_per_agent(spark, sf_dir)
-    card = cards.multi_value_card(rows, "nodo", "por_entidad", "nodo")
-    value = F.lit(None).cast("double")
+    card = cards.multi_value_card(rows, "nodo", "por_entidad", "nodo", ("perspectiva",))
     return card.select(
-        cards.is_pending(value).alias("pendiente_sin_filas"),
-        cards.is_pending(value, F.col("rows")).alias("pendiente"),
+        "perspectiva",
+        cards.is_pending(F.lit(None).cast("double"), F.col("rows")).alias("pendiente"),
         F.size("rows").alias("filas"),
         cards.rows_text(F.col("rows")).alias("texto"),
     )
@@ -421,8 +415,9 @@ def kpi_cases_card(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kpi_board_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored cards of the three kinds – rows, value, pending – and the face each one shows."""
-    cases = cards.multi_value_card(kpi_cases_per_agent(spark, sf_dir), "nodo", "por_entidad", "nodo").select(
-        F.lit("CASOS").alias("id"), "rows"
+    rows = kpi_cases_per_agent(spark, sf_dir)
+    cases = cards.multi_value_card(rows, "nodo", "por_entidad", "nodo", ("perspectiva",)).select(
+        F.concat(F.lit("CASOS "), "perspectiva").alias("id"), "rows"
     )
     events = metrics.ratio_kpi(table(spark, sf_dir, "events"), metrics.rows_where(F.col("event_type") != "error"), F.lit(1))
     uptime = events.select(
@@ -433,8 +428,11 @@ def kpi_board_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
             "secondary_line"
         ),
     )
-    # no supplier has a usage figure, so this card has no value yet
-    adoption = table(spark, sf_dir, "supplier").agg(F.lit("ADOPCION").alias("id"), F.max(F.lit(None).cast("double")).alias("value"))
+    # finished orders over all orders stand for usage
+    finished = metrics.ratio_kpi(table(spark, sf_dir, "orders"), metrics.rows_where(F.col("o_orderstatus") == "F"), F.lit(1))
+    adoption = finished.select(
+        F.lit("ADOPCION").alias("id"), F.col("ratio").alias("value"), numbers.percent(F.col("ratio"), 1).alias("display_value")
+    )
     stored = cases.unionByName(uptime, True).unionByName(adoption, True)
     return cards.card_faces(conform(stored, schema.KPI_CARD)).select("id", "pendiente", "cara", "texto", "segunda_linea")
 
@@ -476,7 +474,6 @@ def kpi_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("o_orderpriority").alias("title"), state.alias("subtitle"), told.alias("status"))
         .agg(F.count("*").alias("pedidos"))
         .withColumn("colour", cards.milestone_colour(F.col("status")))
-        
     )
 
 
@@ -497,9 +494,9 @@ WHERE mes < (SELECT max(mes) FROM act)
 
 
 _CASES_SQL = """
-SELECT nodo, CAST(sum(servicios) AS BIGINT) AS medida, count(DISTINCT agente) AS entidades,
+SELECT perspectiva, nodo, CAST(sum(servicios) AS BIGINT) AS medida, count(DISTINCT agente) AS entidades,
   CAST(sum(servicios) AS BIGINT) / count(DISTINCT agente) AS por_entidad
-FROM services WHERE perspectiva = 'gestion' AND nodo IS NOT NULL GROUP BY nodo
+FROM services WHERE nodo IS NOT NULL GROUP BY perspectiva, nodo
 """
 
 _CARDS_SQL = f"""
@@ -542,8 +539,10 @@ _HALF_START = "make_date(year({0}), CASE WHEN month({0}) <= 6 THEN 1 ELSE 7 END,
 _HALF_LABEL = f"CASE WHEN month(inicio) <= 6 THEN '1er Sem''' ELSE '2do Sem''' END || {_YY}"
 _QUARTER_LABEL = f"'Q' || CAST(quarter(inicio) AS VARCHAR) || '''' || {_YY}"
 _LONG_SQL = f"""
-, grouped AS (SELECT segmento AS name, {_MONTH_LABEL} AS categoria, valor,
-  CAST(row_number() OVER (PARTITION BY segmento ORDER BY mes) - 1 AS INTEGER) AS pos FROM seg)
+, axis AS (SELECT mes, CAST(row_number() OVER (ORDER BY mes) - 1 AS INTEGER) AS pos FROM (SELECT DISTINCT mes FROM seg)),
+names AS (SELECT DISTINCT segmento FROM seg),
+grouped AS (SELECT names.segmento AS name, {_MONTH_LABEL} AS categoria, valor, pos
+  FROM names CROSS JOIN axis LEFT JOIN (SELECT segmento, mes AS m, valor FROM seg) s ON s.segmento = names.segmento AND m = mes)
 """
 
 QUERIES: dict[str, Query] = {
@@ -580,9 +579,9 @@ WHERE pais IN ('3', '7') AND year(mes) = 1999 AND month(mes) IN (1, 2, 3, 11)"""
         _FACTS_SQL
         + """
 , split AS (SELECT kpi_id, escenario, mes, CAST(sum(valor) AS DOUBLE) AS valor FROM facts GROUP BY ALL),
-trend AS (SELECT * FROM split WHERE escenario = 'FCST' AND kpi_id <> 'SINIESTRALIDAD')
-SELECT *, 'tendencia' AS origen FROM trend
-UNION ALL SELECT *, 'barras' FROM split WHERE escenario = 'REAL' AND kpi_id NOT IN (SELECT kpi_id FROM trend)""",
+trend AS (SELECT DISTINCT kpi_id FROM split WHERE escenario = 'FCST')
+SELECT *, escenario = 'REAL' AS en_barras, escenario = 'FCST' OR kpi_id NOT IN (SELECT kpi_id FROM trend) AS en_linea
+FROM split""",
     ),
     "kpi_without_forecast": Query(
         kpi_without_forecast, _FACTS_SQL + "SELECT * FROM total WHERE mes <= DATE '2000-12-01'"
@@ -677,7 +676,7 @@ SELECT p.*, base, false AS pendiente, (valor - base) / base AS delta FROM p, b""
         + """
 , y AS (SELECT c_mktsegment AS segmento, CAST(date_trunc('year', o_orderdate) AS DATE) AS mes,
   CAST(sum(amount) AS DOUBLE) AS valor FROM priced JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) BETWEEN 1995 AND 2000 GROUP BY ALL),
+  JOIN customer ON o_custkey = c_custkey GROUP BY ALL HAVING count(DISTINCT month(o_orderdate)) = 12),
 e AS (SELECT segmento, min(mes) AS desde, max(mes) AS hasta, arg_min(valor, mes) AS primero,
   arg_max(valor, mes) AS ultimo FROM y GROUP BY segmento)
 SELECT *, round(pow(ultimo / primero, 1.0 / (year(hasta) - year(desde))) - 1, 9) AS cagr FROM e""",
@@ -782,21 +781,22 @@ SELECT inicio, {_QUARTER_LABEL} AS periodo_label,
         SERVICES_SQL
         + f"""
 , cases AS ({_CASES_SQL})
-SELECT true AS pendiente_sin_filas, false AS pendiente, CAST(count(*) AS INTEGER) AS filas,
+SELECT perspectiva, false AS pendiente, CAST(count(*) AS INTEGER) AS filas,
   string_agg(nodo || ' ' || rtrim(rtrim(format('{{:,.3f}}', por_entidad), '0'), '.'), ' | ' ORDER BY nodo) AS texto
-FROM cases""",
+FROM cases GROUP BY perspectiva""",
     ),
     "kpi_board_cards": Query(
         kpi_board_cards,
         SERVICES_SQL
         + f"""
 , cases AS ({_CASES_SQL}), e AS (SELECT count(*) AS n, count(*) FILTER (event_type <> 'error') AS ok FROM events)
-SELECT 'CASOS' AS id, false AS pendiente, 'filas' AS cara, string_agg(
+SELECT 'CASOS ' || perspectiva AS id, false AS pendiente, 'filas' AS cara, string_agg(
   nodo || ' ' || rtrim(rtrim(format('{{:,.3f}}', por_entidad), '0'), '.'), ' | ' ORDER BY nodo) AS texto,
-  '' AS segunda_linea FROM cases
+  '' AS segunda_linea FROM cases GROUP BY perspectiva
 UNION ALL SELECT 'DISPONIBILIDAD', false, 'valor', printf('%.1f', ok / n * 100) || '%',
   'Eventos ' || format('{{:,}}', n) FROM e
-UNION ALL SELECT 'ADOPCION', true, 'pendiente', 'TBD', ''""",
+UNION ALL SELECT 'ADOPCION', false, 'valor', printf('%.1f', count(*) FILTER (o_orderstatus = 'F') / count(*) * 100) || '%', ''
+  FROM orders""",
     ),
     "kpi_number_labels": Query(
         kpi_number_labels,

@@ -57,10 +57,21 @@ class ServiceBoard:
     The dictionary panels read the cube, the account, coordinator and detail panels the services.
     """
 
-    def __init__(self, services: DataFrame, cube: DataFrame | None = None, members: DataFrame | None = None):
+    def __init__(
+        self,
+        services: DataFrame,
+        cube: DataFrame | None = None,
+        members: DataFrame | None = None,
+        months: DataFrame | None = None,
+        agents: DataFrame | None = None,
+    ):
         self.services = services
         self.cube = monthly_cube(services) if cube is None else cube
         self.members = options.hierarchy_members(services) if members is None else members
+        # what the month and coordinator filters offer is not narrowed by those filters themselves
+        self.whole = months is None
+        self.months = options.members(self.cube, "mes") if months is None else months
+        self.agents = options.agent_options(services) if agents is None else agents
 
     @classmethod
     def load(cls, spark: SparkSession, paths: Mapping[str, str], **options_) -> ServiceBoard:
@@ -72,16 +83,18 @@ class ServiceBoard:
         They go to the checkpoint folder all executors share, so no lost executor sends the panels
         back to the extract. The folder is the cluster's to name (``spark.checkpoint.dir``).
         """
-        if self.cube.sparkSession.sparkContext.getCheckpointDir() is None:
+        context = self.cube.sparkSession.sparkContext
+        if context.getCheckpointDir() is None:
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        return ServiceBoard(self.services, self.cube.checkpoint(), self.members.checkpoint())
+        return ServiceBoard(self.services, self.cube.checkpoint(), self.members.checkpoint(), None if self.whole else self.months, self.agents)
 
     def select(self, chosen: Selection) -> ServiceBoard:
-        """The board over a selection; what the filters offer stays that of the whole board."""
+        """The board over a selection. Months, nodes and the cascade on offer stay those of the whole
+        board; coordinators are those under the shared filters, whichever of them are chosen."""
         services = apply_selection(self.services, chosen)
-        if chosen.cuentas or chosen.coordinadores:  # the cube does not know these
-            return ServiceBoard(services, members=self.members)
-        return ServiceBoard(services, apply_selection(self.cube, chosen), self.members)
+        # the cube does not know accounts and coordinators
+        cube = None if chosen.cuentas or chosen.coordinadores else apply_selection(self.cube, chosen)
+        return ServiceBoard(services, cube, self.members, self.months, options.agent_options(self.services, chosen))
 
     def breakdown(self, dimension: str, top: int | None = None) -> DataFrame:
         """Participation by one of the board's dimensions."""
@@ -91,10 +104,10 @@ class ServiceBoard:
 
     def options(self, nodos: tuple[str, ...] = (), paises: tuple[str, ...] = ()) -> dict[str, DataFrame]:
         return {
-            "meses": options.members(self.cube, "mes"),
+            "meses": self.months,
             "nodos": options.members(self.members, "nodo"),
             "cascada": options.cascade_options(self.members, nodos, paises),
-            "coordinadores": options.agent_options(self.services),
+            "coordinadores": self.agents,
         }
 
     def panels(self, top_n: int = 15) -> dict[str, DataFrame]:

@@ -116,7 +116,23 @@ def test_grouped_series_long_and_wide(spark, rows):
 def test_to_grouped_orders_by_position(points, rows):
     df = points(("b", 2, 3.0), ("b", 0, 1.0), ("a", 1, None))
     got = rows(series.to_grouped(df, "kpi_id", F.month("mes").cast("string"), "mes").orderBy("name"), "name", "categories", "valores")
-    assert got == [("a", ["2"], [None]), ("b", ["1", "3"], [1.0, 3.0])]
+    axis = ["1", "2", "3"]
+    assert got == [("a", axis, [None, None, None]), ("b", axis, [1.0, None, 3.0])]
+
+
+def test_grouped_series_share_one_axis(points, rows):
+    df = points(("a", 0, 1.0), ("a", 1, 2.0), ("a", 2, 3.0), ("b", 0, 4.0), ("b", 2, 6.0))
+    long = series.grouped_long(series.to_grouped(df, "kpi_id", F.month("mes").cast("string"), "mes"))
+    wide = series.grouped_wide(long, ("a", "b")).orderBy("pos")
+    assert rows(wide, "pos", "categoria", "a", "b") == [(0, "1", 1.0, 4.0), (1, "2", 2.0, None), (2, "3", 3.0, 6.0)]
+
+
+def test_the_line_is_the_forecast_where_there_is_one(spark, rows):
+    df = spark.createDataFrame(
+        [("x", "REAL", 1), ("x", "FCST", 2), ("y", "REAL", 3)], "kpi_id string, escenario string, valor int"
+    )
+    got = rows(series.bars_and_line(df).orderBy("valor"), "valor", "en_barras", "en_linea")
+    assert got == [(1, True, False), (2, False, True), (3, True, True)]
 
 
 def test_periods_do_not_invent_missing_ones(points, rows):
