@@ -208,7 +208,8 @@ def edited(indexed: DataFrame, edits: str, vocabulary: str = VOCABULARY) -> Data
     ship(indexed.sparkSession)
     words = _Vocabulary(indexed.sparkSession, vocabulary)
     indexed = _without(indexed, [f.name for f in _EDITED]).withColumn(edits, F.col(edits).cast(T.ArrayType(_EDIT)))
-    names = [*indexed.columns, *(f.name for f in _EDITED)]
+    given = indexed.columns
+    names = [*given, *(f.name for f in _EDITED)]
 
     def run(batches):
         counter = words.counter()
@@ -222,7 +223,7 @@ def edited(indexed: DataFrame, edits: str, vocabulary: str = VOCABULARY) -> Data
             kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
             arrays = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)]
             columns |= dict(zip(("text", "leaf_ends", "tree"), arrays, strict=False))
-            yield pa.RecordBatch.from_arrays([*(columns[c] for c in indexed.columns), *arrays[3:]], names)
+            yield pa.RecordBatch.from_arrays([*(columns[c] for c in given), *arrays[3:]], names)
 
     return indexed.mapInArrow(run, T.StructType([*indexed.schema.fields, *_EDITED]))
 
