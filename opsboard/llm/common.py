@@ -6,10 +6,13 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+SLICE_BYTES = 6 << 20
 PACKAGE = Path(__file__).resolve().parents[1]
 
 
@@ -49,6 +52,14 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def sliced(batches: Iterable[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of about `most` bytes, at least a row each: what a Python worker unpacks at once stays small."""
+    for batch in batches:
+        step = max(1, int(most * batch.num_rows / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, wherever the driver was started."""
     context = spark.sparkContext

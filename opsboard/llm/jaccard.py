@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsboard.llm.common import fresh, ship, written
+from opsboard.llm.common import fresh, ship, sliced, written
 
 WORDS = 5
 RADIUS = 0.25
@@ -179,7 +179,7 @@ def frequent(docs: DataFrame, parts: int, hot: int = HOT) -> np.ndarray | None:
     """
 
     def count(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found = [shingles(t.as_py()) for t in batch.column("text")]
             values, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
             yield _blobs(list(_parts_of(values, np.minimum(n, 65_535).astype(np.uint16), parts)))
@@ -231,7 +231,7 @@ def named(docs: DataFrame, levels) -> DataFrame:
 
     def run(batches):
         frequent_ones = levels.value if levels is not None else None
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for text in batch.column("text"):
                 found = shingles(text.as_py())
@@ -253,7 +253,7 @@ def regions_of(docs: DataFrame, known: DataFrame, parts: int, levels) -> DataFra
 
     def place(batches):
         frequent_ones = levels.value if levels is not None else None
-        for batch in batches:
+        for batch in sliced(batches):
             values, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for text in batch.column("text"):
                 found = shingles(text.as_py())
@@ -302,7 +302,7 @@ def sets_of(docs: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             key = batch.column("key").to_numpy()
             found = [shingles(batch.column("text")[int(i)].as_py()) for i in np.flatnonzero(_asked(sent.value, key))]
             found = [f for f in found if len(f)]
@@ -330,7 +330,7 @@ def near(pairs: DataFrame, sketches: DataFrame, radius: float) -> DataFrame:
     joined = pairs.join(two, "b").join(one, "a").filter(close)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             a, b, a_n, b_n, a_bits, b_bits = (batch.column(c).to_pylist() for c in ("a", "b", "a_n", "b_n", "a_bits", "b_bits"))
             gap = np.array([least_difference(x, y) for x, y in zip(a_bits, b_bits, strict=True)], np.float64)
             both = np.array(a_n, np.float64) + np.array(b_n, np.float64)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsboard.llm.common import fresh, ship, written
+from opsboard.llm.common import fresh, ship, sliced, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 16_384
@@ -448,7 +448,7 @@ def scanned(texts: DataFrame, model: Model, chunk_chars: int) -> DataFrame:
 
     def matrices(batches):
         lattice = model.lattice()
-        for batch in batches:
+        for batch in sliced(batches, TOGETHER):
             rows = batch.to_pylist()
             made = [_packed(lattice.transfer(r["body"], r["cut"], r["stop"], r["chunk"] == 0, r["final"])) for r in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, "matrix"])
@@ -482,7 +482,7 @@ def scanned(texts: DataFrame, model: Model, chunk_chars: int) -> DataFrame:
 
     def trace(batches):
         lattice = model.lattice()
-        for batch in batches:
+        for batch in sliced(batches, TOGETHER):
             rows = batch.to_pylist()
             lattice.learn([r["body"] for r in rows])
             ids = [lattice.traced(r["body"], r["cut"], r["stop"], r["chunk"] == 0, r["final"], r["into"], r["out"]) for r in rows]
@@ -491,14 +491,6 @@ def scanned(texts: DataFrame, model: Model, chunk_chars: int) -> DataFrame:
     return whole.drop("matrix").join(chosen, ["digest", "chunk"]).mapInArrow(trace, "digest binary, chunk int, ids array<int>")
 
 
-def _sliced(batches, most: int = TOGETHER) -> Iterator[pa.RecordBatch]:
-    """Batches of about `most` bytes, at least a row each: what is unpacked at once stays small."""
-    for batch in batches:
-        step = max(1, int(most * batch.num_rows / max(1, batch.nbytes)))
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
-
-
 def _lists(rows: list[np.ndarray | None]) -> pa.Array:
     offsets = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([0 if r is None else len(r) for r in rows], out=offsets[1:])
@@ -516,7 +508,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = CHUNK_CHARS)
 
     def run(batches):
         lattice = sent.lattice()
-        for batch in _sliced(batches):
+        for batch in sliced(batches, TOGETHER):
             ids = list(lattice.encode_all(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids)], [*names, "ids"])
 
@@ -538,7 +530,7 @@ def decode(encoded: DataFrame, ids: str = "ids", added: str = "decoded", model:
 
     def run(batches):
         lattice = sent.lattice()
-        for batch in _sliced(batches):
+        for batch in sliced(batches, TOGETHER):
             texts = [None if r is None else lattice.decode(r) for r in (v.as_py() for v in batch.column(ids))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, added])
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsboard.llm.common import fresh, ship, written
+from opsboard.llm.common import fresh, ship, sliced, written
 
 KINDS = ("email", "ip", "card", "phone")
 FURTHER = "identifier"
@@ -157,7 +157,7 @@ def scan(docs: DataFrame) -> DataFrame:
     kinds = [pa.int64()] * len(KINDS) + [pa.string(), pa.string(), seen, pa.binary()]
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [_scan(v.as_py()) for v in batch.column("text")]
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], schema.names)
@@ -251,7 +251,7 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     joined = docs.withColumn(key, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(extra, key, "left").drop(key)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             more = batch.column(spans).to_pylist()
             new = [t if t is None else blanked(t, [(s["start"], s["end"]) for s in m or ()]) for t, m in zip(texts, more, strict=True)]

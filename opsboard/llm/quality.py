@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsboard.llm.common import fresh, ship
+from opsboard.llm.common import fresh, ship, sliced
 
 SAMPLE_ROWS = 20_000
 HELD_OUT = 1  # remainder of crc32(doc_id) by 3 that no label is learnt from
@@ -141,7 +141,7 @@ def _with_statistics(df: DataFrame, text: str, added: str) -> DataFrame:
     names = [c for c in df.columns if c != text]
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [statistics(v.as_py()) for v in batch.column(text)]
             values = pa.array([v for row in rows for v in row], pa.float64())
             offsets = pa.array(np.arange(len(rows) + 1) * len(FEATURES), pa.int32())
@@ -178,7 +178,7 @@ def with_score(docs: DataFrame, forest: Forest, added: str = "score") -> DataFra
     ship(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             x = np.array([statistics(v.as_py()) for v in batch.column("text")]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.score(x), pa.float64())], [*batch.schema.names, added])
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsboard.llm.common import ship
+from opsboard.llm.common import ship, sliced
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-token pattern that belongs to the vocabulary.
@@ -194,7 +194,7 @@ def build(docs: DataFrame, vocabulary: str = VOCABULARY, leaf_pretokens: int = L
 
     def run(batches):
         counter = words.counter()
-        for batch in batches:
+        for batch in sliced(batches):
             made = [grown(v.as_py() or "", counter, leaf_pretokens) for v in batch.column("text")]
             ends = pa.array([e.tolist() for e, _ in made], pa.list_(pa.int32()))
             trees = pa.array([t.tolist() for _, t in made], pa.list_(pa.int64()))
@@ -213,7 +213,7 @@ def edited(indexed: DataFrame, edits: str, vocabulary: str = VOCABULARY) -> Data
 
     def run(batches):
         counter = words.counter()
-        for batch in batches:
+        for batch in sliced(batches):
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             made = []
             for text, ends, tree, todo in zip(*(columns[c] for c in ("text", "leaf_ends", "tree", edits)), strict=True):
