@@ -1,13 +1,18 @@
 """Personal data: base patterns, then contextual extraction bootstrapped from what they find.
 
 Four kinds are found by their form (email, ip, card, phone). These seeds induce lexical patterns, the words
-next to them. Spark keeps the graph of patterns and instances (identifier-like tokens, seeds among them) as
-an edge table and scores it in rounds: a pattern by the scores of its instances, an instance by those of its
-patterns. Occurrences of patterns that end with a high score and enough seeds are taken as further spans
-of the kind `identifier`.
-
-The texts are scanned once per call; what leaves the scan are spans and contexts of the few tokens that
-look like identifiers. Edges are counted before each shuffle; nothing is gathered by pattern or instance.
+next to them. An instance is a token of LEAST_LENGTH characters with a digit. Spark keeps the graph of patterns and instances
+as an edge table and scores it in rounds: a pattern by the scores of its instances, an instance by those of its
+patterns. What patterns with a high score and enough seeds point at are further spans of the kind `identifier`.
+Instances found so become seeds themselves when they are confident: their patterns' mean score is high too,
+and such patterns find at least LEAST_SHARE of all their occurrences (else they are common words). All of it is
+repeated, hop after hop, until no seed is new.
+
+Each hop scans the texts for new patterns and new seeds only. The graph holds patterns with enough distinct
+seeds that are LEAST_SHARE of what the pattern points at, so it has at most 1 / LEAST_SHARE edges for each
+occurrence of a seed; common words are only counted. Less than that could reach the score only through
+instances of other good patterns, and these are seeds in the next hop. What is sent to the workers are the
+patterns that have enough seeds and the instances that those in the graph find.
 
 Defined results: a null text counts as empty and has no spans; spans are code points, end exclusive;
 kinds are searched apart and may overlap, further spans never overlap base ones; repeated documents get
@@ -19,6 +24,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +40,7 @@ ROUNDS = 3
 LEAST_SCORE = 0.8
 LEAST_SEEDS = 5
 LEAST_LENGTH = 6
+LEAST_SHARE = 0.1
 CONTEXT = 64
 
 # The contract's patterns; possessive and anchored at the start of a run of digits, so that no text takes
@@ -44,6 +52,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\s\"'<>()\[\]{},;=|]+")
+_ATOM = re.compile(r"[^\s\"'<>()\[\]{},;=|.:!?]+")
 
 
 def _emails(text: str):
@@ -87,47 +96,61 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a span: one to three words before it, one after it; digits made equal."""
-    before = _DIGIT.sub("0", text[max(0, start - CONTEXT) : start].lower()).split()[-3:]
-    after = _DIGIT.sub("0", text[end : end + CONTEXT].lower()).split()[:1]
+def folded(text: str) -> str:
+    """`text` in lower case, with as many characters."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _around(plain: str, start: int, end: int) -> tuple[list[str], list[str]]:
+    """Up to three words before and one after a span; those that the edge of CONTEXT cuts are none."""
+    first, last = max(0, start - CONTEXT), end + CONTEXT
+    before, after = plain[first:start].split(), plain[end:last].split()[:1]
+    if len(before) <= 3 and first and before and not (plain[first].isspace() or plain[first - 1].isspace()):
+        del before[0]
+    if after and last < len(plain) and not plain[last].isspace() and plain[end:last].lstrip() == after[0]:
+        del after[0]
+    return before[-3:], after
+
+
+def contexts(plain: str, start: int, end: int) -> list[str]:
+    """Lexical patterns of a span: one to three words before it, one after it. `plain` is folded, its digits made equal."""
+    before, after = _around(plain, start, end)
     left = [f"before: {' '.join(before[-n:])}" for n in range(1, len(before) + 1)]
     return left + [f"after: {w}" for w in after]
 
 
-def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def candidates(lower: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """Tokens of at least LEAST_LENGTH characters with a digit, outside of `taken`."""
-    if not _DIGIT.search(text):
-        return []
-    taken, found, k = sorted(taken), [], 0
-    for m in _TOKEN.finditer(text):
-        token = m.group().rstrip(".:!?")
-        start, end = m.start(), m.start() + len(token)
-        if len(token) < LEAST_LENGTH or not _DIGIT.search(token):
+    taken, k, end = sorted(taken), 0, 0
+    for m in _TOKEN.finditer(lower):
+        start = m.start()
+        if start < end:
             continue
-        while k < len(taken) and taken[k][1] <= start:
-            k += 1
-        if not any(s < end and start < e for s, e in taken[k : k + len(KINDS)]):
-            found.append((start, end))
-    return found
+        token = start + len(m.group().rstrip(".:!?"))
+        if token - start < LEAST_LENGTH or not _DIGIT.search(lower, start, token):
+            continue
+        for stop in (token,):
+            while k < len(taken) and taken[k][1] <= start:
+                k += 1
+            if start < stop and not any(s < stop and start < e for s, e in taken[k : k + len(KINDS)]):
+                end = stop
+                yield start, stop
+                break
 
 
-_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-_SEEN = T.StructType(
-    [
-        *_SPAN.fields,
-        T.StructField("instance", T.StringType()),
-        T.StructField("seed", T.BooleanType()),
-        T.StructField("patterns", T.ArrayType(T.StringType())),
-    ]
-)
 _FOUND = [
     *(T.StructField(f"n_{kind}", T.LongType()) for kind in KINDS),
     T.StructField("base", T.StringType()),
     T.StructField("base_sha256", T.StringType()),
-    T.StructField("seen", T.ArrayType(_SEEN)),
+    T.StructField("seen", T.ArrayType(T.StructType([T.StructField("instance", T.StringType()), T.StructField("patterns", T.ArrayType(T.StringType()))]))),
     T.StructField("digest", T.BinaryType()),
 ]
+_SEEN = pa.list_(pa.struct([("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
 
 
 def _scan(text: str | None) -> tuple:
@@ -135,26 +158,17 @@ def _scan(text: str | None) -> tuple:
     found = base_spans(text)
     spans = [(kind, s, e) for kind in KINDS for s, e in found[kind]]
     base = ",".join(f"{kind}:{s}:{e}" for kind, s, e in spans)
-    taken = [(s, e) for _, s, e in spans]
-    further = candidates(text, taken)
-    seen = [
-        {"start": s, "end": e, "instance": text[s:e].lower(), "seed": seed, "patterns": contexts(text, s, e)}
-        for group, seed in ((taken, True), (further, False))
-        for s, e in group
-    ]
-    digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest() if further else None
-    return (*(len(found[k]) for k in KINDS), base, hashlib.sha256(base.encode()).hexdigest(), seen, digest)
+    lower = folded(text) if spans else ""
+    plain = _DIGIT.sub("0", lower)
+    seen = [{"instance": lower[s:e], "patterns": contexts(plain, s, e)} for _, s, e in spans]
+    return (*(len(found[k]) for k in KINDS), base, hashlib.sha256(base.encode()).hexdigest(), seen, _digest(text))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, counts and spans of the base kinds, what was seen with its contexts, and a digest of the
-    text where it has tokens that may be further identifiers."""
+    """doc_id, counts and spans of the base kinds, the seeds with their contexts, and a digest of the text."""
     ship(docs.sparkSession)
     schema = T.StructType([docs.schema["doc_id"], *_FOUND])
-    seen = pa.list_(
-        pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))])
-    )
-    kinds = [pa.int64()] * len(KINDS) + [pa.string(), pa.string(), seen, pa.binary()]
+    kinds = [pa.int64()] * len(KINDS) + [pa.string(), pa.string(), _SEEN, pa.binary()]
 
     def run(batches):
         for batch in sliced(batches):
@@ -165,14 +179,87 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def edges(scanned: DataFrame) -> DataFrame:
-    """The graph: pattern, instance, whether it is a seed, and how often they meet."""
-    seen = scanned.select(F.explode("seen").alias("o"))
-    return (
-        seen.select("o.instance", "o.seed", F.explode("o.patterns").alias("pattern"))
-        .groupBy("pattern", "instance")
-        .agg(F.max("seed").alias("seed"), F.count("*").cast("double").alias("n"))
-    )
+class Wanted:
+    """Patterns and instances to look for. A text that has no word of them is passed over."""
+
+    def __init__(self, patterns: Iterable[str] = (), instances: Iterable[str] = ()):
+        self.patterns, self.instances = frozenset(patterns), frozenset(instances)
+        sides = [p.partition(": ") for p in self.patterns]
+        self.last = frozenset(words.split()[-1] for side, _, words in sides if side == "before")
+        self.first = frozenset(words for side, _, words in sides if side == "after")
+        parts = [_ATOM.findall(w)[-1:] for w in self.last] + [_ATOM.findall(w)[:1] for w in self.first]
+        self.words = frozenset(w for p in parts for w in p)
+        self.heads = frozenset(w for i in self.instances for w in _ATOM.findall(i)[:1])
+        self.always = not all(parts)
+
+    def may_have(self, lower: str, plain: str) -> bool:
+        if self.heads and not self.heads.isdisjoint(_ATOM.findall(lower)):
+            return True
+        return bool(self.patterns) and (self.always or not self.words.isdisjoint(_ATOM.findall(plain)))
+
+    def spots(self, text: str) -> Iterator[tuple[int, int, str, list[str]]]:
+        """start, end, instance and patterns outside of base spans: the wanted patterns, or all of a wanted instance."""
+        lower = folded(text)
+        plain = _DIGIT.sub("0", lower)
+        if not self.may_have(lower, plain):
+            return
+        for s, e in candidates(lower, [span for spans in base_spans(text).values() for span in spans]):
+            if self.instances:
+                if lower[s:e] in self.instances:
+                    yield s, e, lower[s:e], contexts(plain, s, e)
+                continue
+            before, after = _around(plain, s, e)
+            if (before and before[-1] in self.last) or (after and after[0] in self.first):
+                own = [p for p in contexts(plain, s, e) if p in self.patterns]
+                if own:
+                    yield s, e, lower[s:e], own
+
+
+def spots(docs: DataFrame, wanted: Wanted) -> DataFrame:
+    """Where texts have what is wanted: digest, start, end, instance, patterns."""
+    ship(docs.sparkSession)
+    schema = "digest binary, start int, end int, instance string, patterns array<string>"
+    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string())]
+    names = ["digest", "start", "end", "instance", "patterns"]
+
+    def run(batches):
+        for batch in sliced(batches):
+            rows = []
+            for text in batch.column("text"):
+                text, digest = text.as_py() or "", None
+                for spot in wanted.spots(text):
+                    digest = digest or _digest(text)
+                    rows.append((digest, *spot))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+    return docs.select("text").mapInArrow(run, schema)
+
+
+def tally(docs: DataFrame, wanted: Wanted) -> dict[str, int]:
+    """How often each wanted pattern, or each wanted instance, occurs outside of base spans."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        counts = Counter()
+        for batch in sliced(batches):
+            for text in batch.column("text"):
+                for _, _, instance, own in wanted.spots(text.as_py() or ""):
+                    counts.update(own if wanted.patterns else (instance,))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["what", "n"])
+
+    return dict(docs.select("text").mapInArrow(run, "what string, n long").groupBy("what").agg(F.sum("n")).collect())
+
+
+def edges(seen: DataFrame) -> DataFrame:
+    """Of `instance` and `patterns`: pattern, instance, and how often they meet."""
+    exploded = seen.select("instance", F.explode("patterns").alias("pattern"))
+    return exploded.groupBy("pattern", "instance").agg(F.count("*").cast("double").alias("n"))
+
+
+def _of_instances(graph: DataFrame, scored: DataFrame) -> DataFrame:
+    """instance and the mean score of its patterns, for those that are no seeds."""
+    met = graph.filter(~F.col("seed")).join(scored, "pattern")
+    return met.groupBy("instance").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("known"))
 
 
 def patterns(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -186,40 +273,73 @@ def patterns(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     known = graph.withColumn("known", F.col("seed").cast("double"))
     scored = known.groupBy("pattern").agg(score, seeds)
     for _ in range(rounds - 1):
-        of_instance = (
-            graph.filter(~F.col("seed"))
-            .join(scored, "pattern")
-            .groupBy("instance")
-            .agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("known"))
-        )
-        others = graph.filter(~F.col("seed")).join(of_instance, "instance").select("pattern", "seed", "n", "known")
+        others = graph.filter(~F.col("seed")).join(_of_instances(graph, scored), "instance").select("pattern", "seed", "n", "known")
         own = graph.filter("seed").select("pattern", "seed", "n", F.lit(1.0).alias("known"))
         scored = own.unionAll(others).groupBy("pattern").agg(score, seeds)
     return scored
 
 
-def further_spans(scanned: DataFrame, rounds: int = ROUNDS, least_score: float = LEAST_SCORE, least_seeds: int = LEAST_SEEDS) -> DataFrame:
+def further_spans(docs: DataFrame, scanned: DataFrame, rounds: int = ROUNDS, least_score: float = LEAST_SCORE, least_seeds: int = LEAST_SEEDS) -> DataFrame:
     """digest and the spans that confident patterns find in that text."""
-    graph = written(edges(scanned), "pii-graph")
-    good = patterns(graph, rounds).filter((F.col("score") >= least_score) & (F.col("seeds") >= least_seeds)).select("pattern")
-    seen = scanned.filter(F.col("digest").isNotNull()).select("digest", F.explode("seen").alias("o")).filter(~F.col("o.seed"))
-    spots = seen.select("digest", "o.start", "o.end", F.explode("o.patterns").alias("pattern")).distinct()
-    found = spots.join(good, "pattern", "left_semi").select("digest", "start", "end").distinct()
-    return found.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("further"))
+    spark = docs.sparkSession
+    strings = lambda found, name: spark.createDataFrame([(x,) for x in sorted(found)], f"{name} string")
+    of_base = of_seeds = written(edges(scanned.select(F.explode("seen").alias("o")).select("o.*")), "pii-seeds")
+    where = None  # the spots of all patterns in the graph
+    pattern_counts, instance_counts = {}, {}
+    graphed, seeds, good = set(), set(), set()
+    while True:
+        enough = of_seeds.groupBy("pattern").agg(F.count_distinct("instance").alias("seeds"), F.sum("n").alias("n"))
+        enough = {r["pattern"]: r["n"] for r in enough.filter(F.col("seeds") >= least_seeds).collect()}
+        unknown = enough.keys() - pattern_counts.keys()
+        if unknown:
+            own = of_base.join(strings(unknown, "pattern"), "pattern", "left_semi").groupBy("pattern").agg(F.sum("n"))
+            own, others = dict(own.collect()), tally(docs, Wanted(unknown))
+            pattern_counts |= {p: own.get(p, 0) + others.get(p, 0) for p in unknown}
+        worth = {p for p, n in enough.items() if n >= LEAST_SHARE * pattern_counts[p]} - graphed
+        if not worth:
+            break
+        new = written(spots(docs, Wanted(worth)), "pii-spots")
+        graphed |= worth
+        where = new if where is None else where.unionAll(new)
+        own = of_base.join(strings(graphed, "pattern"), "pattern", "left_semi").withColumn("base", F.lit(True))
+        met = edges(where).withColumn("base", F.lit(False)).unionByName(own).groupBy("pattern", "instance")
+        met = written(met.agg(F.sum("n").alias("n"), F.max("base").alias("base")), "pii-edges")
+        while True:  # seeds that the graph at hand gives
+            mark = strings(seeds, "instance").withColumn("marked", F.lit(True))
+            graph = met.join(mark, "instance", "left").withColumn("seed", F.col("base") | F.coalesce("marked", F.lit(False)))
+            graph = written(graph.select("pattern", "instance", "seed", "n"), "pii-graph")
+            scored = written(patterns(graph, rounds), "pii-patterns")
+            good = {r["pattern"] for r in scored.filter((F.col("score") >= least_score) & (F.col("seeds") >= least_seeds)).collect()}
+            sure = _of_instances(graph, scored).filter(F.col("known") >= least_score)
+            found = where.join(sure, "instance", "left_semi").select("instance", "digest", "start", "end", F.explode("patterns").alias("pattern"))
+            found = found.join(strings(good, "pattern"), "pattern", "left_semi").groupBy("instance", "digest", "start", "end")
+            # A pattern sees a spot once for each copy of the text.
+            found = found.agg((F.count("*") / F.count_distinct("pattern")).alias("n")).groupBy("instance").agg(F.sum("n"))
+            found = dict(found.collect())
+            unknown = found.keys() - instance_counts.keys()
+            if unknown:
+                instance_counts |= tally(docs, Wanted((), unknown))
+            added = {i for i, n in found.items() if n >= LEAST_SHARE * instance_counts[i]} - seeds
+            if not added:
+                break
+            seeds |= added
+            of_seeds = of_seeds.unionAll(written(edges(spots(docs, Wanted((), added))), "pii-seeds"))
+    if not good:
+        return spark.createDataFrame([], "digest binary, further array<struct<start:int,end:int>>")
+    spans = where.select("digest", "start", "end", F.explode("patterns").alias("pattern"))
+    spans = spans.join(strings(good, "pattern"), "pattern", "left_semi").select("digest", "start", "end").distinct()
+    return spans.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("further"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, counts and digest of the base spans, and all spans as text."""
     scanned = written(scan(docs), "pii-scan")  # spans and contexts, no texts
-    extra = further_spans(scanned, **options)
+    extra = further_spans(docs, scanned, **options)
     none = F.array().cast("array<struct<start:int,end:int>>")
     columns = ["doc_id", *(f"n_{kind}" for kind in KINDS), "base", "base_sha256", F.coalesce("further", none).alias("further")]
-    # Most documents have no digest: they would meet under one null key, so they pass by the join.
-    some = scanned.filter(F.col("digest").isNotNull()).join(extra, "digest", "left").select(*columns)
-    others = scanned.filter(F.col("digest").isNull()).withColumn("further", none).select(*columns)
     listed = F.transform("further", lambda s: F.concat_ws(":", F.lit(FURTHER), s["start"].cast("string"), s["end"].cast("string")))
     every = F.concat(F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.array("base")), listed)
-    return some.unionAll(others).select(
+    return scanned.join(extra, "digest", "left").select(*columns).select(
         "doc_id",
         *(f"n_{kind}" for kind in KINDS),
         "base_sha256",
@@ -243,8 +363,8 @@ def blanked(text: str, further: list[tuple[int, int]]) -> str:
 def redact(docs: DataFrame, **options) -> DataFrame:
     """`docs` with its texts blanked; n_chars, where there is one, counts the new text."""
     ship(docs.sparkSession)
-    scanned = written(scan(docs.select("doc_id", "text")).filter(F.size("seen") > 0).select("seen", "digest"), "pii-scan")
-    extra = further_spans(scanned, **options)
+    scanned = written(scan(docs.select("doc_id", "text")).filter(F.size("seen") > 0).select("seen"), "pii-scan")
+    extra = further_spans(docs, scanned, **options)
     names = docs.columns
     key, spans = fresh(names, "digest"), fresh(names, "further")
     extra = extra.select(F.col("digest").alias(key), F.col("further").alias(spans))

@@ -472,3 +472,18 @@ def test_patterns_find_unseen_identifiers(spark):
     assert texts[200]["text"] == plain[0][1] and texts[300]["text"] is None
     assert all(r["n_chars"] == len(r["text"]) for r in texts.values() if r["text"] is not None)
     assert pii.report(docs.limit(0)).count() == 0
+
+
+def test_found_identifiers_find_further_patterns(spark):
+    """Two hops: what `member id:` finds tells that `policy no` precedes identifiers."""
+    rows = [(i, f"noise words here member id: user{i}@mail.example.com and more") for i in range(40)]
+    rows += [(100 + i, f"other text member id: AB-{i}77-XY and more") for i in range(8)]
+    rows += [(200 + i, f"we took policy no AB-{i}77-XY today") for i in range(8)]
+    rows += [(300, "we took policy no CD-288-ZZ today"), (301, "the town has CD-288 people"), (302, "and more besides")]
+    docs = documents(spark, *rows)
+    texts = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert all(texts[i] == "we took policy no [IDENTIFIER] today" for i in (*range(200, 208), 300))
+    assert all(texts[100 + i] == "other text member id: [IDENTIFIER] and more" for i in range(8))
+    assert texts[301] == rows[-2][1] and texts[302] == rows[-1][1]
+    found = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
+    assert found[300] == "identifier:18:27" and found[301] == found[302] == ""
