@@ -1,7 +1,8 @@
 """Personal data: base patterns, then contextual extraction bootstrapped from what they find.
 
 Four kinds are found by their form (email, ip, card, phone). These seeds induce lexical patterns, the words
-next to them. An instance is a token of LEAST_LENGTH characters with a digit. Spark keeps the graph of patterns and instances
+next to them. A pattern may point at anything: an instance is the token next to it, or the run of short groups
+(`123 45 6789`, an IBAN), whatever its length and characters. Spark keeps the graph of patterns and instances
 as an edge table and scores it in rounds: a pattern by the scores of its instances, an instance by those of its
 patterns. What patterns with a high score and enough seeds point at are further spans of the kind `identifier`.
 Instances found so become seeds themselves when they are confident: their patterns' mean score is high too,
@@ -39,7 +40,6 @@ FURTHER = "identifier"
 ROUNDS = 3
 LEAST_SCORE = 0.8
 LEAST_SEEDS = 5
-LEAST_LENGTH = 6
 LEAST_SHARE = 0.1
 CONTEXT = 64
 
@@ -53,6 +53,10 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\s\"'<>()\[\]{},;=|]+")
 _ATOM = re.compile(r"[^\s\"'<>()\[\]{},;=|.:!?]+")
+_RUN = re.compile(
+    r"(?:[a-z]{2}[0-9]{2}(?: [a-z]{4})?(?: (?=[a-z]{0,3}[0-9])[a-z0-9]{1,4}){1,9}|[0-9]{1,6}(?: [0-9]{1,6}){1,9})"
+    r"(?![^\s\"'<>()\[\]{},;=|.:!?])"
+)
 
 
 def _emails(text: str):
@@ -121,16 +125,15 @@ def contexts(plain: str, start: int, end: int) -> list[str]:
 
 
 def candidates(lower: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Tokens of at least LEAST_LENGTH characters with a digit, outside of `taken`."""
+    """What a pattern may point at: tokens and runs of short groups, outside of `taken`."""
     taken, k, end = sorted(taken), 0, 0
     for m in _TOKEN.finditer(lower):
         start = m.start()
         if start < end:
             continue
         token = start + len(m.group().rstrip(".:!?"))
-        if token - start < LEAST_LENGTH or not _DIGIT.search(lower, start, token):
-            continue
-        for stop in (token,):
+        run = _RUN.match(lower, start) if lower[token : token + 1] == " " else None
+        for stop in (run.end(), token) if run else (token,):
             while k < len(taken) and taken[k][1] <= start:
                 k += 1
             if start < stop and not any(s < stop and start < e for s, e in taken[k : k + len(KINDS)]):

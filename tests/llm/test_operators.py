@@ -487,3 +487,13 @@ def test_found_identifiers_find_further_patterns(spark):
     assert texts[301] == rows[-2][1] and texts[302] == rows[-1][1]
     found = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
     assert found[300] == "identifier:18:27" and found[301] == found[302] == ""
+
+
+@pytest.mark.parametrize("name", ["annlee", "x7Q", "correct-horse", "123 45 6789", "DE44 5001 0517 5407 3249 31", "GB29 NWBK 6016 1331 9268 19", "7"])
+def test_identifiers_of_any_form(spark, name):
+    """Without a digit, short, or in groups: the pattern says what it points at."""
+    rows = [(i, f"noise words here member id: user{i}@mail.example.com and more") for i in range(30)]
+    rows += [(100, f"other text member id: {name}, and more"), (101, "other words"), (102, f"my {name}")]
+    texts = {r["doc_id"]: r["text"] for r in pii.redact(documents(spark, *rows)).collect()}
+    assert texts[100] == "other text member id: [IDENTIFIER], and more"
+    assert texts[101] == "other words"
