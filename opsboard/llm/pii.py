@@ -119,7 +119,10 @@ def _around(plain: str, start: int, end: int) -> tuple[list[str], list[str]]:
 
 def contexts(plain: str, start: int, end: int) -> list[str]:
     """Lexical patterns of a span: one to three words before it, one after it. `plain` is folded, its digits made equal."""
-    before, after = _around(plain, start, end)
+    return _named(*_around(plain, start, end))
+
+
+def _named(before: list[str], after: list[str]) -> list[str]:
     left = [f"before: {' '.join(before[-n:])}" for n in range(1, len(before) + 1)]
     return left + [f"after: {w}" for w in after]
 
@@ -132,11 +135,11 @@ def candidates(lower: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int,
         if start < end:
             continue
         token = start + len(m.group().rstrip(".:!?"))
-        run = _RUN.match(lower, start) if lower[token : token + 1] == " " else None
+        run = _RUN.match(lower, start) if lower[token - 1].isdigit() and lower[token : token + 1] == " " else None
         for stop in (run.end(), token) if run else (token,):
             while k < len(taken) and taken[k][1] <= start:
                 k += 1
-            if start < stop and not any(s < stop and start < e for s, e in taken[k : k + len(KINDS)]):
+            if start < stop and not (taken and any(s < stop and start < e for s, e in taken[k : k + len(KINDS)])):
                 end = stop
                 yield start, stop
                 break
@@ -213,7 +216,7 @@ class Wanted:
                 continue
             before, after = _around(plain, s, e)
             if (before and before[-1] in self.last) or (after and after[0] in self.first):
-                own = [p for p in contexts(plain, s, e) if p in self.patterns]
+                own = [p for p in _named(before, after) if p in self.patterns]
                 if own:
                     yield s, e, lower[s:e], own
 
