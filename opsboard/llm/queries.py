@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsboard.llm import ann, chat, decontaminate, jaccard, pieces, pii, quality, token_counts, url_filter, warc
+from opsboard.llm import (
+    ann,
+    chat,
+    decontaminate,
+    jaccard,
+    periodic,
+    pieces,
+    pii,
+    quality,
+    simhash,
+    token_counts,
+    url_filter,
+    vector_codes,
+    warc,
+)
 from opsboard.llm.common import new_path, table
 from opsboard.plans.catalog import Query
 
@@ -71,6 +85,31 @@ def jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.report(table(spark, sf_dir, "documents"))
 
 
+def vector_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def simhash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every document, in a tenth of them of a tail that repeats; the longest one, and digests."""
+    found = periodic.runs(table(spark, sf_dir, "documents"), periodic.echoed)
+    ranked = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("at"), (-r["period"]).alias("of")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", F.array_max(ranked)).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.at")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.of")).alias("period"),
+        F.expr("1000 * best.length div -best.of").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS digest FROM pages),
 sized AS (SELECT page_id, digest, octet_length(encode(body)) AS payload_bytes FROM p),
@@ -117,15 +156,52 @@ shingles AS (
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 pairs AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
   FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS (
-  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both >= 75 * (x.n + y.n - both)),
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
 reached AS (SELECT doc_id AS a, doc_id AS b FROM docs UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM docs d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) USING (doc_id)
 """
 
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Rounds of assignment and means, spelled out as one table each."""
+
+    def assigned(r: int) -> str:
+        return f"""
+a{r} AS MATERIALIZED (
+  SELECT rn, part, min(d * 256 + entry) // 256 AS d, min(d * 256 + entry) % 256 AS entry FROM (
+    SELECT rn, part, entry, CAST(sum((c.x - b.x) * (c.x - b.x)) AS BIGINT) AS d
+    FROM c JOIN b{r} b USING (part, pos) GROUP BY ALL) GROUP BY ALL)"""
+
+    def means(r: int) -> str:
+        return f"""
+b{r + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.pos, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN (
+    SELECT part, entry, pos, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x
+    FROM c JOIN a{r} USING (rn, part) GROUP BY ALL) m USING (part, entry, pos))"""
+
+    tables = ",".join(assigned(r) + "," + means(r) for r in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS rn FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+c AS MATERIALIZED (
+  SELECT rn, (i - 1) * 4 // len(embedding) AS part, i, CAST(floor(1024 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x,
+    (i - 1) % (len(embedding) // 4) AS pos
+  FROM (SELECT rn, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM v)),
+b0 AS MATERIALIZED (SELECT part, rn AS entry, pos, x FROM c WHERE rn < 256),{tables},{assigned(rounds)},
+codes AS (
+  SELECT rn, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY rn)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b{rounds}) AS codebooks_sha256
+FROM codes JOIN v USING (rn)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece_scan": Query(sentencepiece_scan),
     "op2_chat_perspectives": Query(chat_perspectives),
@@ -137,4 +213,7 @@ QUERIES: dict[str, Query] = {
     "op8_edited_counts": Query(edited_counts),
     "op9_jaccard_regions": Query(jaccard_regions, JACCARD_SQL),
     "op10_bootstrapped_pii": Query(bootstrapped_pii),
+    "op11_vector_pivots": Query(vector_pivots, _codes_sql()),
+    "op12_simhash_segments": Query(simhash_segments),
+    "op13_periodic_runs": Query(periodic_runs),
 }
