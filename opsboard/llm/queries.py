@@ -187,7 +187,7 @@ b{r + 1} AS MATERIALIZED (
     return f"""
 WITH v AS MATERIALIZED (
   SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS rn FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 c AS MATERIALIZED (
   SELECT rn, (i - 1) * 4 // len(embedding) AS part, i, CAST(floor(1024 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x,
     (i - 1) % (len(embedding) // 4) AS pos
