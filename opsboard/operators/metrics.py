@@ -61,20 +61,24 @@ def segment_share(
 ) -> DataFrame:
     """Sum and share per segment. Segments need not add up to 100; the share is of their sum.
 
-    The headline is the first segment in declared ``order``, else the largest. The windows go over
-    one row per segment.
+    The headline is the first segment in declared ``order``, else the largest.
     """
     sums = df.groupBy(*by, segment).agg(
         F.sum(measure).alias("suma"), F.min(F.lit(0) if order is None else order).alias("_orden")
     )
-    first = Window.partitionBy(*by).orderBy("_orden", F.col("suma").desc(), segment)
-    total = F.sum("suma").over(Window.partitionBy(*by))
-    return sums.select(
+    rank = F.struct("_orden", -F.col("suma"), F.col(segment))
+    if by:
+        total = F.sum("suma").over(Window.partitionBy(*by))
+        first = F.min(rank).over(Window.partitionBy(*by))
+    else:  # one row from the same sums: no task needs to see them all
+        total = sums.agg(F.sum("suma")).scalar()
+        first = sums.agg(F.min(rank)).scalar()
+    return sums.withColumns({"_total": total, "_first": first}).select(
         *by,
         segment,
         F.col("suma").cast("double").alias("valor"),
-        ratio(F.col("suma"), total).alias("participacion"),
-        (F.row_number().over(first) == 1).alias("principal"),
+        ratio(F.col("suma"), F.col("_total")).alias("participacion"),
+        rank.eqNullSafe(F.col("_first")).alias("principal"),
     )
 
 
@@ -104,6 +108,39 @@ def with_target(values: DataFrame, targets: DataFrame, key: str = "kpi_id") -> D
     return values.join(targets, key, "left")
 
 
+OPEN_START, OPEN_END = "0001-01-01", "9999-12-31"
+
+
+def with_period_target(values: DataFrame, targets: DataFrame, key: str = "kpi_id") -> DataFrame:
+    """The target that holds in each point's month, next to it; no target, no line.
+
+    ``targets`` has ``desde`` and ``hasta`` (both included; null is open) and ``target`` besides ``key``. Where
+    several hold, the one that began last does, then the one that ends first, then the smaller one. A target whose
+    end lies before its start never holds.
+
+    The months of a point and the validity of a target meet on the key and the year: a target is unfolded
+    into the years of its validity that have values, and only those pairs are held against the days.
+    """
+    year = F.year("mes")
+    span = values.agg(F.struct(F.min(year).alias("lo"), F.max(year).alias("hi"))).scalar()
+    since = F.coalesce("desde", F.lit(OPEN_START).cast("date"))
+    until = F.coalesce("hasta", F.lit(OPEN_END).cast("date"))
+    spans = targets.select(F.col(key).alias("_key"), since.alias("_desde"), until.alias("_hasta"), F.col("target").alias("_target"))
+    spans = spans.withColumn("_span", span)
+    first, last = F.greatest(F.year("_desde"), F.col("_span.lo")), F.least(F.year("_hasta"), F.col("_span.hi"))
+    yearly = spans.filter((F.col("_desde") <= F.col("_hasta")) & (first <= last)).withColumn("_year", F.explode(F.sequence(first, last)))
+    months = values.select(F.col(key).alias("_of"), F.col("mes").alias("_mes")).distinct()
+    meets = (
+        (F.col("_of") == F.col("_key"))
+        & (F.year("_mes") == F.col("_year"))
+        & (F.col("_mes") >= F.col("_desde"))
+        & (F.col("_mes") <= F.col("_hasta"))
+    )
+    rank = F.struct(-F.unix_date("_desde"), F.unix_date("_hasta"), F.col("_target"))
+    held = months.join(yearly, meets).groupBy("_of", "_mes").agg(F.min_by("_target", rank).alias("target"))
+    return values.join(held, (F.col(key) == F.col("_of")) & (F.col("mes") == F.col("_mes")), "left").drop("_of", "_mes")
+
+
 def target_gap(df: DataFrame, value: Column, target: Column, direction: Column) -> DataFrame:
     """Distance to the target in the value's own points, and whether it is met."""
     met = F.when(direction == "<=", value <= target).otherwise(value >= target)

@@ -132,16 +132,21 @@ def bars_and_line(points: DataFrame, keys: Sequence[str] = ("kpi_id",)) -> DataF
 
 def to_grouped(points: DataFrame, name: str, category: Column, order: str, value: str = "valor") -> DataFrame:
     """One row per series with arrays aligned to the categories of all series, null where a series has
-    no value. As long as the categories, so short; the common axis is made over one row per series."""
-    at = F.struct(F.col(order).alias("o"), category.alias("c"))
-    own = points.groupBy(F.col(name).alias("name")).agg(
-        F.collect_set(at).alias("own"), F.map_from_entries(F.collect_list(F.struct(F.col(order), F.col(value)))).alias("by_order")
+    no value. Several points of one place are added up; a point without a place is left out.
+
+    As long as the categories, so short. The common axis is a second sum over the same sums, one row, so
+    no task sees the arrays of all series.
+    """
+    placed = points.filter(F.col(order).isNotNull())
+    sums = placed.groupBy(F.col(name).alias("name"), F.col(order).alias("o")).agg(
+        F.sum(value).cast("double").alias("v"), F.min(category).alias("c")
     )
-    axis = F.array_sort(F.array_distinct(F.flatten(F.collect_list("own").over(Window.partitionBy()))))
+    axis = sums.agg(F.array_sort(F.collect_set(F.struct("o", "c"))).alias("axis")).scalar()
+    own = sums.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("o", "v"))).alias("by_order"))
     return own.withColumn("axis", axis).select(
         F.col("axis.c").alias("categories"),
         "name",
-        F.transform("axis", lambda a: F.try_element_at("by_order", a["o"])).cast("array<double>").alias("valores"),
+        F.transform("axis", lambda a: F.try_element_at("by_order", a["o"])).alias("valores"),
     )
 
 
@@ -189,9 +194,60 @@ def baseline_first(points: DataFrame, baseline: DataFrame, label: str = "Baselin
     return change_vs(joined, reference).orderBy(F.col("inicio").asc_nulls_first())
 
 
-def scenario_split(facts: DataFrame, keys: Sequence[str] = ("kpi_id",)) -> tuple[DataFrame, DataFrame]:
-    """Actual points and forecast points of the same series."""
-    return (
-        facts.filter(F.col("escenario") == schema.REAL),
-        facts.filter(F.col("escenario") == schema.FORECAST),
+LEVEL, TREND, BAND = 0.5, 0.3, 1.96
+
+
+def projected(
+    points: DataFrame,
+    months: int,
+    keys: Sequence[str] = ("kpi_id",),
+    level: float = LEVEL,
+    trend: float = TREND,
+    band: float = BAND,
+) -> DataFrame:
+    """Each series carried on for ``months`` months, with bounds from how far its own projections were off.
+
+    A fold over the ordered months of a series keeps a level and a trend (double exponential smoothing). The
+    first month sets the level, the second the trend; from the third on, what the fold expected for a month is
+    held against its value. Bounds are ``band`` mean errors (root of the mean square) wide, growing with the
+    root of the distance; null with fewer than three months. Months without a value are passed over, those
+    missing in between count as steps of the trend. A series with one month stays at its level; several points
+    of a month are added up.
+
+    Result: the keys, ``mes``, ``paso`` (1 to ``months``), ``valor``, ``ci_lower``, ``ci_upper``.
+    """
+    sums = points.filter(F.col("mes").isNotNull()).groupBy(*keys, "mes").agg(F.sum("valor").cast("double").alias("valor"))
+    known = sums.filter(F.col("valor").isNotNull())
+    # a series is as long as the calendar
+    series = known.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(month_index(F.col("mes")).alias("m"), F.col("valor").alias("v")))).alias("serie"),
+        F.max("mes").alias("ultimo"),
+    )
+
+    def state(at, n, base, slope, square) -> Column:
+        kinds = {"at": "int", "n": "int", "base": "double", "slope": "double", "square": "double"}
+        return F.struct(*[c.cast(k).alias(name) for (name, k), c in zip(kinds.items(), (at, n, base, slope, square))])
+
+    def step(s: Column, x: Column) -> Column:
+        gap = x["m"] - s["at"]
+        expected = s["base"] + gap * s["slope"]
+        base = level * x["v"] + (1 - level) * expected
+        slope = F.when(s["n"] == 1, (x["v"] - s["base"]) / gap).otherwise(trend * (base - s["base"]) / gap + (1 - trend) * s["slope"])
+        error = F.when(s["n"] >= 2, (x["v"] - expected) * (x["v"] - expected)).otherwise(F.lit(0.0))
+        return F.when(s["n"] == 0, state(x["m"], F.lit(1), x["v"], F.lit(0.0), F.lit(0.0))).otherwise(
+            state(x["m"], s["n"] + 1, F.when(s["n"] == 1, x["v"]).otherwise(base), slope, s["square"] + error)
+        )
+
+    zero = state(F.lit(0), F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    folded = series.withColumn("s", F.aggregate("serie", zero, step)).withColumn("paso", F.explode(F.sequence(F.lit(1), F.lit(months))))
+    s = F.col("s")
+    wide = F.when(s["n"] >= 3, band * F.sqrt(s["square"] / (s["n"] - 2)) * F.sqrt(F.col("paso")))
+    valor = s["base"] + F.col("paso") * s["slope"]
+    return folded.select(
+        *keys,
+        F.add_months("ultimo", F.col("paso")).alias("mes"),
+        "paso",
+        valor.alias("valor"),
+        (valor - wide).alias("ci_lower"),
+        (valor + wide).alias("ci_upper"),
     )

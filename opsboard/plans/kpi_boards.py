@@ -119,6 +119,56 @@ def kpi_target_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.target_gap(points, F.col("valor"), F.col("target"), F.col("direction"))
 
 
+def kpi_period_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every consolidated month against the target that holds in it."""
+    targets = small_table(spark, testdata.PERIOD_TARGET_ROWS, testdata.PERIOD_TARGETS)
+    points = metrics.with_period_target(series.monthly_total(kpi_actuals(spark, sf_dir)), targets)
+    return metrics.target_gap(points, F.col("valor"), F.col("target"), F.lit(">="))
+
+
+def kpi_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.projected(_segment_points(spark, sf_dir), 6, ("segmento",))
+
+
+def kpi_projection_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next quarter of every KPI and country."""
+    return series.projected(kpi_actuals(spark, sf_dir), 3, ("kpi_id", "pais"))
+
+
+def kpi_rate_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A percentage, a ratio and a pending card, as they are stored, and what they show."""
+    facts = kpi_actuals(spark, sf_dir).filter(F.col("mes") == F.lit(CARD_MONTH))
+    sums = facts.agg(*[F.sum(F.when(F.col("kpi_id") == kpi, F.col("valor"))).alias(kpi) for kpi in ("INGRESOS", "SINIESTRALIDAD", "EBITDA")])
+    claims = metrics.ratio(F.col("SINIESTRALIDAD"), F.col("INGRESOS"))
+    kept = metrics.ratio(F.col("EBITDA"), F.col("SINIESTRALIDAD"))
+
+    def card(name: str, title: str, value: Column, kind: str, target: float | None, pending: str | None = None) -> Column:
+        absent = F.lit(None).cast("string")
+        fields = {"value": F.lit(target).cast("double")} | dict.fromkeys(
+            ("unit", "formatted", "text", "period_label", "growth_label", "extra"), absent
+        )
+        return F.struct(
+            F.lit(name).alias("id"),
+            F.lit(title).alias("title"),
+            value.alias("value"),
+            F.lit(kind).alias("value_format"),
+            F.lit(pending).cast("string").alias("pending_label"),
+            F.struct(*[c.alias(f) for f, c in fields.items()]).alias("target"),
+        )
+
+    rows = sums.select(
+        F.inline(
+            F.array(
+                card("RECLAMOS", "Reclamos sobre ventas", claims, "percent", 0.3),
+                card("COBERTURA", "Ventas tras reclamos por reclamo", kept, "ratio", 2.5),
+                card("MERMA", "Merma", F.lit(None).cast("double"), "percent", None),
+            )
+        )
+    )
+    shown = cards.money_card_faces(conform(rows, schema.KPI_CARD))
+    return shown.select("id", "title", "pendiente", "texto", "meta_texto")
+
+
 def kpi_slicers(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = filters.slice_kpis(kpi_actuals(spark, sf_dir), ("3", "7"), (1999,), (1, 2, 3, 11))
     names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("code"), "n_name")
@@ -501,10 +551,10 @@ FROM services WHERE nodo IS NOT NULL GROUP BY perspectiva, nodo
 
 _CARDS_SQL = f"""
 , t AS (SELECT * FROM (VALUES
-  ('INGRESOS', 'Total Ingresos', 25000000.0, NULL, NULL),
-  ('EBITDA', 'EBITDA Consolidado', 17566000.0, NULL, NULL),
-  ('SINIESTRALIDAD', 'Siniestralidad', NULL, 'TBD%', NULL),
-  ('FCF', 'Incremental Free Cash Flow', NULL, NULL, 'TBC')) AS v(kpi_id, title, meta, formatted, pending_label)),
+  ('INGRESOS', 'Ventas del mes', 22000000.0, NULL, NULL),
+  ('EBITDA', 'Ventas tras reclamos', 15500000.0, NULL, NULL),
+  ('SINIESTRALIDAD', 'Reclamos del mes', NULL, 'sin meta', NULL),
+  ('FLUJO', 'Caja del mes', NULL, NULL, 'sin dato')) AS v(kpi_id, title, meta, formatted, pending_label)),
 c AS (
   SELECT t.kpi_id, title, a.valor, CAST(meta AS DOUBLE) AS meta, formatted, pending_label,
     coalesce(b.valor = 0, true) AS mom_pendiente, (a.valor - b.valor) / nullif(b.valor, 0) AS mom_delta
@@ -545,7 +595,67 @@ grouped AS (SELECT names.segmento AS name, {_MONTH_LABEL} AS categoria, valor, p
   FROM names CROSS JOIN axis LEFT JOIN (SELECT segmento, mes AS m, valor FROM seg) s ON s.segmento = names.segmento AND m = mes)
 """
 
+_PERIOD_TARGETS_SQL = """
+, t(kpi_id, desde, hasta, target) AS (VALUES
+  ('INGRESOS', DATE '0001-01-01', DATE '1996-12-01', CAST(18000000 AS DOUBLE)),
+  ('INGRESOS', DATE '1996-07-01', DATE '1999-06-30', 21000000),
+  ('INGRESOS', DATE '1999-01-01', DATE '9999-12-31', 24000000),
+  ('SINIESTRALIDAD', DATE '1997-01-15', DATE '1998-12-01', 7000000),
+  ('EBITDA', DATE '2001-01-01', DATE '1995-01-01', 1)),
+held AS (
+  SELECT v.kpi_id, mes, valor, (SELECT arg_max(target, desde) FROM t
+    WHERE t.kpi_id = v.kpi_id AND v.mes BETWEEN t.desde AND t.hasta) AS target FROM total v)
+SELECT kpi_id, mes, valor, target, valor - target AS brecha, valor >= target AS cumple FROM held
+"""
+
+
+def _projection_sql(points: str, keys: str, months: int) -> str:
+    names = keys.split(", ")
+    same = " AND ".join(f"f.{k} = o.{k}" for k in names)
+    of = ", ".join(f"o.{k}" for k in names)
+    return f"""
+, ordered AS (
+  SELECT {keys}, mes, year(mes) * 12 + month(mes) AS m, v, row_number() OVER (PARTITION BY {keys} ORDER BY mes) AS n
+  FROM (SELECT {keys}, mes, {points})),
+fold AS (
+  SELECT {keys}, mes, m, n, v AS base, CAST(0 AS DOUBLE) AS slope, CAST(0 AS DOUBLE) AS square FROM ordered WHERE n = 1
+  UNION ALL
+  SELECT {of}, o.mes, o.m, o.n,
+    CASE WHEN f.n = 1 THEN o.v ELSE o.v * 5e-1 + (f.base + f.slope * (o.m - f.m)) * 5e-1 END,
+    CASE WHEN f.n = 1 THEN (o.v - f.base) / (o.m - f.m)
+      ELSE ((o.v * 5e-1 + (f.base + f.slope * (o.m - f.m)) * 5e-1) - f.base) * 3e-1 / (o.m - f.m) + f.slope * 7e-1 END,
+    f.square + CASE WHEN f.n >= 2 THEN (o.v - (f.base + f.slope * (o.m - f.m))) * (o.v - (f.base + f.slope * (o.m - f.m)))
+      ELSE 0 END
+  FROM fold f JOIN ordered o ON {same} AND o.n = f.n + 1),
+ends AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY n DESC) = 1),
+steps AS (SELECT *, base + paso * slope AS valor,
+    CASE WHEN n >= 3 THEN sqrt(square / (n - 2)) * 196e-2 * sqrt(paso) END AS wide
+  FROM ends, (SELECT CAST(unnest(range(1, {months + 1})) AS INTEGER) AS paso))
+SELECT {keys}, CAST(mes + to_months(paso) AS DATE) AS mes, paso, valor, valor - wide AS ci_lower, valor + wide AS ci_upper FROM steps
+"""
+
+
+_RATE_CARDS_SQL = """
+, s AS (SELECT sum(valor) FILTER (kpi_id = 'INGRESOS') AS i, sum(valor) FILTER (kpi_id = 'SINIESTRALIDAD') AS c,
+  sum(valor) FILTER (kpi_id = 'EBITDA') AS e FROM facts WHERE mes = DATE '2000-12-01')
+SELECT 'RECLAMOS' AS id, 'Reclamos sobre ventas' AS title, false AS pendiente,
+  printf('%.2f', CAST(c AS DOUBLE) / CAST(i AS DOUBLE) * 100) || '%' AS texto, '30.00%' AS meta_texto FROM s
+UNION ALL SELECT 'COBERTURA', 'Ventas tras reclamos por reclamo', false, printf('%.3f', CAST(e AS DOUBLE) / CAST(c AS DOUBLE)), '2.500' FROM s
+UNION ALL SELECT 'MERMA', 'Merma', true, 'Merma', 'TBD'
+"""
+
+_RECURSIVE_FACTS_SQL = _FACTS_SQL.replace("WITH priced", "WITH RECURSIVE priced", 1)
+
 QUERIES: dict[str, Query] = {
+    "kpi_period_targets": Query(kpi_period_targets, _FACTS_SQL + _PERIOD_TARGETS_SQL),
+    "kpi_projection": Query(
+        kpi_projection, _RECURSIVE_FACTS_SQL + _projection_sql("valor AS v FROM seg", "segmento", 6)
+    ),
+    "kpi_projection_nations": Query(
+        kpi_projection_nations,
+        _RECURSIVE_FACTS_SQL + _projection_sql("CAST(valor AS DOUBLE) AS v FROM facts", "kpi_id, pais", 3),
+    ),
+    "kpi_rate_cards": Query(kpi_rate_cards, _FACTS_SQL + _RATE_CARDS_SQL),
     "kpi_mom": Query(kpi_mom, _FACTS_SQL + _change_sql("total", "kpi_id", _MOM_JOIN)),
     "kpi_mom_label": Query(
         kpi_mom_label,

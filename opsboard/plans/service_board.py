@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsboard import schema
-from opsboard.operators import options, panels
+from opsboard.operators import distinct, leaders, options, paging, panels
 from opsboard.operators.filters import Selection, apply_selection
 from opsboard.plans import testdata
 from opsboard.plans.catalog import Query
+from opsboard.sources import export, store
 from opsboard.sources.services import load_perspectives
+from opsboard.storage import new_path, shared_folder, written
 
-CUBE_KEYS = ["perspectiva", "mes", "nodo", "soa", "estatus"]
+CUBE_KEYS = list(distinct.CUBE_KEYS)
 
 
 def monthly_cube(services: DataFrame) -> DataFrame:
@@ -51,10 +55,24 @@ def board_summary(cube: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Kept:
+    """What a kept board knows of members the cube has no key for: accounts as bitmaps per cell, and the
+    largest accounts and coordinators of each cell."""
+
+    accounts: DataFrame
+    top_accounts: leaders.Summary
+    top_agents: leaders.Summary
+
+    def where(self, chosen: Callable[[DataFrame], DataFrame]) -> Kept:
+        return Kept(chosen(self.accounts), self.top_accounts.where(chosen), self.top_agents.where(chosen))
+
+
 class ServiceBoard:
     """Clean services and the panels over the reader's selection.
 
-    The dictionary panels read the cube, the account, coordinator and detail panels the services.
+    The dictionary panels read the cube, the account, coordinator and detail panels the services; those of a
+    kept board count and rank accounts from what was kept.
     """
 
     def __init__(
@@ -64,6 +82,7 @@ class ServiceBoard:
         members: DataFrame | None = None,
         months: DataFrame | None = None,
         agents: DataFrame | None = None,
+        kept: Kept | None = None,
     ):
         self.services = services
         self.cube = monthly_cube(services) if cube is None else cube
@@ -72,21 +91,35 @@ class ServiceBoard:
         self.whole = months is None
         self.months = options.members(self.cube, "mes") if months is None else months
         self.agents = options.agent_options(services) if agents is None else agents
+        self.kept = kept
 
     @classmethod
     def load(cls, spark: SparkSession, paths: Mapping[str, str], **options_) -> ServiceBoard:
         return cls(load_perspectives(spark, paths, **options_))
 
+    @classmethod
+    def of_store(cls, spark: SparkSession, path: str) -> ServiceBoard:
+        """Over the table that :func:`opsboard.sources.store.ingest` keeps up to date."""
+        return cls(store.read_services(spark, path))
+
     def keep(self) -> ServiceBoard:
-        """Compute the cube and the filter members once for all further panels.
+        """Compute the cube, the filter members and what is known of accounts once for all further panels.
 
-        They go to the checkpoint folder all executors share, so no lost executor sends the panels
-        back to the extract. The folder is the cluster's to name (``spark.checkpoint.dir``).
+        They go to the folder all executors share, so no lost executor sends the panels back to the
+        extract. The folder is the cluster's to name (``spark.checkpoint.dir``); one on the driver's own disk
+        is refused there.
         """
         context = self.cube.sparkSession.sparkContext
         if context.getCheckpointDir() is None:
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        return ServiceBoard(self.services, self.cube.checkpoint(), self.members.checkpoint(), None if self.whole else self.months, self.agents)
+        shared_folder(self.cube.sparkSession)
+        kept = Kept(
+            written(distinct.member_bitmaps(self.services, "cuenta"), "accounts"),
+            leaders.summarise(self.services, "cuenta"),
+            leaders.summarise(self.services, "agente"),
+        )
+        months = None if self.whole else self.months
+        return ServiceBoard(self.services, self.cube.checkpoint(), self.members.checkpoint(), months, self.agents, kept)
 
     def select(self, chosen: Selection) -> ServiceBoard:
         """The board over a selection. Months, nodes and the cascade on offer stay those of the whole
@@ -94,7 +127,8 @@ class ServiceBoard:
         services = apply_selection(self.services, chosen)
         # the cube does not know accounts and coordinators
         cube = None if chosen.cuentas or chosen.coordinadores else apply_selection(self.cube, chosen)
-        return ServiceBoard(services, cube, self.members, self.months, options.agent_options(self.services, chosen))
+        kept = None if cube is None or self.kept is None else self.kept.where(lambda cells: apply_selection(cells, chosen))
+        return ServiceBoard(services, cube, self.members, self.months, options.agent_options(self.services, chosen), kept)
 
     def breakdown(self, dimension: str, top: int | None = None) -> DataFrame:
         """Participation by one of the board's dimensions."""
@@ -111,14 +145,15 @@ class ServiceBoard:
         }
 
     def panels(self, top_n: int = 15) -> dict[str, DataFrame]:
+        kept = self.kept
         return {
-            "kpis": panels.kpi_block(self.services),
+            "kpis": distinct.kpi_block(self.cube, kept.accounts) if kept else panels.kpi_block(self.services),
             "estatus": panels.status_share(self.cube),
             "tendencia": panels.monthly_trend(self.cube),
             "nodo": panels.participation(self.cube, "nodo"),
             "mezcla_nodo": panels.status_mix(self.cube, "nodo"),
             "jerarquia": panels.hierarchy_rollup(self.cube),
-            "cuentas": panels.top_accounts(self.services, top_n),
+            "cuentas": leaders.top_members(kept.top_accounts, self.cube, top_n) if kept else panels.top_accounts(self.services, top_n),
             "coordinadores": panels.top_agents(self.services, top_n),
             "detalle": panels.detail_table(self.services),
         }
@@ -133,6 +168,12 @@ PICKED = Selection(
     coordinadores=("Supplier#000000002", "Supplier#000000003", "C5", "C6", "(Sin asignar)"),
 )
 
+ACCOUNTS = Selection(
+    paises=("NATION_10", "NATION_12", "NATION_17", "NATION_2"),
+    cuentas=tuple(f"Customer#{k:09d}" for k in range(2, 40, 2)),
+)
+PAGE = 120
+
 SERVICES_SQL = """
 WITH lines AS (
   SELECT r_name AS nodo, n_name AS soa, CAST(c_custkey AS VARCHAR) AS idcuenta,
@@ -219,6 +260,13 @@ SELECT perspectiva, nodo, soa, cuenta, estatus, CAST(sum(servicios) AS BIGINT) A
 FROM services WHERE nodo IS NOT NULL AND soa IS NOT NULL AND cuenta IS NOT NULL AND estatus IS NOT NULL
 """
 
+_PAGES_SQL = f"""
+, detail AS ({_DETAIL_SQL} GROUP BY ALL)
+SELECT perspectiva, pos, nodo, soa, cuenta, estatus, servicios FROM (
+  SELECT *, row_number() OVER (PARTITION BY perspectiva ORDER BY servicios DESC, nodo, soa, cuenta, estatus) AS pos FROM detail)
+WHERE pos > {PAGE} AND pos <= {3 * PAGE}
+"""
+
 _CLEAN_SQL = """
 SELECT perspectiva, count(*) AS filas, CAST(sum(servicios) AS BIGINT) AS servicios,
   count(*) FILTER (cuenta IS NULL) AS sin_cuenta,
@@ -342,6 +390,141 @@ def _agent_options(services: DataFrame) -> DataFrame:
     return options.agent_options(services, Selection(meses=PICKED.meses, nodos=PICKED.nodos, estatus=PICKED.estatus))
 
 
+def _board_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the filters of a board offer once a period and nodes are chosen, as one list."""
+    board = ServiceBoard(testdata.services(spark, sf_dir)).select(Selection(meses=PICKED.meses, nodos=PICKED.nodos))
+    offered = board.options(PICKED.nodos, ("NATION_10", "NATION_19"))
+    lists = [
+        offered["meses"].select(F.lit("mes").alias("nivel"), F.col("mes").cast("string").alias("opcion")),
+        offered["nodos"].select(F.lit("nodo").alias("nivel"), F.col("nodo").alias("opcion")),
+        offered["cascada"],
+        offered["coordinadores"].select(F.lit("coordinador").alias("nivel"), F.col("agente").alias("opcion")),
+    ]
+    return reduce(DataFrame.unionByName, lists)
+
+
+_BOARD_OPTIONS_SQL = """
+SELECT DISTINCT 'mes' AS nivel, CAST(mes AS VARCHAR) AS opcion FROM services WHERE mes IS NOT NULL
+UNION ALL SELECT DISTINCT 'nodo', nodo FROM services WHERE nodo IS NOT NULL
+UNION ALL SELECT DISTINCT 'pais', soa FROM services WHERE nodo IN ('ASIA', 'EUROPE') AND soa IS NOT NULL
+UNION ALL SELECT DISTINCT 'cuenta', cuenta FROM services WHERE soa IN ('NATION_10', 'NATION_19') AND cuenta IS NOT NULL
+UNION ALL SELECT DISTINCT 'coordinador', agente FROM services
+  WHERE mes BETWEEN DATE '1996-01-01' AND DATE '1998-06-01' AND nodo IN ('ASIA', 'EUROPE')
+"""
+
+
+def _cube_kpi_block(services: DataFrame) -> DataFrame:
+    return distinct.kpi_block(monthly_cube(services), written(distinct.member_bitmaps(services, "cuenta"), "accounts"))
+
+
+def _cube_cases(services: DataFrame) -> DataFrame:
+    """Services per coordinator and node, for every year, from the cube and bitmaps of coordinators."""
+    cube, agents = written(monthly_cube(services), "cube"), written(distinct.member_bitmaps(services, "agente"), "agents")
+    by = ["perspectiva", "nodo", "anio"]
+    dated = [df.filter("mes IS NOT NULL").withColumn("anio", F.year("mes")) for df in (cube, agents)]
+    return distinct.per_entity(*dated, by)
+
+
+_CUBE_CASES_SQL = """
+SELECT perspectiva, nodo, anio, medida, entidades, medida / entidades AS por_entidad FROM (
+  SELECT perspectiva, nodo, CAST(year(mes) AS INTEGER) AS anio, CAST(sum(servicios) AS BIGINT) AS medida,
+    count(DISTINCT agente) AS entidades FROM services WHERE mes IS NOT NULL GROUP BY ALL)
+"""
+
+
+def _leaders(member: str, n: int) -> Callable[[DataFrame], DataFrame]:
+    return lambda services: leaders.top_members(leaders.summarise(services, member), monthly_cube(services), n)
+
+
+def _concentration(services: DataFrame) -> DataFrame:
+    return leaders.concentration(leaders.summarise(services, "cuenta"), monthly_cube(services), 10)
+
+
+_CONCENTRATION_SQL = """
+, best AS (SELECT perspectiva, cuenta, CAST(sum(servicios) AS BIGINT) AS s FROM services WHERE cuenta IS NOT NULL GROUP BY ALL),
+first AS (SELECT perspectiva, CAST(sum(s) AS DOUBLE) AS top FROM (
+  SELECT *, row_number() OVER (PARTITION BY perspectiva ORDER BY s DESC, cuenta) AS n FROM best) WHERE n <= 10 GROUP BY ALL)
+SELECT perspectiva, top, CAST(total AS DOUBLE) AS total, top / total AS concentracion
+FROM first JOIN totals USING (perspectiva)
+"""
+
+
+def _extract_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The extracts as CSV files in the shared folder, with unlike headers. The one of handled services has the
+    rows of a fifth of the accounts twice, once with a date nobody can read."""
+    folder, moment = new_path(spark, "extracts"), "PERIODO GESTION"
+    as_is = {"header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    paths = {view: f"{folder}/{view}" for view in schema.PERSPECTIVES}
+    for view, path in paths.items():
+        raw = testdata.raw_extract(spark, sf_dir, view).drop("perspectiva")
+        raw = raw.withColumn(moment, F.col(f"`{moment}`").cast("string"))
+        if view == "gestion":
+            spoilt = raw.filter(F.col("`ID CUENTA`").cast("long") % 5 == 1).withColumn(moment, F.lit("por confirmar"))
+            raw = raw.unionByName(spoilt).withColumn("OBSERVACION", F.lit("x"))
+        else:
+            raw = raw.select(*sorted(raw.columns))
+        raw.write.options(**as_is).csv(path)
+    return paths
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[str, store.Load]:
+    path = new_path(spark, "store")
+    return path, store.ingest(spark, path, _extract_files(spark, sf_dir), fmt="csv")
+
+
+_STORE_COUNTS_SQL = (
+    SERVICES_SQL
+    + """
+, told AS (SELECT *, coalesce(regexp_matches(cuenta, '(?i)prueba|ikatech|no apertur'), false) AS test FROM extracts),
+twice AS (SELECT * FROM told WHERE perspectiva = 'gestion' AND CAST(idcuenta AS BIGINT) % 5 = 1)
+SELECT perspectiva, 'fecha' AS motivo, count(*) AS filas FROM twice WHERE NOT test GROUP BY perspectiva
+UNION ALL SELECT perspectiva, 'cargada', count(*) FROM services GROUP BY perspectiva
+UNION ALL SELECT NULL, 'prueba', (SELECT count(*) FROM told WHERE test) + (SELECT count(*) FROM twice WHERE test)
+"""
+)
+
+
+def _store_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.clean_summary(store.read_services(spark, _stored(spark, sf_dir)[0]))
+
+
+def _store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger and the rejects of a load, summed up."""
+    path, load = _stored(spark, sf_dir)
+    rejects = store.read_rejects(spark, path).groupBy("perspectiva", "motivo").agg(F.count(F.lit(1)).alias("filas"))
+    ledger = store.read_ledger(spark, path).groupBy("perspectiva").agg(F.sum("cargadas").alias("filas"))
+    tests = spark.range(1).select(F.lit(None).cast("string").alias("perspectiva"), F.lit("prueba").alias("motivo"), F.lit(load.pruebas).cast("long").alias("filas"))
+    return rejects.unionByName(ledger.select("perspectiva", F.lit("cargada").alias("motivo"), "filas")).unionByName(tests)
+
+
+def _store_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detail of one account from a laid-out table."""
+    path = new_path(spark, "services")
+    export.write_services(testdata.services(spark, sf_dir), path)
+    laid = spark.read.schema(schema.SERVICES).parquet(path)
+    return panels.detail_table(apply_selection(laid, Selection(cuentas=ACCOUNTS.cuentas[:1])))
+
+
+def _exported_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detail table, out to CSV and back."""
+    path = new_path(spark, "detail")
+    detail = panels.detail_table(testdata.services(spark, sf_dir))
+    export.write_detail_csv(detail, path)
+    return export.read_detail_csv(spark, path)
+
+
+def _detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of each perspective, and the page behind it by its last row."""
+    path = new_path(spark, "pages")
+    paging.write_pages(panels.detail_table(testdata.services(spark, sf_dir)), path, block_rows=500)
+    shown = []
+    for view in schema.PERSPECTIVES:
+        second = paging.page(spark, path, view, 2, PAGE)
+        last = second.orderBy(F.col("pos").desc()).first()  # one row
+        shown += [second, paging.page_after(spark, path, view, last.asDict(), PAGE)] if last else [second]
+    return reduce(DataFrame.unionByName, shown)
+
+
 def _s(panel: Callable[[DataFrame], DataFrame], sql: str) -> Query:
     return Query(_over_services(panel), SERVICES_SQL + sql)
 
@@ -386,7 +569,29 @@ QUERIES: dict[str, Query] = {
     "svc_month_domain": _s(
         lambda s: options.members(s, "mes"), "SELECT DISTINCT mes FROM services WHERE mes IS NOT NULL"
     ),
-    "svc_cascade_options": _s(lambda s: options.cascade_options(s, ("ASIA", "EUROPE")), _CASCADE_SQL),
+    "svc_cascade_options": _s(lambda s: options.cascade_options(options.hierarchy_members(s), ("ASIA", "EUROPE")), _CASCADE_SQL),
+    "svc_cascade_countries": _s(
+        lambda s: options.cascade_options(options.hierarchy_members(s), ("ASIA", "EUROPE"), ("NATION_10", "NATION_19")),
+        _CASCADE_SQL.replace("soa IN (SELECT soa FROM offered)", "soa IN ('NATION_10', 'NATION_19')"),
+    ),
+    "svc_chosen_accounts": _s(
+        lambda s: panels.detail_table(apply_selection(s, ACCOUNTS)),
+        _DETAIL_SQL + f" AND soa IN {ACCOUNTS.paises} AND cuenta IN {ACCOUNTS.cuentas} GROUP BY ALL",
+    ),
+    "svc_board_options": Query(_board_options, SERVICES_SQL + _BOARD_OPTIONS_SQL),
+    "svc_cube_kpi_block": _s(_cube_kpi_block, _KPI_SQL),
+    "svc_cube_cases_per_agent": _s(_cube_cases, _CUBE_CASES_SQL),
+    "svc_leaders_accounts": _s(_leaders("cuenta", 15), _top_sql("cuenta", 15)),
+    "svc_leaders_accounts_1200": _s(_leaders("cuenta", 1200), _top_sql("cuenta", 1200)),
+    "svc_leaders_agents": _s(_leaders("agente", 40), _top_sql("agente", 40)),
+    "svc_leaders_concentration": _s(_concentration, _CONCENTRATION_SQL),
+    "svc_store_summary": Query(_store_summary, SERVICES_SQL + _CLEAN_SQL),
+    "svc_store_counts": Query(_store_counts, _STORE_COUNTS_SQL),
+    "svc_store_account": Query(
+        _store_account, SERVICES_SQL + _DETAIL_SQL + f" AND cuenta = '{ACCOUNTS.cuentas[0]}' GROUP BY ALL"
+    ),
+    "svc_exported_detail": Query(_exported_detail, SERVICES_SQL + _DETAIL_SQL + " GROUP BY ALL"),
+    "svc_detail_pages": Query(_detail_pages, SERVICES_SQL + _PAGES_SQL),
     "svc_agent_options": _s(
         _agent_options,
         "SELECT agente, CAST(sum(servicios) AS BIGINT) AS servicios FROM services "

@@ -8,8 +8,11 @@ SQL twins.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsboard import schema
 from opsboard.functions.calendar import month_start
@@ -166,13 +169,30 @@ def kpi_actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Literal targets. FCF has no facts, so its card is pending.
+# Targets of the test boards. FLUJO has no facts, so its card is pending.
 TARGET_ROWS = [
-    ("INGRESOS", "Total Ingresos", "currency", "USD", 25_000_000.0, ">=", "2000", None, None),
-    ("EBITDA", "EBITDA Consolidado", "currency", "USD", 17_566_000.0, ">=", "2000", None, None),
-    ("SINIESTRALIDAD", "Siniestralidad", "currency", "USD", None, "<=", "TBD", "TBD%", None),
-    ("FCF", "Incremental Free Cash Flow", "currency", "USD", None, ">=", "Q4", None, "TBC"),
+    ("INGRESOS", "Ventas del mes", "currency", "USD", 22_000_000.0, ">=", "dic 2000", None, None),
+    ("EBITDA", "Ventas tras reclamos", "currency", "USD", 15_500_000.0, ">=", "dic 2000", None, None),
+    ("SINIESTRALIDAD", "Reclamos del mes", "currency", "USD", None, "<=", "abierto", "sin meta", None),
+    ("FLUJO", "Caja del mes", "currency", "USD", None, ">=", "abierto", None, "sin dato"),
+]
+
+# Targets of a period: the first two overlap, open ends on either side, one that never holds.
+PERIOD_TARGET_ROWS = [
+    ("INGRESOS", None, date(1996, 12, 1), 18_000_000.0),
+    ("INGRESOS", date(1996, 7, 1), date(1999, 6, 30), 21_000_000.0),
+    ("INGRESOS", date(1999, 1, 1), None, 24_000_000.0),
+    ("SINIESTRALIDAD", date(1997, 1, 15), date(1998, 12, 1), 7_000_000.0),
+    ("EBITDA", date(2001, 1, 1), date(1995, 1, 1), 1.0),
 ]
+PERIOD_TARGETS = T.StructType(
+    [
+        T.StructField("kpi_id", T.StringType()),
+        T.StructField("desde", T.DateType()),
+        T.StructField("hasta", T.DateType()),
+        T.StructField("target", T.DoubleType()),
+    ]
+)
 
 
 def kpi_targets(spark: SparkSession) -> DataFrame:

@@ -19,12 +19,8 @@ SERVICE_HEADERS = {
     "NOMBRE": "nombre",
 }
 
-SERVICES = T.StructType(
-    [
-        T.StructField(header, T.LongType() if column == "servicios" else T.StringType())
-        for header, column in SERVICE_HEADERS.items()
-    ]
-)
+# What an extract must have; a text file has nothing but text.
+RAW_SERVICES = T.StructType([T.StructField(header, T.StringType()) for header in SERVICE_HEADERS])
 
 SERVICES = T.StructType(
     [
@@ -178,7 +174,6 @@ COUNTRIES = {
     "ve": "Venezuela",
 }
 
-# Stored statuses of a KPI card and colours of a milestone; any other milestone colour is amber.
-CARD_STATUSES = ("on-track", "at-risk", "off-track", "pending")
+# Colours of a milestone; any other is amber.
 MILESTONE_COLOURS = ("green", "amber", "red")
 DEFAULT_MILESTONE = "amber"

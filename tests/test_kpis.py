@@ -306,3 +306,65 @@ def test_changes_against_brute_force(points, rows):
             before = data.get((k, m - back))
             expected = None if now is None or not before else (now - before) / before
             assert got[(k, month(m))] == expected
+
+
+def test_repeated_and_missing_months_in_grouped_series(spark, rows):
+    points = spark.createDataFrame(
+        [("a", dt.date(2025, 1, 1), 1.0), ("a", dt.date(2025, 1, 1), 2.0), ("a", None, 9.0), ("b", dt.date(2025, 3, 1), None), ("c", None, 1.0), (None, dt.date(2025, 3, 1), 4.0)],
+        "s string, mes date, valor double",
+    )
+    wide = series.to_grouped(points, "s", F.date_format("mes", "yyyy-MM"), "mes")
+    got = {r["name"]: (r["categories"], r["valores"]) for r in wide.collect()}
+    axis = ["2025-01", "2025-03"]
+    assert got == {"a": (axis, [3.0, None]), "b": (axis, [None, None]), None: (axis, [None, 4.0])}
+    assert "Window" not in wide._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shares_without_a_key_need_no_window(spark):
+    df = spark.createDataFrame([("x", 1), ("y", 3), ("x", 2), (None, 2)], "s string, v int")
+    shares = metrics.segment_share(df, "s", F.col("v"))
+    assert "Window" not in shares._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["s"], r["participacion"], r["principal"]) for r in shares.collect()}
+    assert got == {("x", 0.375, True), ("y", 0.375, False), (None, 0.25, False)}
+
+
+def test_target_of_the_period(spark):
+    day = dt.date
+    values = spark.createDataFrame([("K", day(y, m, 1), 1.0) for y in (2023, 2024, 2025) for m in (1, 7)] + [("L", day(2024, 1, 1), 1.0), ("K", None, 2.0)], "kpi_id string, mes date, valor double")
+    targets = spark.createDataFrame(
+        [("K", None, day(2023, 7, 1), 1.0), ("K", day(2023, 7, 1), day(2024, 3, 1), 2.0), ("K", day(2023, 7, 1), day(2024, 2, 1), 3.0), ("K", day(2025, 1, 2), None, 4.0), ("K", day(2025, 9, 1), day(2024, 1, 1), 5.0), (None, None, None, 6.0)],
+        "kpi_id string, desde date, hasta date, target double",
+    )
+    got = {(r["kpi_id"], r["mes"]): r["target"] for r in metrics.with_period_target(values, targets).collect()}
+    assert got == {
+        ("K", day(2023, 1, 1)): 1.0, ("K", day(2023, 7, 1)): 3.0, ("K", day(2024, 1, 1)): 3.0, ("K", day(2024, 7, 1)): None,
+        ("K", day(2025, 1, 1)): None, ("K", day(2025, 7, 1)): 4.0, ("L", day(2024, 1, 1)): None, ("K", None): None,
+    }
+    assert metrics.with_period_target(values, targets.limit(0)).filter("target IS NOT NULL").count() == 0
+    assert metrics.with_period_target(values.limit(0), targets).count() == 0
+
+
+def test_projection_against_a_loop(spark):
+    months = [(2024, m) for m in (1, 2, 3, 5, 9, 10, 12)]
+    values = [10.0, 12.0, 11.0, 15.0, 14.0, 18.0, 21.0]
+    rows = [("a", dt.date(y, m, 1), v) for (y, m), v in zip(months, values)] + [("one", dt.date(2024, 1, 1), 5.0), ("gap", None, 1.0), ("none", dt.date(2024, 1, 1), None)]
+    rows += [("two", dt.date(2024, 1, 1), 5.0), ("two", dt.date(2024, 3, 1), 6.0), ("two", dt.date(2024, 3, 1), 3.0)]
+    got = {(r["kpi_id"], r["paso"]): tuple(r)[1:] for r in series.projected(spark.createDataFrame(rows, "kpi_id string, mes date, valor double"), 2).collect()}
+    base, slope, square, at = values[0], 0.0, 0.0, 1
+    for n, ((_, m), v) in enumerate(zip(months[1:], values[1:]), 1):
+        gap, expected = m - at, base + (m - at) * slope
+        if n == 1:
+            base, slope = v, (v - base) / gap
+        else:
+            square += (v - expected) ** 2
+            new = 0.5 * v + 0.5 * expected
+            slope = 0.3 * (new - base) / gap + 0.7 * slope
+            base = new
+        at = m
+    for step in (1, 2):
+        wide = 1.96 * (square / 5) ** 0.5 * step**0.5
+        mes, _, valor, low, high = got["a", step]
+        assert mes == dt.date(2025, step, 1) and (valor, low, high) == pytest.approx((base + step * slope, base + step * slope - wide, base + step * slope + wide))
+    assert got["one", 1] == (dt.date(2024, 2, 1), 1, 5.0, None, None)
+    assert got["two", 2] == (dt.date(2024, 5, 1), 2, 13.0, None, None)
+    assert {k for k, _ in got} == {"a", "one", "two"}
