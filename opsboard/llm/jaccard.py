@@ -9,12 +9,15 @@ The distance is 1 - |x & y| / |x | y|, a metric; two sets link within `radius` 0
   meet in a region of their first |x| - ceil(0.75 |x|) + 1 shingles: sets near a boundary are replicated
   into that window of regions and no pair is lost. The order puts shingles of many sets last (counted over
   all of them), which keeps passages that many documents share from making large regions.
-* Pivots. In each region the node with the smallest name is the pivot; its exact distance to the others is
-  taken. Who is within the radius links with it; the nearest linked pivot is a node's home, whose cell it
-  joins. Members of one cell are connected and are never compared with each other.
-* Recursion. Only regions that still hold several components go on: a node y is compared with the homes P of
-  other components there. By the triangle inequality no member x of P's cell can link with y if
-  |d(y,P) - d(x,P)| exceeds the radius; y is replicated to the members that are left, and compared.
+* Pivots. In each region the node with the smallest name is the pivot; all others there are held against it.
+  Who links with it shares its component; members of one component are not compared any more.
+* Recursion. Regions that still hold several components go on. A region of at most CELL nodes is joined where
+  it lies. A larger one is divided: the distance (bits that differ between sketches of a fixed size, a
+  metric, and never more than the shingles that differ) of its nodes to a pivot puts them into rings as wide as two
+  linked sets may differ; by the triangle inequality partners lie in the same ring or the next, so nodes near
+  a ring's inner edge are replicated into the ring inside. Rings are regions of their own, with another pivot.
+  What rings cannot divide (LEVELS deep) meets in blocks, all of it but the largest component with everything.
+* Exact. Pairs that sizes and sketches leave are held against each other shingle by shingle.
 
 Links stay edges in tables; components are found by joins (smallest label, with pointer jumping), in rounds
 that each end as a table in the shared folder. Regions of a shingle that many documents hold are grouped by
@@ -46,6 +49,9 @@ SLOTS = 1 << 22  # of the table of frequent shingles that goes to every executor
 DOCS_PER_PART = 4_000
 BLOCK = 1 << 20  # bytes of text hashed at once
 BITS = 1 << 24  # of the filter on documents whose sets are needed
+CELL = 256  # nodes joined in one place
+LEVELS = 2  # of rings within rings
+FOLD = 16  # longs of a sketch of fixed size
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -203,8 +209,8 @@ def frequent(docs: DataFrame, parts: int, hot: int = HOT) -> np.ndarray | None:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """A bit per shingle, in about two bits of room for each."""
-    room = min(1 << 20, max(64, 1 << (2 * len(found) - 1).bit_length()))
+    """A bit per shingle, in about two bits of room for each, or that of a fold."""
+    room = min(1 << 20, max(64 * FOLD, 1 << (2 * len(found) - 1).bit_length()))
     bits = np.zeros(room, bool)
     bits[(found & np.uint64(room - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -285,14 +291,13 @@ def regions_of(docs: DataFrame, known: DataFrame, parts: int, levels) -> DataFra
     return written(few.unionAll(own), "jaccard-regions")
 
 
-def sets_of(docs: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """sid and shingles of the nodes in `wanted` (sid), each taken from one of its documents.
 
     A bit filter of fixed size over the keys of those documents spares the others the hashing; what it lets
     through in error, or for repeated rows, is not asked for or is made one.
     """
-    keys = known.join(wanted.distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("key").alias("key"))
-    keys = written(keys, "jaccard-keys")
+    keys = written(nodes.join(wanted.distinct(), "sid", "left_semi").select("sid", "key"), "jaccard-keys")
     slot = F.pmod(F.col("key"), F.lit(BITS)) + 1  # bit positions count from 1
     bits = np.zeros(BITS // 8, np.uint8)
     filled = keys.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
@@ -340,6 +345,124 @@ def near(pairs: DataFrame, sketches: DataFrame, radius: float) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def with_folds(nodes: DataFrame) -> DataFrame:
+    """sid, n and fold, a sketch in FOLD longs: the parts of a longer one laid over each other."""
+
+    def run(batches):
+        for batch in sliced(batches):
+            folds = [np.bitwise_or.reduce(np.frombuffer(b, "<i8").reshape(-1, FOLD), axis=0) for b in batch.column("bits").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("n"), pa.array(folds, pa.list_(pa.int64()))], ["sid", "n", "fold"])
+
+    return nodes.select("sid", "n", "bits").mapInArrow(run, "sid long, n long, fold array<long>")
+
+
+def divided(cells: DataFrame, level: int, most: int = CELL) -> DataFrame:
+    """`cells` (cell, sid, label, n, fold) with those of more than `most` nodes divided into rings.
+
+    Linked sets differ in at most a seventh of their sizes' sum, hence by no more in their distances to a pivot.
+    """
+    large = cells.groupBy("cell").agg(
+        F.count("*").alias("size"), F.min_by("fold", F.xxhash64("sid", F.lit(level))).alias("pivot"), F.floor(2 * F.max("n") / 7).alias("reach")
+    )
+    large = written(large.filter(F.col("size") > most).drop("size"), "jaccard-large")
+    rest = cells.join(large.select("cell"), "cell", "left_anti")
+    apart = F.aggregate(F.zip_with("fold", "pivot", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    placed = cells.join(large, "cell").withColumn("apart", apart).withColumn("ring", F.floor(F.col("apart") / (F.col("reach") + 1)))
+    # who lies within reach of the ring inside is replicated into it
+    inner = (F.col("ring") > 0) & (F.col("apart") - F.col("ring") * (F.col("reach") + 1) < F.col("reach"))
+    rings = F.when(inner, F.array("ring", F.col("ring") - 1)).otherwise(F.array("ring"))
+    split = placed.select(F.explode(rings).alias("ring"), "cell", "sid", "label", "n", "fold")
+    return rest.unionByName(split.select(F.xxhash64("cell", F.lit(level), "ring").alias("cell"), "sid", "label", "n", "fold"))
+
+
+def blocked(cells: DataFrame, most: int = CELL) -> DataFrame:
+    """`cells` with those of more than `most` nodes as pairs of blocks: every two nodes of different labels meet in
+    a pair, but nodes outside the largest label meet all others, those in it only them."""
+    labels = cells.groupBy("cell", "label").agg(F.count("*").alias("c"))
+    sizes = labels.groupBy("cell").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("most"))
+    sizes = sizes.filter(F.col("size") > most).select(
+        "cell",
+        F.col("most.label").alias("main"),
+        F.ceil((F.col("size") - F.col("most.c")) * 2 / most).alias("few"),
+        F.ceil(F.col("most.c") * 2 / most).alias("many"),
+    )
+    sizes = written(sizes, "jaccard-blocks")
+    rest = cells.join(sizes.select("cell"), "cell", "left_anti")
+    apart = F.col("label") != F.col("main")
+    # blocks 0 to few - 1 hold the nodes outside the main label, few to few + many - 1 those in it
+    own = F.when(apart, F.pmod(F.xxhash64("sid"), F.col("few"))).otherwise(F.col("few") + F.pmod(F.xxhash64("sid"), F.col("many")))
+    others = F.when(apart, F.sequence(F.lit(0).cast("long"), F.col("few") + F.col("many") - 1)).otherwise(
+        F.when(F.col("few") > 0, F.sequence(F.lit(0).cast("long"), F.col("few") - 1)).otherwise(F.array().cast("array<long>"))
+    )
+    placed = cells.join(sizes, "cell").withColumn("own", own).withColumn("other", F.explode(others))
+    pair = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
+    return rest.unionByName(placed.select(pair.alias("cell"), "sid", "label", "n", "fold"))
+
+
+def _met(sid: np.ndarray, label: np.ndarray, n: np.ndarray, fold: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (sorted by cell) of one cell and two labels that size and fold leave."""
+    found = [np.zeros((0, 2), np.int64)]
+    offset = 1
+    while offset < len(cell):
+        at = np.flatnonzero(cell[offset:] == cell[:-offset])
+        if not len(at):
+            break
+        at = at[label[at] != label[at + offset]]
+        low, high = np.minimum(n[at], n[at + offset]), np.maximum(n[at], n[at + offset])
+        at = at[4 * low >= 3 * high]
+        for k in range(0, len(at), 1 << 14):
+            one = at[k : k + (1 << 14)]
+            gap = np.bitwise_count(fold[one] ^ fold[one + offset]).sum(axis=1, dtype=np.int64)
+            one = one[7 * gap <= n[one] + n[one + offset]]
+            found.append(np.stack((np.minimum(sid[one], sid[one + offset]), np.maximum(sid[one], sid[one + offset])), axis=1))
+        offset += 1
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def candidates(cells: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different labels that share a cell, as far as size and fold leave them.
+
+    Cells are at most a few times CELL nodes large; a task sorts its cells and holds some of them at a time.
+    """
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def flush():
+            table = pa.Table.from_batches(held)
+            cell, sid, label, n = (table[c].to_numpy() for c in ("cell", "sid", "label", "n"))
+            fold = table["fold"].combine_chunks().flatten().to_numpy().reshape(-1, FOLD).view(np.uint64)
+            a, b = _met(sid, label, n, fold, cell)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = batch.column("cell").to_numpy()
+            starts = np.flatnonzero(np.diff(cell)) + 1
+            if held and held[-1].column("cell")[held[-1].num_rows - 1].as_py() != cell[0]:
+                yield flush()
+                held.clear()
+            elif len(starts):  # the cell that was begun ends in this batch
+                held.append(batch.slice(0, int(starts[0])))
+                yield flush()
+                held.clear()
+                batch, starts = batch.slice(int(starts[0])), starts[1:] - starts[0]
+            if len(starts):
+                whole = batch.slice(0, int(starts[-1]))
+                held.append(whole)
+                yield flush()
+                held.clear()
+                batch = batch.slice(int(starts[-1]))
+            held.append(batch)
+        if held:
+            yield flush()
+
+    dealt = cells.select("cell", "sid", "label", "n", "fold").repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, both (shingles in common), any (in either) of each pair."""
     one = sets.select(F.col("sid").alias("a"), F.col("items").alias("a_items"))
@@ -353,10 +476,6 @@ def _links() -> F.Column:
     return F.lit(100) * F.col("both") >= F.lit(75) * F.col("any")
 
 
-def _distance() -> F.Column:
-    return 1 - F.col("both") / F.col("any")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node and label (the smallest node it reaches) of the nodes of an edge table (a, b)."""
     both = written(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -372,7 +491,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def classes(docs: DataFrame, hot: int = HOT, most: int = CELL) -> DataFrame:
     """Every document row: doc_id, key, n_shingles and component (a node name; null without shingles)."""
     spark = docs.sparkSession
     ship(spark)
@@ -382,59 +501,37 @@ def classes(docs: DataFrame, hot: int = HOT) -> DataFrame:
     sent = spark.sparkContext.broadcast(levels) if levels is not None else None
     known = written(named(rows, sent), "jaccard-names")
     regions = regions_of(rows, known, parts, sent)
-    sketches = known.filter("sid IS NOT NULL").select("sid", "n", "bits").dropDuplicates(["sid"]).join(regions.select("sid").distinct(), "sid", "left_semi")
-    sketches = written(sketches, "jaccard-sketches")
+    # one row a node, made before any join, so that a third of all documents in one node is a row like others
+    nodes = known.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = written(nodes.join(regions.select("sid").distinct(), "sid", "left_semi"), "jaccard-nodes")
 
-    def measured(pairs: DataFrame, radius: float, what: str) -> DataFrame:
-        """a, b, both, any of the pairs that may lie within `radius`."""
-        open_pairs = written(near(pairs, sketches, radius), f"jaccard-{what}")
+    def linked(pairs: DataFrame, what: str) -> DataFrame:
+        """The pairs that link."""
+        open_pairs = written(near(pairs, nodes, RADIUS), f"jaccard-{what}")
         if not open_pairs.limit(1).count():
-            return spark.createDataFrame([], "a long, b long, both int, any int")
-        sets = sets_of(rows, known, open_pairs.select(F.col("a").alias("sid")).unionAll(open_pairs.select("b")))
-        return written(distances(open_pairs, sets), f"jaccard-{what}-exact")
-
-    # First round: each node of a region against the region's pivot.
-    pivots = regions.groupBy("region").agg(F.min("sid").alias("b"))
-    stars = regions.join(pivots, "region").filter("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
-    nodes = regions.select("sid")
-    first = measured(stars, 2 * RADIUS, "stars")
-    links = first.filter(_links())
+            return spark.createDataFrame([], "a long, b long")
+        sets = sets_of(rows, nodes, open_pairs.select(F.col("a").alias("sid")).unionAll(open_pairs.select("b")))
+        return written(distances(open_pairs, sets).filter(_links()).select("a", "b"), f"jaccard-{what}-links")
+
+    # Each node of a region against the region's pivot. That settles regions of two.
+    sized = regions.groupBy("region").agg(F.min("sid").alias("b"), F.count("*").alias("size"))
+    sized = written(sized, "jaccard-pivots")
+    stars = regions.join(sized, "region").filter("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
+    links = linked(stars, "stars")
     labels = components(links)
 
-    # A node's home is the pivot it lies nearest to; a pivot with a cell of its own is its own home.
-    closest = links.groupBy(F.col("a").alias("sid")).agg(F.min(F.struct(_distance().alias("d"), F.col("b").alias("home"))).alias("near"))
-    centres = links.select(F.col("b").alias("sid")).distinct().withColumn("centre", F.lit(True))
-    placed = (
-        nodes.distinct()
-        .join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-        .join(closest, "sid", "left")
-        .join(centres, "sid", "left")
-        .select(
-            "sid",
-            F.coalesce("label", "sid").alias("label"),
-            F.when(F.col("centre") | F.col("near").isNull(), F.col("sid")).otherwise(F.col("near.home")).alias("home"),
-            F.when(F.col("centre") | F.col("near").isNull(), 0.0).otherwise(F.col("near.d")).alias("d"),
-        )
-    )
-    placed = written(placed, "jaccard-homes")
-    members = regions.join(placed, "sid")
-    mixed = members.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("region")
-    members = written(members.join(mixed, "region", "left_semi"), "jaccard-open")
-
-    # Second round: nodes against the homes of other components in their region.
-    cells = members.select("region", F.col("home").alias("b"), F.col("label").alias("b_label")).distinct()
-    asked = members.join(cells, "region").filter("b_label < label").select(F.col("sid").alias("a"), "b").distinct()
-    second = measured(asked, 2 * RADIUS, "cells")
-
-    # Third round: nodes near another cell against its members in their region, as the triangle allows.
-    border = second.filter(~_links() & (_distance() <= 2 * RADIUS + 1e-9)).select("a", F.col("b").alias("home"), _distance().alias("far"))
-    inside = members.select("region", F.col("sid").alias("b"), "home", "d", F.col("label").alias("b_label")).filter("b <> home")
-    here = members.select("region", F.col("sid").alias("a"), "label").join(border, "a")
-    reach = here.join(inside, ["region", "home"]).filter((F.col("b_label") < F.col("label")) & (F.abs(F.col("far") - F.col("d")) <= RADIUS + 1e-9))
-    third = measured(reach.select("a", "b").distinct(), RADIUS, "members")
-    more = written(second.unionByName(third).filter(_links()).select("a", "b"), "jaccard-more")
+    # Regions that hold several components besides the pivot go on.
+    others = regions.join(sized.filter("size > 2"), "region").filter("sid <> b").select("region", "sid")
+    placed = others.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    placed = written(placed, "jaccard-placed")
+    mixed = placed.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("region")
+    open_rows = placed.join(written(mixed, "jaccard-mixed"), "region", "left_semi").withColumnRenamed("region", "cell")
+    cells = written(open_rows.join(with_folds(nodes), "sid"), "jaccard-cells")
+    for level in range(LEVELS):
+        cells = divided(cells, level, most)
+    more = linked(candidates(blocked(cells, most)), "candidates")
     if more.limit(1).count():
-        labels = components(links.select("a", "b").unionAll(more))
+        labels = components(links.unionAll(more))
     own = known.filter("sid IS NULL").withColumn("component", F.lit(None).cast("long"))
     some = known.filter("sid IS NOT NULL").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
     some = some.withColumn("component", F.coalesce("label", "sid"))
@@ -446,6 +543,7 @@ def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
     found = written(classes(docs, hot), "jaccard-classes")
     smallest = found.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    smallest = written(smallest, "jaccard-smallest")  # both sides of the join are tables: a large component can be split
     some = found.filter("component IS NOT NULL").join(smallest, "component").select("doc_id", "n_shingles", "component_id")
     return some.unionAll(found.filter("component IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
