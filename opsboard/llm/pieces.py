@@ -14,7 +14,7 @@ at the chunk borders follow; then every chunk is traced back for itself. A strin
 characters, hence at most 2^31 / (chunk_chars * FAN) blocks of one document meet.
 
 No piece has a space after another character, so the lattice falls apart at the start of each word; words
-are solved once, many at a time, and remembered.
+are solved once and remembered.
 
 Defined results: a null text has null ids, an empty one none; a character without a piece becomes its bytes;
 equal long texts are encoded once; repeated documents are returned each; extra columns are kept by `encode`
@@ -25,12 +25,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +43,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 16_384
 FAN = 64
 SPACE = "▁"
-MOST_CACHED = 200_000
+MOST_CACHED = 400_000  # words, and pairs of pieces
+AT_ONCE = 8_192  # words of a length
 TOGETHER = 2_000_000  # characters whose words are solved together
 LONGEST_WORD = 32  # of the words that are solved many at a time
 _NORMAL, _BYTE, _UNIGRAM, _BPE = 1, 6, 1, 2
@@ -80,7 +83,12 @@ class Lattice(dict):
             of_byte.get(k, p.piece.encode() if p.type == _NORMAL else b" \xe2\x81\x87 " if p.type == 2 else b"")
             for k, p in enumerate(model.pieces)
         ]
+        self.table = np.frombuffer(b"".join(self.surface), np.uint8)  # all surfaces, one after the other
+        self.sizes = np.array([len(x) for x in self.surface], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        ranks = {score: k for k, score in enumerate(sorted(set(self.score.values()), reverse=True))}
         self.piece = {k: p for p, k in self.ids.items()}
         ordered = sorted((self._hash(p), k) for p, k in self.ids.items())
         self.hashes = np.array([h for h, _ in ordered], np.uint64)
@@ -90,7 +98,9 @@ class Lattice(dict):
         self.maybe = np.zeros(1 << 20, bool)  # most characters' runs are no piece; this tells so at once
         self.maybe[self.hashes >> np.uint64(44)] = True
         self.weights = np.array([self.score.get(p.piece, self.unknown) for p in model.pieces])
-        self.pair_keys, self.pair_known = np.zeros(0, np.int64), np.zeros(0, bool)
+        # pairs of ids already told apart, by a slot of their own; a pair that finds another in its slot takes it
+        self.pair_key, self.pair_fits = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
+        self.order = {p: ranks[score] for p, score in self.score.items()}  # the lower, the earlier it merges
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short text: the best neighbours merge first, of equals the leftmost."""
@@ -102,13 +112,47 @@ class Lattice(dict):
             k = min(scored)[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
+    def halved(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that merge last when `piece` is merged alone; none if it never becomes one."""
+        if piece not in self.halves:
+            parts = list(piece)
+            while len(parts) > 2:
+                scored = [(-s, k) for k in range(len(parts) - 1) if (s := self.score.get(parts[k] + parts[k + 1])) is not None]
+                if not scored:
+                    break
+                k = min(scored)[1]
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            self.halves[piece] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return self.halves[piece]
+
+    def fits(self, piece: str, after: str) -> bool:
+        """Whether merging the two alone gives them back: `merged(piece + after) == [piece, after]`.
+
+        Merges are undone, the latest first. Had a merge across the border come before one that is undone, it
+        would have been made instead; of equal ones the left one comes first.
+        """
+        limit, order = len(self.order) + 1, self.order
+        while True:
+            if order.get(piece + after, limit) < limit:
+                return False
+            left, right = (order[p] if len(p) > 1 else -1 for p in (piece, after))
+            if left < 0 and right < 0:
+                return True
+            halves = self.halved(piece if left > right else after)
+            if halves is None:
+                return False
+            if left > right:
+                limit, piece = left, halves[1]
+            else:
+                limit, after = right + 1, halves[0]
+
     def may_follow(self, piece: str | None, after: str) -> bool:
         if piece is None or not self.bpe:
             return True
         if (known := self.pairs.get((piece, after))) is None:
             if len(self.pairs) >= MOST_CACHED:
                 self.pairs.clear()
-            known = self.pairs[piece, after] = self.merged(piece + after) == [piece, after]
+            known = self.pairs[piece, after] = self.fits(piece, after)
         return known
 
     def weight(self, piece: str) -> float:
@@ -120,10 +164,9 @@ class Lattice(dict):
         best, last, ids, longest = [NONE] * (n + 1), [None] * (n + 1), self.ids, self.longest
         best[0], last[0] = 0.0, piece
         for end in range(1, n + 1):
-            for length in range(min(longest, end), 0, -1):
-                arc = text[start + end - length : start + end]
-                before = end - length
-                if (length == 1 or arc in ids) and best[before] > NONE and self.may_follow(last[before], arc):
+            for before in range(end - longest if end > longest else 0, end):
+                arc = text[start + before : start + end]
+                if (arc in ids or before == end - 1) and best[before] > NONE and self.may_follow(last[before], arc):
                     if self.bpe:
                         best[end], last[end] = 0.0, arc
                         break
@@ -152,7 +195,7 @@ class Lattice(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MOST_CACHED:
             self.clear()
-        ids = np.array(self.numbers(self.path(word, 0, len(word), None)), np.int32).tobytes()
+        ids = array("i", self.numbers(self.path(word, 0, len(word), None))).tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
@@ -167,22 +210,18 @@ class Lattice(dict):
     def _together(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
         """may_follow for arrays of ids; -1 is the start of a text, -2 a character without a piece."""
         allowed = np.ones(before.shape, bool)
-        if not self.bpe:
-            return allowed
-        some = (before >= 0) & (after >= 0)
-        keys = before[some] << 16 | after[some]
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), max(0, len(self.pair_keys) - 1))
-        missing = np.unique(keys[self.pair_keys[at] != keys] if len(self.pair_keys) else keys)
+        some = np.flatnonzero((before >= 0) & (after >= 0))
+        key = before[some] << 32 | after[some]
+        slot = ((key.astype(np.uint64) * np.uint64(_BASE)) >> np.uint64(44)).astype(np.int64)
+        fits, missing = self.pair_fits[slot], np.flatnonzero(self.pair_key[slot] != key)
         if len(missing):
-            if len(self.pair_keys) > 4 * MOST_CACHED:
-                self.pair_keys, self.pair_known = np.zeros(0, np.int64), np.zeros(0, bool)
-                missing = np.unique(keys)
-            new = [self.merged(a + b) == [a, b] for a, b in ((self.piece[k >> 16], self.piece[k & 65_535]) for k in missing.tolist())]
-            every = np.concatenate((self.pair_keys, missing))
-            order = np.argsort(every, kind="stable")
-            self.pair_keys, self.pair_known = every[order], np.concatenate((self.pair_known, np.array(new, bool)))[order]
-            at = np.searchsorted(self.pair_keys, keys)
-        allowed[some] = self.pair_known[at]
+            new, first, which = np.unique(key[missing], return_index=True, return_inverse=True)
+            pieces = [(self.piece[k >> 32], self.piece[k & 0xFFFFFFFF]) for k in new.tolist()]
+            told = np.array([self.fits(a, b) for a, b in pieces], bool)
+            fits[missing] = told[which]
+            place = slot[missing[first]]
+            self.pair_key[place], self.pair_fits[place] = new, told
+        allowed[some] = fits
         return allowed
 
     def _only_paths(self, arcs: np.ndarray, last: np.ndarray, step: np.ndarray) -> None:
@@ -260,8 +299,8 @@ class Lattice(dict):
             if len(word) <= LONGEST_WORD:
                 by_length.setdefault(len(word), []).append(word)
         for group in by_length.values():
-            for k in range(0, len(group), 4_096):
-                part = group[k : k + 4_096]
+            for k in range(0, len(group), AT_ONCE):
+                part = group[k : k + AT_ONCE]
                 self.update(zip(part, self._solved(part), strict=True))
 
     def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
@@ -284,8 +323,16 @@ class Lattice(dict):
         return self.words(normal(text)) if text else np.zeros(0, np.int32)
 
     def decode(self, ids) -> str:
-        raw = b"".join(map(self.surface.__getitem__, ids))
-        return raw.decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+        return self.decode_all(np.array(ids, np.int64), [len(ids)])[0]
+
+    def decode_all(self, ids: np.ndarray, sizes: list[int]) -> list[str]:
+        """The texts of ids laid end to end, `sizes` of each text."""
+        long = self.sizes[ids]
+        ends = np.cumsum(long)
+        # where each byte lies in the table: its piece's place, and how far it is into the piece
+        raw = self.table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begins[ids] - ends + long, long)].tobytes()
+        stops = np.concatenate(([0], ends))[np.cumsum([0, *sizes])].tolist()
+        return [raw[a:b].decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ") for a, b in zip(stops, stops[1:], strict=False)]
 
     # Chunks: `text` holds the characters [offset, offset + len(text)) of the document around a chunk.
 
@@ -531,7 +578,9 @@ def decode(encoded: DataFrame, ids: str = "ids", added: str = "decoded", model:
     def run(batches):
         lattice = sent.lattice()
         for batch in sliced(batches, TOGETHER):
-            texts = [None if r is None else lattice.decode(r) for r in (v.as_py() for v in batch.column(ids))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, added])
+            column = batch.column(ids)
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_pylist()
+            texts = lattice.decode_all(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string(), mask=column.is_null().to_numpy(zero_copy_only=False))], [*batch.schema.names, added])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(added, T.StringType())]))
