@@ -41,7 +41,8 @@ ROUNDS = 3
 LEAST_SCORE = 0.8
 LEAST_SEEDS = 5
 LEAST_SHARE = 0.1
-CONTEXT = 64
+FEW = 64
+NEAR = 64  # characters looked at first for the words around a span
 
 # The contract's patterns; possessive and anchored at the start of a run of digits, so that no text takes
 # more than linear time. A match can't begin within such a run: what follows the run is the same.
@@ -51,6 +52,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_WORD = re.compile(r"\S+")
 _TOKEN = re.compile(r"[^\s\"'<>()\[\]{},;=|]+")
 _ATOM = re.compile(r"[^\s\"'<>()\[\]{},;=|.:!?]+")
 _RUN = re.compile(
@@ -107,14 +109,21 @@ def folded(text: str) -> str:
 
 
 def _around(plain: str, start: int, end: int) -> tuple[list[str], list[str]]:
-    """Up to three words before and one after a span; those that the edge of CONTEXT cuts are none."""
-    first, last = max(0, start - CONTEXT), end + CONTEXT
-    before, after = plain[first:start].split(), plain[end:last].split()[:1]
-    if len(before) <= 3 and first and before and not (plain[first].isspace() or plain[first - 1].isspace()):
-        del before[0]
-    if after and last < len(plain) and not plain[last].isspace() and plain[end:last].lstrip() == after[0]:
-        del after[0]
-    return before[-3:], after
+    """Up to three words before and one after a span, whole ones, however long and far away."""
+    reach = NEAR
+    while True:
+        first = max(0, start - reach)
+        before = plain[first:start].split()
+        if not first or len(before) > 3:  # the first word may be cut, and is not among the last three
+            break
+        reach *= 4
+    reach = NEAR
+    while True:
+        after = plain[end : end + reach].split(None, 1)
+        if end + reach >= len(plain) or len(after) > 1 or after and plain[end + reach - 1].isspace():
+            break
+        reach *= 4
+    return before[-3:], after[:1]
 
 
 def contexts(plain: str, start: int, end: int) -> list[str]:
@@ -201,7 +210,8 @@ class Wanted:
     def may_have(self, lower: str, plain: str) -> bool:
         if self.heads and not self.heads.isdisjoint(_ATOM.findall(lower)):
             return True
-        return bool(self.patterns) and (self.always or not self.words.isdisjoint(_ATOM.findall(plain)))
+        # with many words to look for, nearly every text has one
+        return bool(self.patterns) and (self.always or len(self.words) > FEW or not self.words.isdisjoint(_ATOM.findall(plain)))
 
     def spots(self, text: str) -> Iterator[tuple[int, int, str, list[str]]]:
         """start, end, instance and patterns outside of base spans: the wanted patterns, or all of a wanted instance."""
@@ -209,16 +219,31 @@ class Wanted:
         plain = _DIGIT.sub("0", lower)
         if not self.may_have(lower, plain):
             return
-        for s, e in candidates(lower, [span for spans in base_spans(text).values() for span in spans]):
-            if self.instances:
+        taken = [span for spans in base_spans(text).values() for span in spans]
+        if self.instances:
+            for s, e in candidates(lower, taken):
                 if lower[s:e] in self.instances:
                     yield s, e, lower[s:e], contexts(plain, s, e)
-                continue
-            before, after = _around(plain, s, e)
-            if (before and before[-1] in self.last) or (after and after[0] in self.first):
-                own = [p for p in _named(before, after) if p in self.patterns]
-                if own:
-                    yield s, e, lower[s:e], own
+            return
+        words, k = [m.span() for m in _WORD.finditer(plain)], 0
+        for s, e in candidates(lower, taken):
+            while words[k][1] <= s:
+                k += 1
+            # the word next to a candidate tells at once that most are beside no wanted pattern
+            begin, stop = words[k]
+            before = plain[begin:s] if begin < s else plain[slice(*words[k - 1])] if k else None
+            if before not in self.last:
+                n = k
+                while n < len(words) and words[n][1] <= e:
+                    n += 1
+                if n == len(words):
+                    continue
+                begin, stop = words[n]
+                if plain[max(begin, e) : stop] not in self.first:
+                    continue
+            own = [p for p in contexts(plain, s, e) if p in self.patterns]
+            if own:
+                yield s, e, lower[s:e], own
 
 
 def spots(docs: DataFrame, wanted: Wanted) -> DataFrame:
