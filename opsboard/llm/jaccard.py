@@ -10,13 +10,15 @@ The distance is 1 - |x & y| / |x | y|, a metric; two sets link within `radius` 0
   into that window of regions and no pair is lost. The order puts shingles of many sets last (counted over
   all of them), which keeps passages that many documents share from making large regions.
 * Pivots. In each region the node with the smallest name is the pivot; all others there are held against it.
-  Who links with it shares its component; members of one component are not compared any more.
-* Recursion. Regions that still hold several components go on. A region of at most CELL nodes is joined where
-  it lies. A larger one is divided: the distance (bits that differ between sketches of a fixed size, a
-  metric, and never more than the shingles that differ) of its nodes to a pivot puts them into rings as wide as two
-  linked sets may differ; by the triangle inequality partners lie in the same ring or the next, so nodes near
-  a ring's inner edge are replicated into the ring inside. Rings are regions of their own, with another pivot.
-  What rings cannot divide (LEVELS deep) meets in blocks, all of it but the largest component with everything.
+  Who links with it shares its component; members of one component are not compared any more. The nodes that
+  meet a pivot in any region are its cell: what meets in a region meets in the cell of its pivot.
+* Recursion. Cells that still hold several components go on, first with the likeliest pair of each component
+  in a cell, then with what is left. A cell of at most CELL nodes is joined where it lies. A larger one is
+  divided: the distance (bits that differ between sketches of a fixed size, a metric, and never more than the
+  shingles that differ) of its nodes to a pivot puts them into rings as wide as two linked sets may differ; by
+  the triangle inequality partners lie in the same ring or the next, so nodes near a ring's inner edge are
+  replicated into the ring inside. Rings are cells of their own, with another pivot. What rings cannot divide
+  (LEVELS deep) meets in blocks, all of it but the largest component with everything.
 * Exact. Pairs that sizes and sketches leave are held against each other shingle by shingle.
 
 Links stay edges in tables; components are found by joins (smallest label, with pointer jumping), in rounds
@@ -399,9 +401,10 @@ def blocked(cells: DataFrame, most: int = CELL) -> DataFrame:
     return rest.unionByName(placed.select(pair.alias("cell"), "sid", "label", "n", "fold"))
 
 
-def _met(sid: np.ndarray, label: np.ndarray, n: np.ndarray, fold: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows (sorted by cell) of one cell and two labels that size and fold leave."""
-    found = [np.zeros((0, 2), np.int64)]
+def _met(sid: np.ndarray, label: np.ndarray, n: np.ndarray, fold: np.ndarray, cell: np.ndarray, best: bool) -> np.ndarray:
+    """Pairs of rows (sorted by cell) of one cell and two labels that size and fold leave; with `best`, for each
+    label of a cell only the pair that seems nearest."""
+    found, shares = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
     offset = 1
     while offset < len(cell):
         at = np.flatnonzero(cell[offset:] == cell[:-offset])
@@ -413,15 +416,25 @@ def _met(sid: np.ndarray, label: np.ndarray, n: np.ndarray, fold: np.ndarray, ce
         for k in range(0, len(at), 1 << 14):
             one = at[k : k + (1 << 14)]
             gap = np.bitwise_count(fold[one] ^ fold[one + offset]).sum(axis=1, dtype=np.int64)
-            one = one[7 * gap <= n[one] + n[one + offset]]
-            found.append(np.stack((np.minimum(sid[one], sid[one + offset]), np.maximum(sid[one], sid[one + offset])), axis=1))
+            both = n[one] + n[one + offset]
+            near = 7 * gap <= both
+            found.append(np.stack((one[near], one[near] + offset), axis=1))
+            shares.append(gap[near] / both[near])
         offset += 1
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    pairs, share = np.concatenate(found), np.concatenate(shares)
+    if best and len(pairs):
+        side, which = pairs.T.ravel(), np.tile(np.arange(len(pairs)), 2)
+        order = np.lexsort((share[which], label[side], cell[side]))
+        side, which = side[order], which[order]
+        first = np.ones(len(side), bool)
+        first[1:] = (cell[side[1:]] != cell[side[:-1]]) | (label[side[1:]] != label[side[:-1]])
+        pairs = pairs[np.unique(which[first])]
+    return np.unique(np.sort(sid[pairs], axis=1), axis=0)
 
 
-def candidates(cells: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different labels that share a cell, as far as size and fold leave them.
+def candidates(cells: DataFrame, best: bool = False) -> DataFrame:
+    """Pairs (a, b) of nodes of different labels that share a cell, as far as size and fold leave them; with `best`
+    the likeliest one of each label and cell.
 
     Cells are at most a few times CELL nodes large; a task sorts its cells and holds some of them at a time.
     """
@@ -433,8 +446,8 @@ def candidates(cells: DataFrame) -> DataFrame:
             table = pa.Table.from_batches(held)
             cell, sid, label, n = (table[c].to_numpy() for c in ("cell", "sid", "label", "n"))
             fold = table["fold"].combine_chunks().flatten().to_numpy().reshape(-1, FOLD).view(np.uint64)
-            a, b = _met(sid, label, n, fold, cell)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            pairs = _met(sid, label, n, fold, cell, best)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -513,25 +526,25 @@ def classes(docs: DataFrame, hot: int = HOT, most: int = CELL) -> DataFrame:
         sets = sets_of(rows, nodes, open_pairs.select(F.col("a").alias("sid")).unionAll(open_pairs.select("b")))
         return written(distances(open_pairs, sets).filter(_links()).select("a", "b"), f"jaccard-{what}-links")
 
-    # Each node of a region against the region's pivot. That settles regions of two.
-    sized = regions.groupBy("region").agg(F.min("sid").alias("b"), F.count("*").alias("size"))
-    sized = written(sized, "jaccard-pivots")
-    stars = regions.join(sized, "region").filter("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
+    # Each node of a region against the region's pivot. That settles pivots that have one other node.
+    pivots = regions.groupBy("region").agg(F.min("sid").alias("b"))
+    stars = written(regions.join(written(pivots, "jaccard-pivots"), "region").filter("sid <> b").select(F.col("sid").alias("a"), "b").distinct(), "jaccard-stars")
     links = linked(stars, "stars")
     labels = components(links)
 
-    # Regions that hold several components besides the pivot go on.
-    others = regions.join(sized.filter("size > 2"), "region").filter("sid <> b").select("region", "sid")
-    placed = others.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    placed = written(placed, "jaccard-placed")
-    mixed = placed.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("region")
-    open_rows = placed.join(written(mixed, "jaccard-mixed"), "region", "left_semi").withColumnRenamed("region", "cell")
-    cells = written(open_rows.join(with_folds(nodes), "sid"), "jaccard-cells")
-    for level in range(LEVELS):
-        cells = divided(cells, level, most)
-    more = linked(candidates(blocked(cells, most)), "candidates")
-    if more.limit(1).count():
-        labels = components(links.unionAll(more))
+    # The nodes around a pivot are a cell. Cells of several components go on.
+    folds = written(with_folds(nodes), "jaccard-folds")
+    for best in (True, False):  # what most likely links comes first, so that less is left to be told apart
+        placed = stars.select(F.col("b").alias("cell"), F.col("a").alias("sid")).join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+        placed = placed.withColumn("label", F.coalesce("label", "sid"))
+        mixed = placed.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("cell")
+        cells = written(placed.join(written(mixed, "jaccard-mixed"), "cell", "left_semi").join(folds, "sid"), "jaccard-cells")
+        for level in range(LEVELS):
+            cells = divided(cells, level, most)
+        more = linked(candidates(blocked(cells, most), best), "candidates")
+        if more.limit(1).count():
+            links = links.unionAll(more)
+            labels = components(links)
     own = known.filter("sid IS NULL").withColumn("component", F.lit(None).cast("long"))
     some = known.filter("sid IS NOT NULL").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
     some = some.withColumn("component", F.coalesce("label", "sid"))
