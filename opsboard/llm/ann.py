@@ -16,7 +16,7 @@ that fills a third of the table costs as much as any other. The forest (`trees`
 `sample_rows / leaf_rows` nodes) is the only thing sent to every executor.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part,
-neither do those whose length is not the most common one (the greater, if two are); null ids take no part; ties go to the
+null ids neither; vectors of one length are searched among themselves, with a forest of their own; ties go to the
 smaller id; identical rows count once; rows of one id with different vectors are searched each; fewer than k
 candidates are all returned; an empty table gives no rows; extra columns are ignored.
 """
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -151,13 +152,17 @@ def search(
     search_rows: int = SEARCH_ROWS,
 ) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance, double precision) of the k nearest found for each query row."""
-    spark = vectors.sparkSession
-    ship(spark)
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col(id).alias("id"), F.col(vector).alias("v"), is_query.alias("asks"))
     rows = rows.filter(F.col("id").isNotNull() & F.coalesce(_usable(F.col("v")), F.lit(False)))
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    rows = rows.filter(F.size("v") == (common["n"] if common else 0))
+    lengths = [r["n"] for r in rows.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()]
+    found = [_searched(rows.filter(F.size("v") == n), k, trees, sample_rows, leaf_rows, search_rows) for n in lengths or [0]]
+    return reduce(DataFrame.unionAll, found)
 
+
+def _searched(rows: DataFrame, k: int, trees: int, sample_rows: int, leaf_rows: int, search_rows: int) -> DataFrame:
+    """`search` over rows (id, v, asks) with vectors of one length."""
+    spark = rows.sparkSession
     one = W.partitionBy("v").orderBy("id")
     first_ids = rows.select("id", "v").withColumn("nth", F.dense_rank().over(one)).filter(F.col("nth") <= k + 1)
     groups = written(first_ids.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")), "vectors")

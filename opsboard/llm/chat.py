@@ -12,9 +12,10 @@ before any shuffle and unfolded after it.
 
 Defined results: turns are ordered by turn (null last), then by a hash of role and text, then role and
 text; identical rows are rendered as often as they occur; a null text is rendered empty; a null or empty
-role speaks as `unknown`; a null conv_id is a conversation of its own; a conversation of system turns only
-has no participant and no row; an empty table gives no rows; extra columns are ignored. Names are escaped
-so that none can end its header; marks inside texts are broken by a zero-width space.
+role speaks as `unknown` or `%empty`; a null conv_id is a conversation of its own; a conversation of system turns only
+has no participant and no row; an empty table gives no rows; extra columns are ignored. Participants are
+told apart by their role as it is; names are escaped so that none can end its header and no two are alike
+(`Ann Lee` shows as `Ann%20Lee`); marks inside texts are broken by a zero-width space.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PART_TURNS = 256
-SYSTEM = "system"
+SYSTEM, UNKNOWN = "system", "unknown"
 START, END = "<|im_start|>", "<|im_end|>"
 BLOCK = 512  # turn numbers in a block
 SLOTS = 256  # blocks of turns that share one number
@@ -35,9 +36,22 @@ def _clean(text: Column) -> Column:
     return F.coalesce(broken, F.lit(""))
 
 
+# What a name may not hold in a header, and the sign that tells it is written otherwise.
+_ESCAPED = {"%": "%25", " ": "%20", "\t": "%09", "\n": "%0A", "\x0b": "%0B", "\x0c": "%0C", "\r": "%0D", "|": "%7C", "<": "%3C", ">": "%3E"}
+
+
 def _speaker(role: Column) -> Column:
-    name = F.regexp_replace(F.trim(role), r"[\s|<>]+", "_")
-    return F.when(name.isNull() | (name == ""), "unknown").otherwise(name)
+    """The name of a role in headers; different roles have different names."""
+    name = role
+    for sign, code in _ESCAPED.items():
+        name = F.replace(name, F.lit(sign), F.lit(code))
+    return (
+        F.when(role.isNull(), UNKNOWN)
+        .when(role == UNKNOWN, "%75nknown")
+        .when(role == "", "%empty")
+        .when(F.trim(role) == SYSTEM, SYSTEM)
+        .otherwise(name)
+    )
 
 
 def header(speaker: Column, perspective: Column) -> Column:
