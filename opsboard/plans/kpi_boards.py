@@ -16,10 +16,11 @@ from opsboard.plans.catalog import Query
 from opsboard.plans.service_board import SERVICES_SQL
 from opsboard.plans.testdata import amount, customer_lines, kpi_actuals, order_lines, segment_months, table
 from opsboard.sources.dictionaries import small_table, with_label
-from opsboard.sources.kpi_facts import conform
+from opsboard.sources.kpi_facts import conform, read_kpi_actuals, read_kpi_targets
+from opsboard.storage import new_path
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
-CARD_MONTH = date(2000, 12, 1)
+CARD_MONTH, PREVIOUS_MONTH = date(2000, 12, 1), date(2000, 11, 1)
 
 # Literal target lines; EBITDA has none.
 GAP_TARGETS = [("INGRESOS", 25_000_000.0, ">="), ("SINIESTRALIDAD", 8_000_000.0, "<=")]
@@ -101,7 +102,8 @@ def kpi_mom_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kpi_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, targets = kpi_actuals(spark, sf_dir), testdata.kpi_targets(spark)
+    facts = kpi_actuals(spark, sf_dir, (PREVIOUS_MONTH, CARD_MONTH))
+    targets = testdata.kpi_targets(spark)
     return cards.flat_cards(cards.kpi_cards(facts, targets, CARD_MONTH))
 
 
@@ -137,7 +139,7 @@ def kpi_projection_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kpi_rate_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A percentage, a ratio and a pending card, as they are stored, and what they show."""
-    facts = kpi_actuals(spark, sf_dir).filter(F.col("mes") == F.lit(CARD_MONTH))
+    facts = kpi_actuals(spark, sf_dir, (CARD_MONTH, CARD_MONTH))
     sums = facts.agg(*[F.sum(F.when(F.col("kpi_id") == kpi, F.col("valor"))).alias(kpi) for kpi in ("INGRESOS", "SINIESTRALIDAD", "EBITDA")])
     claims = metrics.ratio(F.col("SINIESTRALIDAD"), F.col("INGRESOS"))
     kept = metrics.ratio(F.col("EBITDA"), F.col("SINIESTRALIDAD"))
@@ -170,7 +172,8 @@ def kpi_rate_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kpi_slicers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = filters.slice_kpis(kpi_actuals(spark, sf_dir), ("3", "7"), (1999,), (1, 2, 3, 11))
+    facts = kpi_actuals(spark, sf_dir, (date(1999, 1, 1), date(1999, 11, 1)))
+    chosen = filters.slice_kpis(facts, ("3", "7"), (1999,), (1, 2, 3, 11))
     names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("code"), "n_name")
     return (
         with_label(chosen, names, "pais", label="n_name")
@@ -184,6 +187,17 @@ def kpi_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.bars_and_line(points)
 
 
+def kpi_read_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts and targets as a source has them, read under their contracts: every month's distance to its KPI's target."""
+    folder = new_path(spark, "kpis")
+    kpi_actuals(spark, sf_dir).withColumn("nota", F.lit("x")).write.parquet(f"{folder}/actuals")
+    testdata.kpi_targets(spark).write.json(f"{folder}/targets")
+    facts = read_kpi_actuals(spark, f"{folder}/actuals")
+    targets = read_kpi_targets(spark, f"{folder}/targets", "json").select("kpi_id", "target", "direction")
+    points = metrics.with_target(series.monthly_total(facts), targets)
+    return metrics.target_gap(points, F.col("valor"), F.col("target"), F.col("direction"))
+
+
 def kpi_without_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     real = filters.scenario_filter(kpi_actuals(spark, sf_dir), with_forecast=False)
     return series.monthly_total(real)
@@ -655,6 +669,16 @@ QUERIES: dict[str, Query] = {
         kpi_projection_nations,
         _RECURSIVE_FACTS_SQL + _projection_sql("CAST(valor AS DOUBLE) AS v FROM facts", "kpi_id, pais", 3),
     ),
+    "kpi_read_facts": Query(
+        kpi_read_facts,
+        _FACTS_SQL
+        + """
+SELECT kpi_id, mes, valor, target, direction, valor - target AS brecha,
+  CASE WHEN direction = '<=' THEN valor <= target ELSE valor >= target END AS cumple
+FROM total LEFT JOIN (SELECT kpi_id, CAST(target AS DOUBLE) AS target, direction FROM (VALUES
+  ('INGRESOS', 22000000.0, '>='), ('EBITDA', 15500000.0, '>='), ('SINIESTRALIDAD', NULL, '<=')) AS v(kpi_id, target, direction))
+USING (kpi_id)""",
+    ),
     "kpi_rate_cards": Query(kpi_rate_cards, _FACTS_SQL + _RATE_CARDS_SQL),
     "kpi_mom": Query(kpi_mom, _FACTS_SQL + _change_sql("total", "kpi_id", _MOM_JOIN)),
     "kpi_mom_label": Query(

@@ -382,8 +382,8 @@ def _empty_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.detail_table(apply_selection(testdata.services(spark, sf_dir), nowhere))
 
 
-def _two_extracts_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panels.clean_summary(testdata.services_by_extract(spark, sf_dir))
+def _clean_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.clean_summary(testdata.services(spark, sf_dir))
 
 
 def _agent_options(services: DataFrame) -> DataFrame:
@@ -530,7 +530,7 @@ def _s(panel: Callable[[DataFrame], DataFrame], sql: str) -> Query:
 
 
 QUERIES: dict[str, Query] = {
-    "svc_clean_summary": Query(_two_extracts_summary, SERVICES_SQL + _CLEAN_SQL),
+    "svc_clean_summary": Query(_clean_summary, SERVICES_SQL + _CLEAN_SQL),
     "svc_member_counts": _s(panels.member_counts, _MEMBER_COUNTS_SQL),
     "svc_kpi_block": _s(panels.kpi_block, _KPI_SQL),
     "svc_status_share": _s(panels.status_share, _STATUS_SHARE_SQL),

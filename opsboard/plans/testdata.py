@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsboard import schema
-from opsboard.functions.calendar import month_start
+from opsboard.functions.calendar import month_start, months_covered
 from opsboard.operators.metrics import scenario_tag
 from opsboard.sources.dictionaries import small_table
 from opsboard.sources.services import canonical, clean
@@ -117,9 +117,14 @@ def amount() -> Column:
     return price * (1 - F.col("l_discount").cast("decimal(4,2)"))
 
 
-def customer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with their order and its customer. Customers join the orders, not the many more lines."""
-    orders = table(spark, sf_dir, "orders").join(
+def customer_lines(spark: SparkSession, sf_dir: str, months: tuple[date, date] | None = None) -> DataFrame:
+    """Lines with their order and its customer, of all months or of some (both included; a range of days
+    that the scan of the orders understands). Customers join the orders, not the many more lines."""
+    orders = table(spark, sf_dir, "orders")
+    if months is not None:
+        first, end = (F.lit(day.isoformat()).cast("timestamp_ntz") for day in months_covered(*months))
+        orders = orders.filter((F.col("o_orderdate") >= first) & (F.col("o_orderdate") < end))
+    orders = orders.join(
         table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
     )
     return table(spark, sf_dir, "lineitem").join(
@@ -134,11 +139,11 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def kpi_actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kpi_actuals(spark: SparkSession, sf_dir: str, months: tuple[date, date] | None = None) -> DataFrame:
     """Monthly revenue, claims and EBITDA per nation key, with bounds outside months 3, 6, 9, 12."""
     zero = F.lit(0).cast("decimal(38,4)")
     monthly = (
-        customer_lines(spark, sf_dir)
+        customer_lines(spark, sf_dir, months)
         .groupBy(month_start(F.col("o_orderdate")).alias("mes"), F.col("c_nationkey").cast("string").alias("pais"))
         .agg(
             F.sum(amount()).alias("ingresos"),

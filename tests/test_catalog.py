@@ -108,3 +108,16 @@ def test_same_result_when_nothing_is_small_enough_to_broadcast(spark, sf_dir, na
     finally:
         for limit in limits:
             spark.conf.unset(limit)
+
+
+@pytest.mark.parametrize("name", ["svc_clean_summary", "svc_cascade_options", "svc_cascade_countries"])
+def test_facts_are_joined_once(spark, sf_dir, name):
+    plan = final_plan(QUERIES[name](spark, sf_dir))
+    assert len(re.findall(r"FileScan parquet [^\n]*lineitem\.parquet", plan)) == 1
+
+
+@pytest.mark.parametrize("name, day", [("kpi_cards", "2000-11-01"), ("kpi_slicers", "1999-01-01"), ("kpi_rate_cards", "2000-12-01")])
+def test_months_of_facts_reach_the_scan(spark, sf_dir, name, day):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert f"GreaterThanOrEqual(o_orderdate,{day}T00:00" in plan and "LessThan(o_orderdate," in plan
