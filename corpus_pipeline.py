@@ -3,6 +3,10 @@
 A stage takes (spark, docs, sf_dir) and returns documents with the columns it was given; the last one adds
 n_tokens and ids. What a stage decides takes effect: rejected documents go, one document of each group of
 near-duplicates stays, contaminated documents go, personal data is blanked in the text.
+
+Defined results: a null text counts as empty for the classifier and has null ids at the end; a null doc_id is
+a document like any other; empty texts are no near-duplicates of each other; of repeated rows with words one
+stays; an empty table gives no rows; extra columns are kept, whatever their names (but for ids and n_tokens).
 """
 
 from __future__ import annotations
@@ -43,7 +47,8 @@ STAGES = [
     ("sentencepiece_scan", encoded),
 ]
 
-# Trained trees, scored patterns and subword ids are beyond SQL: tests/llm holds the stages against brute force.
+# Trained trees, scored patterns and subword ids are beyond SQL: tests/llm/test_pipeline.py holds run() against
+# plain versions of the stages.
 ORACLE_SQL = None
 
 
