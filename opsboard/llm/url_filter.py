@@ -1,8 +1,10 @@
 """URL filter: gradient-boosted trees on lexical features, with allow and block rules before them.
 
 All of it is DataFrame functions and Spark ML: features are column expressions, rules are one CASE, the
-trees are fitted and applied in the JVM. The trees are fitted on at most `sample_rows` labelled URLs
-(those with the smallest hash), so training does not grow with the input; judging is one narrow pass.
+trees are fitted and applied in the JVM. The trees are fitted on at most `sample_rows` distinct labelled URLs
+(those with the smallest hash), weighted by how often they occur, so training does not grow with the input and
+no URL fills the sample. Every suffix of the sample has its own block rate, in a table no longer than the
+sample, which is broadcast; others have the overall rate. Judging is one narrow pass.
 
 Defined results: a null URL, or one without `://`, has an empty host and path, fits no rule and is judged
 by its features; an empty URL likewise; repeated rows are judged each; without labelled URLs of both kinds
@@ -20,9 +22,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from opsboard.sources.dictionaries import small_table
 
 SAMPLE_ROWS = 20_000
-SUFFIXES = 200  # suffixes with statistics of their own; the others share the overall rate
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -110,7 +114,6 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
         "longest_segment": F.coalesce(F.array_max(F.transform(F.split(path, "/"), F.length)), F.lit(0)).cast("double"),
         "secure": url.startswith("https").cast("double"),
         "fragment": url.contains("#").cast("double"),
-        **{f"language_{x}": path.startswith(f"/{x}/").cast("double") for x in ("en", "de", "fr", "es")},
     }
 
 
@@ -126,52 +129,54 @@ class Model:
     suffixes: tuple[tuple[str, float], ...]
     rate: float
 
-    def features(self, url: Column, host: Column, path: Column) -> dict[str, Column]:
-        suffix = suffix_of(host)
-        rate = F.lit(self.rate)
-        if self.suffixes:
-            table = F.create_map(*(F.lit(x) for pair in self.suffixes for x in pair))
-            rate = F.coalesce(F.element_at(table, suffix), rate)
-        return {**lexical(url, host, path), "suffix_length": F.length(suffix).cast("double"), "suffix_rate": rate}
+    def features(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
+        """`row` (the columns of a frame with url, host and path) next to its features, and their names."""
+        made = lexical(F.col("url"), F.col("host"), F.col("path"))
+        suffix = suffix_of(F.col("host"))
+        packed = df.select(
+            F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(v.alias(k) for k, v in made.items()), suffix.alias("suffix")
+        )
+        rates = small_table(df.sparkSession, list(self.suffixes), _RATES)
+        joined = packed.join(F.broadcast(rates), "suffix", "left")  # at most as many rows as the sample
+        length, rate = F.length("suffix").cast("double"), F.coalesce("suffix_rate", F.lit(self.rate))
+        return joined.withColumns({"suffix_length": length, "suffix_rate": rate}).drop("suffix"), [*made, "suffix_length", "suffix_rate"]
 
     def block_score(self, df: DataFrame) -> DataFrame:
         """Adds `block_score`, the probability of block, to a frame with url, host and path."""
         if self.trees is None:
             return df.withColumn("block_score", F.lit(self.rate))
-        made = self.features(F.col("url"), F.col("host"), F.col("path"))
-        packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(v.alias(k) for k, v in made.items()))
-        vectors = VectorAssembler(inputCols=list(made), outputCol="features").transform(packed)
+        featured, names = self.features(df)
+        vectors = VectorAssembler(inputCols=names, outputCol="features").transform(featured)
         judged = self.trees.transform(vectors)
         return judged.select("row.*", vector_to_array("probability")[1].alias("block_score"))
 
 
+_RATES = T.StructType([T.StructField("suffix", T.StringType()), T.StructField("suffix_rate", T.DoubleType())])
+
+
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on a frame of url and block (0 or 1): at most `sample_rows` rows of it, chosen by hash."""
+    """Fit on a frame of url and block (0 or 1): at most `sample_rows` distinct rows of it, chosen by hash."""
     sample = (
         labelled.filter(F.col("url").isNotNull() & F.col("block").isNotNull())
-        .select("url", F.col("block").cast("double").alias("block"))
+        .groupBy("url", F.col("block").cast("double").alias("block"))
+        .agg(F.count("*").cast("double").alias("times"))
         .orderBy(F.xxhash64("url"), "url", "block")
         .limit(sample_rows)
         .withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
         .cache()  # at most sample_rows short rows
     )
     try:
-        n, blocked = sample.agg(F.count("*"), F.coalesce(F.sum("block"), F.lit(0.0))).first()
+        blocked_times = F.sum(F.col("block") * F.col("times"))
+        n, blocked = sample.agg(F.coalesce(F.sum("times"), F.lit(0.0)), F.coalesce(blocked_times, F.lit(0.0))).first()
         rate = (blocked + 1) / (n + 2) if n else 0.0
-        suffixes = (
-            sample.groupBy(suffix_of(F.col("host")).alias("suffix"))
-            .agg(F.count("*").alias("n"), F.sum("block").alias("blocked"))
-            .orderBy(F.desc("n"), "suffix")
-            .limit(SUFFIXES)
-            .collect()
-        )
-        rates = tuple((r["suffix"], (r["blocked"] + rate) / (r["n"] + 1)) for r in suffixes)
+        suffixes = sample.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.sum("times").alias("n"), blocked_times.alias("blocked"))
+        rates = tuple((r["suffix"], (r["blocked"] + rate) / (r["n"] + 1)) for r in suffixes.orderBy("suffix").collect())
         if blocked in (0, n):
             return Model(None, rates, float(blocked > 0))
-        made = Model(None, rates, rate).features(F.col("url"), F.col("host"), F.col("path"))
-        rows = sample.coalesce(1).select("block", *(v.alias(k) for k, v in made.items()))
-        vectors = VectorAssembler(inputCols=list(made), outputCol="features").transform(rows).select("block", "features")
-        trees = GBTClassifier(labelCol="block", maxIter=12, maxDepth=4, stepSize=0.3, seed=7, minInstancesPerNode=5)
+        featured, names = Model(None, rates, rate).features(sample)
+        rows = featured.coalesce(1).select("row.block", "row.times", *names)
+        vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("block", "times", "features")
+        trees = GBTClassifier(labelCol="block", weightCol="times", maxIter=12, maxDepth=4, stepSize=0.3, seed=7, minInstancesPerNode=5)
         return Model(trees.fit(vectors), rates, rate)
     finally:
         sample.unpersist()

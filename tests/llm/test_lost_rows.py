@@ -1,10 +1,10 @@
-"""Rows that must not get lost: participants with names alike, vectors of an uncommon length."""
+"""What must not get lost: participants with names alike, vectors of an uncommon length, rare suffixes."""
 
 import random
 
 from pyspark.sql import functions as F
 
-from opsboard.llm import ann, chat
+from opsboard.llm import ann, chat, url_filter
 
 
 def test_participants_with_names_alike_have_a_perspective_each(spark):
@@ -35,3 +35,17 @@ def test_vectors_of_every_length_are_searched(spark):
         near = sorted((sum((a - b) ** 2 for a, b in zip(vector, v)) ** 0.5, i) for i, v in rows if i != query and len(v) == len(vector))[:10]
         assert [i for _, i, _ in sorted(by[query])] == [i for _, i in near]
     assert 3000 not in by and len(by) == 4
+
+
+def test_every_suffix_has_its_rate_and_no_url_fills_the_sample(spark):
+    rows = [(f"https://a{k}.s{k:03}/x", k % 2) for k in range(600)] + [("https://one.s000/same", 1)] * 3000
+    labelled = spark.createDataFrame(rows, "url string, block int")
+    model = url_filter.train(labelled, sample_rows=1000)
+    rates = dict(model.suffixes)
+    assert len(rates) == 600 and model.trees is not None
+    assert rates["s001"] > 0.5 > rates["s002"] and rates["s000"] > 0.9
+    judged = url_filter.judge(labelled.distinct().withColumns({"suffix": F.lit("x"), "row": F.lit("y"), "times": F.lit(1)}), model, rules=())
+    assert {"suffix", "row", "times"} <= set(judged.columns) and judged.count() == 601
+    few = url_filter.train(labelled, sample_rows=50)
+    assert len(few.suffixes) == 50
+    assert url_filter.judge(labelled.limit(0), model).collect() == []
