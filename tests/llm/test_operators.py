@@ -195,12 +195,12 @@ def test_archives_round_trip(spark):
         so_far = b"".join(payloads[c["record_id"]].values())
         assert (c["length"], c["digest"]) == (len(so_far), hashlib.sha256(so_far).hexdigest()) and len(c["data"]) <= 100
     assert b"".join(payloads["<urn:record:1>"].values()) == long.encode()
-    got = sorted((str(r["key"]), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.records(chunks).collect())
+    got = sorted(((str(r["key"]), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.records(chunks).collect()), key=str)
     n = len(long.encode())
     assert got == sorted([
         ("1", n, "response", None), ("1", n, "response", None), ("3", n, "revisit", "1"), ("None", n, "revisit", "1"),
         ("2", 5, "response", None), ("4", 5, "response", None), ("5", 0, "response", None), ("6", 0, "response", None),
-    ], key=str) or got == sorted(got)
+    ], key=str)
     assert {r["payload_digest"] for r in warc.records(chunks).collect() if r["key"] in ("1", "3")} == {hashlib.sha256(long.encode()).hexdigest()}
     empty = new_path(spark, "warc-test")
     warc.write(warc.to_chunks(warc.decided(pages.limit(0), "page_id", "url", "html")), empty)
