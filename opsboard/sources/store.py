@@ -53,6 +53,7 @@ REJECTS = T.StructType(
         T.StructField("carga", T.StringType()),
     ]
 )
+_ENTERED = T.StructType([*(f for f in REJECTS if f.name != "carga"), T.StructField("destino", T.StringType())])
 _KNOWN = ["perspectiva", "archivo", "bytes", "modificado"]
 _COUNTS = ("filas", "pruebas", "fechas", "cantidades", "cargadas")
 
@@ -189,7 +190,7 @@ def _apply(spark: SparkSession, store: str, months: tuple[tuple[str, date | None
     for view, month in set(months) - left:
         name = "__HIVE_DEFAULT_PARTITION__" if month is None else month.isoformat()
         delete(spark, f"{store}/servicios/perspectiva={view}/mes={name}")
-    entered = spark.read.parquet(f"{store}/entrada").filter(F.col("destino") == REJECTED)
-    rejects = entered.select("perspectiva", "archivo", "motivo", "crudo", F.lit(carga).alias("carga"))
+    entered = spark.read.schema(_ENTERED).parquet(f"{store}/entrada")
+    rejects = entered.filter(F.col("destino") == REJECTED).select("perspectiva", "archivo", "motivo", "crudo", F.lit(carga).alias("carga"))
     for rows, name in ((rejects, "rechazos"), (waiting, "libro")):  # the ledger last: it says the load is done
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("carga").parquet(f"{store}/{name}")

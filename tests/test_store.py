@@ -255,3 +255,17 @@ def test_the_shared_folder_is_the_clusters(spark, monkeypatch):
     assert storage.shared_folder(Session()) == "hdfs://x/y"
     Context.given = "file:///shared/z"
     assert storage.shared_folder(Session()) == "file:///shared/z"
+
+
+def test_empty_files_are_loaded_too(spark, tmp_path):
+    write(f"{tmp_path}/in/header.csv", [])
+    with open(f"{tmp_path}/in/nothing.csv", "w", encoding="utf-8"):
+        pass
+    load = ingest(spark, tmp_path)
+    assert (load.archivos, load.filas, load.cargadas, load.meses) == (1, 0, 0, ())  # a file without a byte is no file to Spark
+    assert store.read_services(spark, f"{tmp_path}/store").count() == 0 and store.read_ledger(spark, f"{tmp_path}/store").count() == 1
+    assert ingest(spark, tmp_path).archivos == 0
+    os.makedirs(f"{tmp_path}/other")
+    with open(f"{tmp_path}/other/nothing.csv", "w", encoding="utf-8"):
+        pass
+    assert store.ingest(spark, f"{tmp_path}/store", {"gestion": f"{tmp_path}/other"}, fmt="csv").filas == 0
