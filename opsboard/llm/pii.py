@@ -140,15 +140,22 @@ def candidates(lower: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int,
     """What a pattern may point at: tokens and runs of short groups, outside of `taken`."""
     taken, k, end = sorted(taken), 0, 0
     for m in _TOKEN.finditer(lower):
-        start = m.start()
+        start, token = m.span()
         if start < end:
             continue
-        token = start + len(m.group().rstrip(".:!?"))
-        run = _RUN.match(lower, start) if lower[token - 1].isdigit() and lower[token : token + 1] == " " else None
+        while token > start and lower[token - 1] in ".:!?":
+            token -= 1
+        if token == start:
+            continue
+        run = _RUN.match(lower, start) if lower[token : token + 1] == " " and lower[token - 1].isdigit() else None
+        if run is None and not taken:
+            end = token
+            yield start, token
+            continue
         for stop in (run.end(), token) if run else (token,):
             while k < len(taken) and taken[k][1] <= start:
                 k += 1
-            if start < stop and not (taken and any(s < stop and start < e for s, e in taken[k : k + len(KINDS)])):
+            if not (taken and any(s < stop and start < e for s, e in taken[k : k + len(KINDS)])):
                 end = stop
                 yield start, stop
                 break
@@ -225,21 +232,25 @@ class Wanted:
                 if lower[s:e] in self.instances:
                     yield s, e, lower[s:e], contexts(plain, s, e)
             return
-        words, k = [m.span() for m in _WORD.finditer(plain)], 0
+        spans = [m.span() for m in _WORD.finditer(plain)]
+        words, last, first = [plain[a:b] for a, b in spans], self.last, self.first
+        k, n, begin, stop = -1, 0, 0, 0
         for s, e in candidates(lower, taken):
-            while words[k][1] <= s:
+            while stop <= s:
                 k += 1
+                begin, stop = spans[k]
             # the word next to a candidate tells at once that most are beside no wanted pattern
-            begin, stop = words[k]
-            before = plain[begin:s] if begin < s else plain[slice(*words[k - 1])] if k else None
-            if before not in self.last:
-                n = k
-                while n < len(words) and words[n][1] <= e:
-                    n += 1
-                if n == len(words):
-                    continue
-                begin, stop = words[n]
-                if plain[max(begin, e) : stop] not in self.first:
+            if (plain[begin:s] if begin < s else words[k - 1] if k else None) not in last:
+                if e < stop:
+                    after = plain[e:stop]
+                else:
+                    n = k + 1
+                    while n < len(spans) and spans[n][1] <= e:
+                        n += 1
+                    if n == len(spans):
+                        continue
+                    after = plain[e : spans[n][1]] if spans[n][0] < e else words[n]
+                if after not in first:
                     continue
             own = [p for p in contexts(plain, s, e) if p in self.patterns]
             if own:
