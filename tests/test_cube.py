@@ -193,3 +193,17 @@ def test_odd_pages(spark, laid):
     assert paging.page(spark, path, "gestion", 10_000, 10).collect() == [] and paging.page(spark, path, "otra", 1, 10).collect() == []
     with pytest.raises(ValueError, match="at most"):
         paging.page(spark, path, "gestion", 1, 65)
+
+
+def test_many_blocks_share_a_file(spark, many, tmp_path, monkeypatch):
+    monkeypatch.setattr(paging, "FILES", 3, raising=False)
+    detail, path = panels.detail_table(many(0, 200)), f"{tmp_path}/few"
+    paging.write_pages(detail, path, block_rows=16)
+    blocks = spark.read.parquet(f"{path}/indice")
+    assert len(glob.glob(f"{path}/filas/*/*/*.parquet")) <= 6 < blocks.count()
+    want = [tuple(r[c] for c in paging.ORDER) for r in detail.collect() if r["perspectiva"] == "gestion"]
+    for number in (1, 2, 5):
+        rows = paging.page(spark, path, "gestion", number, 15).collect()
+        assert [tuple(r[c] for c in paging.ORDER) for r in rows] == want[(number - 1) * 15 : number * 15]
+    behind = paging.page_after(spark, path, "gestion", rows[-1].asDict(), 16).collect()
+    assert [tuple(r[c] for c in paging.ORDER) for r in behind] == want[75:91]
