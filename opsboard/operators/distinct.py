@@ -16,6 +16,7 @@ from opsboard import schema
 from opsboard.operators.metrics import ratio
 from opsboard.operators.numbering import numbered
 from opsboard.operators.panels import BY, or_one, pct_of, services_sum, sum_where
+from opsboard.storage import written
 
 CUBE_KEYS = ("perspectiva", "mes", "nodo", "soa", "estatus")
 
@@ -29,12 +30,21 @@ def member_numbers(services: DataFrame, member: str) -> DataFrame:
 def member_bitmaps(services: DataFrame, member: str, keys: Sequence[str] = CUBE_KEYS) -> DataFrame:
     """The members of each cell as bits: ``keys``, ``bloque`` and ``mapa``.
 
-    Rows shrink to one per cell and member before they meet their numbers.
+    What is needed of the rows is written down first, and cells get numbers, so that no task holds more of a row
+    than two numbers or a number and a member. Rows shrink to one per cell and member before they meet their
+    numbers, and those of a cell and block (no more than a block has bits) come together before their bitmap is
+    made: bitmaps made by many tasks and united later would be as many as tasks times blocks.
     """
-    pairs = services.filter(F.col(member).isNotNull()).select(*keys, member).distinct()
-    placed = pairs.join(member_numbers(services, member), member)
+    rows = services.filter(F.col(member).isNotNull()).select(*dict.fromkeys([*keys, "soa", member]))
+    rows = written(rows, "rows")
+    cells = written(rows.select(*keys).distinct().withColumn("_celda", F.monotonically_increasing_id()), "cells")
+    of_cell = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+    pairs = rows.alias("r").join(cells.alias("c"), of_cell).select("c._celda", f"r.{member}").distinct()
+    placed = pairs.join(member_numbers(rows, member), member)
     block = F.bitmap_bucket_number("numero").alias("bloque")
-    return placed.groupBy(*keys, block).agg(F.bitmap_construct_agg(F.bitmap_bit_position("numero")).alias("mapa"))
+    met = placed.select("_celda", block, F.bitmap_bit_position("numero").alias("_bit")).repartition("_celda", "bloque")
+    maps = met.groupBy("_celda", "bloque").agg(F.bitmap_construct_agg("_bit").alias("mapa"))
+    return maps.join(cells, "_celda").select(*keys, "bloque", "mapa")
 
 
 def count_members(bitmaps: DataFrame, by: Sequence[str | Column], name: str) -> DataFrame:

@@ -207,3 +207,17 @@ def test_many_blocks_share_a_file(spark, many, tmp_path, monkeypatch):
         assert [tuple(r[c] for c in paging.ORDER) for r in rows] == want[(number - 1) * 15 : number * 15]
     behind = paging.page_after(spark, path, "gestion", rows[-1].asDict(), 16).collect()
     assert [tuple(r[c] for c in paging.ORDER) for r in behind] == want[75:91]
+
+
+def test_bitmaps_are_made_once_for_a_cell_and_block(spark, many):
+    plan = distinct.member_bitmaps(many(0, 60), "agente")._jdf.queryExecution().executedPlan().toString()
+    made = plan.split("functions=[bitmap_construct_agg")[1].split("partial_bitmap_construct_agg")[0]
+    assert "Exchange" not in made  # else there are as many as tasks times blocks
+
+
+def test_bitmaps_of_cells_with_null_keys(spark, services):
+    data = services({"nodo": None, "mes": None, "cuenta": "X"}, {"nodo": None, "mes": None, "cuenta": "X"}, {"soa": None, "cuenta": "Y"}, {"cuenta": None})
+    bitmaps = distinct.member_bitmaps(data, "cuenta")
+    assert bitmaps.columns == [*distinct.CUBE_KEYS, "bloque", "mapa"]
+    got = distinct.count_members(bitmaps, ["nodo", "soa"], "n").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(None, "P1", 1), ("N1", None, 1)]))
