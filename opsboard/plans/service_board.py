@@ -459,8 +459,10 @@ def _extract_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
         raw = testdata.raw_extract(spark, sf_dir, view).drop("perspectiva")
         raw = raw.withColumn(moment, F.col(f"`{moment}`").cast("string"))
         if view == "gestion":
-            spoilt = raw.filter(F.col("`ID CUENTA`").cast("long") % 5 == 1).withColumn(moment, F.lit("por confirmar"))
-            raw = raw.unionByName(spoilt).withColumn("OBSERVACION", F.lit("x"))
+            twice = F.when(F.col("`ID CUENTA`").cast("long") % 5 == 1, F.array(F.col(f"`{moment}`"), F.lit("por confirmar")))
+            dates = twice.otherwise(F.array(F.col(f"`{moment}`")))
+            raw = raw.select(*[F.explode(dates).alias(c) if c == moment else F.col(f"`{c}`") for c in raw.columns])
+            raw = raw.withColumn("OBSERVACION", F.lit("x"))
         else:
             raw = raw.select(*sorted(raw.columns))
         raw.write.options(**as_is).csv(path)

@@ -37,8 +37,9 @@ def csv_signatures(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         "value", "_metadata.file_path", F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at")
     )
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    # a set of the two answers, not bool_or: with it the aggregate goes by hash, else all lines would be sorted by file
     found = lines.groupBy(F.col("file_path").alias("archivo")).agg(
-        F.min_by("value", "at").alias("cabecera"), F.bool_or(quotes % 2 == 1).alias("partido")
+        F.min_by("value", "at").alias("cabecera"), F.array_contains(F.collect_set(quotes % 2 == 1), True).alias("partido")
     )
     return found.join(listing(spark, path).select("archivo", "ruta"), "archivo")
 

@@ -1,11 +1,12 @@
 """The service store: extracts are read once, file by file, into a table that the boards read from then on.
 
-A store is a folder with four parquet tables:
+A store is a folder of parquet tables:
 
 * ``servicios``, clean services by perspective and month, with the file each row came from;
 * ``rechazos``, rows that could not be read, by load;
 * ``libro``, the ledger: every file that was loaded, with size, time and the months it has rows in;
-* ``entrada``, ``mezcla`` and ``pendiente``, what the load at hand is made of.
+* ``entrada``, ``recuento``, ``restos`` and ``pendiente``, what the load at hand is made of: its rows, how many of
+  them each file and month has, what the touched months keep of other files, and its entries for the ledger.
 
 A load looks at the files on offer that the ledger does not know as they are. Their rows are read in one
 pass, put next to what the touched months hold from other files, and those months alone are written anew. A file
@@ -53,7 +54,10 @@ REJECTS = T.StructType(
         T.StructField("carga", T.StringType()),
     ]
 )
-_ENTERED = T.StructType([*(f for f in REJECTS if f.name != "carga"), T.StructField("destino", T.StringType())])
+_DESTINY = T.StructField("destino", T.StringType())
+_ENTERED = T.StructType([*(f for f in REJECTS if f.name != "carga"), _DESTINY])
+_TAKEN = T.StructType([*STORED, _DESTINY])
+_TALLY = T.StructType([T.StructField("perspectiva", T.StringType()), _FILE, _DESTINY, T.StructField("mes", T.DateType()), T.StructField("filas", T.LongType())])
 _KNOWN = ["perspectiva", "archivo", "bytes", "modificado"]
 _COUNTS = ("filas", "pruebas", "fechas", "cantidades", "cargadas")
 
@@ -138,14 +142,16 @@ def ingest(
             raw = read_extract(spark, mine, fmt, archivo="archivo").withColumn("perspectiva", F.lit(view))
             parts.append((seen, sorted_out(raw, seen, date_format, test_accounts)))
     rows = reduce(DataFrame.unionByName, [part for _, part in parts])
-    rows.write.mode("overwrite").partitionBy("destino").parquet(f"{store}/entrada")
+    rows.write.mode("overwrite").parquet(f"{store}/entrada")
     counts = {name: sum(seen.get[name] for seen, _ in parts) for name in _COUNTS}
 
-    entered = spark.read.schema(rows.schema).parquet(f"{store}/entrada")
+    entered = spark.read.schema(_TAKEN).parquet(f"{store}/entrada")
+    tally = entered.groupBy("perspectiva", "archivo", "destino", "mes").agg(F.count(F.lit(1)).alias("filas"))
+    tally.write.mode("overwrite").parquet(f"{store}/recuento")
     good = F.col("destino") == GOOD
-    found = entered.groupBy("perspectiva", "archivo").agg(
-        F.count_if(good).alias("cargadas"),
-        F.count_if(~good).alias("rechazadas"),
+    found = spark.read.schema(_TALLY).parquet(f"{store}/recuento").groupBy("perspectiva", "archivo").agg(
+        F.sum(F.when(good, F.col("filas"))).alias("cargadas"),
+        F.sum(F.when(~good, F.col("filas"))).alias("rechazadas"),
         F.collect_set(F.when(good, F.struct("mes"))).alias("meses"),
     )
     entries = taken.join(found, ["perspectiva", "archivo"], "left").select(
@@ -158,11 +164,10 @@ def ingest(
     touched = entries.select(*LEDGER.names).unionByName(before).select("perspectiva", F.explode("meses").alias("mes")).distinct()
     months = tuple(sorted(((r["perspectiva"], r["mes"]) for r in touched.collect()), key=repr))  # at most the calendar
 
-    # the touched months as they will be, complete before anything else changes
+    # with what is kept of them the touched months are complete before anything else changes
     kept = table_or_empty(spark, f"{store}/servicios", STORED).filter(_in_months(months))
     kept = kept.join(taken.select("perspectiva", "archivo"), ["perspectiva", "archivo"], "left_anti")
-    merged = kept.select(*STORED.names).unionByName(entered.filter(good).select(*STORED.names))
-    merged.write.mode("overwrite").parquet(f"{store}/mezcla")
+    kept.select(*STORED.names).write.mode("overwrite").parquet(f"{store}/restos")
     entries.select(*LEDGER.names).write.mode("overwrite").parquet(f"{store}/pendiente")
     _apply(spark, store, months)
     return Load(carga, len(files), **counts, meses=months)
@@ -181,12 +186,16 @@ def finish(spark: SparkSession, store: str) -> bool:
 
 
 def _apply(spark: SparkSession, store: str, months: tuple[tuple[str, date | None], ...]) -> None:
-    """Bring the load in ``mezcla`` and ``pendiente`` into the tables readers see. May be repeated."""
-    merged = spark.read.schema(STORED).parquet(f"{store}/mezcla")
+    """Bring the load at hand into the tables readers see. May be repeated."""
+    kept = spark.read.schema(STORED).parquet(f"{store}/restos")
+    taken = spark.read.schema(_TAKEN).parquet(f"{store}/entrada").filter(F.col("destino") == GOOD)
+    merged = kept.unionByName(taken.select(*STORED.names))
     waiting = spark.read.schema(LEDGER).parquet(f"{store}/pendiente")
     carga = waiting.first()["carga"]
     write_services(merged, f"{store}/servicios", "overwrite", only_months=True)
-    left = {(r["perspectiva"], r["mes"]) for r in merged.select("perspectiva", "mes").distinct().collect()}
+    tally = spark.read.schema(_TALLY).parquet(f"{store}/recuento").filter(F.col("destino") == GOOD)
+    filled = kept.select("perspectiva", "mes").unionByName(tally.select("perspectiva", "mes")).distinct()
+    left = {(r["perspectiva"], r["mes"]) for r in filled.collect()}
     for view, month in set(months) - left:
         name = "__HIVE_DEFAULT_PARTITION__" if month is None else month.isoformat()
         delete(spark, f"{store}/servicios/perspectiva={view}/mes={name}")

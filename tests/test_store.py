@@ -269,3 +269,17 @@ def test_empty_files_are_loaded_too(spark, tmp_path):
     with open(f"{tmp_path}/other/nothing.csv", "w", encoding="utf-8"):
         pass
     assert store.ingest(spark, f"{tmp_path}/store", {"gestion": f"{tmp_path}/other"}, fmt="csv").filas == 0
+
+
+def test_lines_are_not_sorted_for_their_header(spark, folder):
+    plan = source.csv_signatures(spark, f"{folder}/in")._jdf.queryExecution().executedPlan().toString()
+    assert "min_by" in plan and "SortAggregate" not in plan
+
+
+def test_rows_are_put_aside_only_where_other_files_keep_them(spark, folder):
+    ingest(spark, folder)
+    assert spark.read.parquet(f"{folder}/store/restos").count() == 0
+    write(f"{folder}/in/late.csv", [line("C9", "5", MONTHS[1])])
+    ingest(spark, folder)
+    assert spark.read.parquet(f"{folder}/store/restos").count() == 4  # those of 1.csv
+    assert content(store.read_services(spark, f"{folder}/store")) == content(whole(spark, folder))
