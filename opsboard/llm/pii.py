@@ -28,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,7 @@ LEAST_SEEDS = 5
 LEAST_SHARE = 0.1
 FEW = 64
 NEAR = 64  # characters looked at first for the words around a span
+MOST_WORDS = 100_000  # distinct words whose form is remembered
 
 # The contract's patterns; possessive and anchored at the start of a run of digits, so that no text takes
 # more than linear time. A match can't begin within such a run: what follows the run is the same.
@@ -59,6 +61,8 @@ _RUN = re.compile(
     r"(?:[a-z]{2}[0-9]{2}(?: [a-z]{4})?(?: (?=[a-z]{0,3}[0-9])[a-z0-9]{1,4}){1,9}|[0-9]{1,6}(?: [0-9]{1,6}){1,9})"
     r"(?![^\s\"'<>()\[\]{},;=|.:!?])"
 )
+_MARK = re.compile(r"[\"'<>()\[\]{},;=|.:!?]")  # what may part a candidate from the word that holds it
+_ANY_RUN = re.compile(r"(?<![^\s\"'<>()\[\]{},;=|])(?:" + _RUN.pattern + ")")
 
 
 def _emails(text: str):
@@ -220,6 +224,17 @@ class Wanted:
         # with many words to look for, nearly every text has one
         return bool(self.patterns) and (self.always or len(self.words) > FEW or not self.words.isdisjoint(_ATOM.findall(plain)))
 
+    def plain_words(self, text: str) -> str | None:
+        """The folded text, digits made equal, if patterns are wanted and each candidate is within one of its words."""
+        if not self.patterns or self.instances:
+            return None
+        lower = folded(text)
+        if not _DIGIT.search(lower):
+            return None if "@" in text and any(_emails(text)) else lower
+        if _ANY_RUN.search(lower) or any(base_spans(text).values()):
+            return None
+        return _DIGIT.sub("0", lower)
+
     def spots(self, text: str) -> Iterator[tuple[int, int, str, list[str]]]:
         """start, end, instance and patterns outside of base spans: the wanted patterns, or all of a wanted instance."""
         lower = folded(text)
@@ -257,6 +272,106 @@ class Wanted:
                 yield s, e, lower[s:e], own
 
 
+class _Words(dict):
+    """Numbers words by what they are to the wanted patterns, most alike; number 0 is no word. Only a word's form
+    and the patterns matter, so that words that are neither wanted nor of a form of their own share a number."""
+
+    def __init__(self, wanted: _Counted):
+        super().__init__()
+        self.wanted = wanted
+        self.kinds = {(0, -1, False, False, (), ()): 0}
+
+    def __missing__(self, word: str) -> int:
+        words, first = self.wanted.words, self.wanted.first
+        opens = closes = True  # whether a candidate begins, or ends, where the word does
+        inner, later = [], []  # wanted words between a candidate and the word's start; patterns, and its end
+        if _MARK.search(word):
+            opens = closes = False
+            for s, e in candidates(word, []):
+                if not s:
+                    opens = True
+                elif (before := words.get(word[:s])) is not None:
+                    inner.append(before)
+                if e == len(word):
+                    closes = True
+                elif (after := first.get(word[e:])) is not None:
+                    later.append(after)
+        kind = words.get(word, 0), first.get(word, -1), opens, closes, tuple(inner), tuple(later)
+        number = self[word] = self.kinds.setdefault(kind, len(self.kinds))
+        return number
+
+
+class _Counted:
+    """How often wanted patterns stand beside candidates, many texts at a time.
+
+    The words of the patterns before a candidate are the paths of a tree, from the first word on; a path may begin
+    at each of the three words before a candidate. What `Wanted.spots` finds one by one is counted here by words,
+    in texts without base spans and without runs: there a candidate lies within a word.
+    """
+
+    def __init__(self, patterns: Iterable[str]):
+        self.names = sorted(patterns)
+        self.first, self.words, self.edges, self.of_node = {}, {}, {}, {}
+        for k, name in enumerate(self.names):
+            side, _, text = name.partition(": ")
+            if side == "after":
+                self.first[text] = k
+                continue
+            node = 0
+            for word in text.split():
+                step = node, self.words.setdefault(word, len(self.words) + 1)
+                node = self.edges.setdefault(step, len(self.edges) + 1)
+            self.of_node[node] = k
+        self.size = len(self.words) + 1
+        ordered = sorted((node * self.size + word, child) for (node, word), child in self.edges.items())
+        self.keys = np.array([-1, *(k for k, _ in ordered)], np.int64)
+        self.children = np.array([0, *(c for _, c in ordered)], np.int64)
+        self.depth = max((len(n.split()) - 1 for n in self.names if n.startswith("before")), default=0)
+        self.known = _Words(self)
+
+    def _step(self, nodes: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The child of each node by each word; 0 is none, and the root at the start."""
+        keys = nodes * self.size + words
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys) & (words > 0), self.children[at], 0)
+
+    def count(self, plains: list[str]) -> Counter:
+        if len(self.known) > MOST_WORDS:
+            self.known = _Words(self)
+        numbers = [0, 0, 0]
+        for plain in plains:
+            numbers.extend(map(self.known.__getitem__, plain.split()))
+            numbers += (0, 0, 0)
+        ids = np.array(numbers, np.int64)
+        *four, inner, later = zip(*self.known.kinds, strict=True)
+        left, right, opens, closes = map(np.array, four)
+        total = np.zeros(len(self.names) + 1, np.int64)  # the last one is of no pattern
+        total += np.bincount(right[ids[1:][closes[ids[:-1]]]] % len(total), minlength=len(total))
+        for k, times in enumerate(np.bincount(ids, minlength=len(later)).tolist()):
+            for pattern in later[k]:
+                total[pattern] += times
+        at = np.flatnonzero(opens[ids])
+        at = at[left[ids[at - 1]] > 0]
+        self._paths(total, [left[ids[at - d]] for d in (3, 2, 1)])
+        at = np.flatnonzero(np.array([len(x) for x in inner])[ids])
+        own = [inner[k] for k in ids[at].tolist()]
+        last = np.array([w for x in own for w in x], np.int64)
+        at = np.repeat(at, [len(x) for x in own])
+        self._paths(total, [left[ids[at - 2]], left[ids[at - 1]], last])
+        return Counter({name: n for name, n in zip(self.names, total.tolist(), strict=False) if n})
+
+    def _paths(self, total: np.ndarray, words: list[np.ndarray]) -> None:
+        """Add the patterns that end with the last of these words, for each row of them."""
+        for n in range(1, self.depth + 1):
+            nodes, rest = np.zeros(len(words[0]), np.int64), words
+            for k in range(3 - n, 3):
+                nodes = self._step(nodes, rest[k])
+                alive = nodes > 0  # a path that is lost does not begin anew
+                nodes, rest = nodes[alive], [w[alive] for w in rest]
+            for node, times in zip(*(x.tolist() for x in np.unique(nodes, return_counts=True)), strict=True):
+                total[self.of_node.get(node, -1)] += times
+
+
 def spots(docs: DataFrame, wanted: Wanted) -> DataFrame:
     """Where texts have what is wanted: digest, start, end, instance, patterns."""
     ship(docs.sparkSession)
@@ -282,11 +397,19 @@ def tally(docs: DataFrame, wanted: Wanted) -> dict[str, int]:
     ship(docs.sparkSession)
 
     def run(batches):
-        counts = Counter()
+        counts, counted = Counter(), _Counted(wanted.patterns)
         for batch in sliced(batches):
+            plains = []
             for text in batch.column("text"):
-                for _, _, instance, own in wanted.spots(text.as_py() or ""):
+                text = text.as_py() or ""
+                plain = wanted.plain_words(text)
+                if plain is not None:
+                    plains.append(plain)
+                    continue
+                for _, _, instance, own in wanted.spots(text):
                     counts.update(own if wanted.patterns else (instance,))
+            if plains:
+                counts.update(counted.count(plains))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["what", "n"])
 
     return dict(docs.select("text").mapInArrow(run, "what string, n long").groupBy("what").agg(F.sum("n")).collect())
