@@ -28,6 +28,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,8 @@ CHUNK_CHARS = 16_384
 FAN = 64
 SPACE = "▁"
 MOST_CACHED = 400_000  # words, and pairs of pieces
-AT_ONCE = 8_192  # words of a length
+MOST_KEPT = 100_000  # of them when a task is over: the worker lives on, and other operators need its memory
+AT_ONCE = 8_192  # words solved together, of much the same length
 TOGETHER = 2_000_000  # characters whose words are solved together
 LONGEST_WORD = 32  # of the words that are solved many at a time
 _NORMAL, _BYTE, _UNIGRAM, _BPE = 1, 6, 1, 2
@@ -224,11 +226,11 @@ class Lattice(dict):
         allowed[some] = fits
         return allowed
 
-    def _only_paths(self, arcs: np.ndarray, last: np.ndarray, step: np.ndarray) -> None:
+    def _only_paths(self, arcs: np.ndarray, last: np.ndarray, step: np.ndarray, reach: np.ndarray) -> None:
         """In a BPE lattice one path reaches a position: the first arc that fits is its last one."""
-        n, _, m = arcs.shape
+        n = len(arcs)
         for end in range(1, n + 1):
-            left = np.arange(m)
+            left = np.arange(reach[end])
             for start in range(max(0, end - self.longest), end):
                 ids = arcs[start, end, left]
                 some = np.flatnonzero(ids != -1)
@@ -254,27 +256,31 @@ class Lattice(dict):
                 best[end][better], last[end][better], step[end][better] = score[better], ids[better], end - start
 
     def _solved(self, words: list[str]) -> list[bytes]:
-        """The ids of words of one length: the same best paths as `walk`, all words a step at a time."""
-        n = len(words[0])
-        chars = np.array(words).view(np.uint32).reshape(-1, n).astype(np.uint64) + np.uint64(1)
-        m, base = len(words), np.uint64(_BASE)
+        """The ids of words, the longest first: the same best paths as `walk`, all words a step at a time."""
+        sizes = np.array([len(w) for w in words])
+        m, n, base = len(words), len(words[0]), np.uint64(_BASE)
+        reach = np.searchsorted(-sizes, -np.arange(n + 1), "right")  # how many words are that long
+        chars = np.ascontiguousarray(np.array(words, f"U{n}").view(np.uint32).reshape(-1, n).T).astype(np.uint64) + np.uint64(1)
         arcs = np.full((n, n + 1, m), -1, np.int32)  # by start and end
         for start in range(n):
             total = np.zeros(m, np.uint64)
             for end in range(start + 1, min(n, start + self.longest) + 1):
-                total = total * base + chars[:, end - 1]
+                total = total[: reach[end]] * base + chars[end - 1, : reach[end]]
                 some = np.flatnonzero(self.maybe[total >> np.uint64(44)])
+                if end == start + 1:
+                    arcs[start, end, : reach[end]] = -2
+                if not some.size:
+                    continue
                 wanted = total[some]
                 at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-                arcs[start, end] = -2 if end == start + 1 else -1
                 true = self.hashes[at] == wanted
                 arcs[start, end, some[true]] = self.of_hash[at[true]]
         last, step = np.full((n + 1, m), -1, np.int64), np.zeros((n + 1, m), np.int64)
         if self.bpe:
-            self._only_paths(arcs, last, step)
+            self._only_paths(arcs, last, step, reach)
         else:
             self._best_paths(arcs, last, step)
-        out, at, count = np.zeros((m, n), np.int32), np.full(m, n), np.zeros(m, np.int64)
+        out, at, count = np.zeros((m, n), np.int32), sizes.copy(), np.zeros(m, np.int64)
         strange = np.zeros(m, bool)
         while (going := np.flatnonzero(at > 0)).size:
             ids = last[at[going], going]
@@ -283,25 +289,32 @@ class Lattice(dict):
             out[going, n - count[going]] = ids
             at[going] -= step[at[going], going]
         return [
-            np.array(self.numbers(self.path(w, 0, n, None)), np.int32).tobytes() if odd else row[n - c :].tobytes()
+            np.array(self.numbers(self.path(w, 0, len(w), None)), np.int32).tobytes() if odd else row[n - c :].tobytes()
             for w, row, c, odd in zip(words, out, count.tolist(), strange.tolist(), strict=True)
         ]
 
     def learn(self, texts: list[str]) -> None:
-        """Solve the words of normalised texts that are not known yet, those of a length together."""
-        words = set().union(*map(_WORD.findall, texts))
-        new = words - self.keys()
-        if len(self) + len(new) > MOST_CACHED:
+        """Solve the words of normalised texts that are not known yet, those of much the same length together."""
+        self._learn([_WORD.findall(t) for t in texts])
+
+    def _learn(self, parts: list[list[str]]) -> None:
+        new = set(filterfalse(self.__contains__, chain.from_iterable(parts)))
+        if len(self) + len(new) > MOST_CACHED:  # words at hand are kept, the common ones among them
+            kept = {w: self[w] for w in set(chain.from_iterable(parts)) - new}
+            self.clear()
+            self.update(kept)
+        short = sorted((w for w in new if len(w) <= LONGEST_WORD), key=len, reverse=True)
+        for k in range(0, len(short), AT_ONCE):
+            part = short[k : k + AT_ONCE]
+            self.update(zip(part, self._solved(part), strict=True))
+
+    def rest(self) -> None:
+        """Forget words and pairs at the end of a task, if they are many."""
+        if len(self) > MOST_KEPT:
             self.clear()
-            new = words
-        by_length: dict[int, list[str]] = {}
-        for word in new:
-            if len(word) <= LONGEST_WORD:
-                by_length.setdefault(len(word), []).append(word)
-        for group in by_length.values():
-            for k in range(0, len(group), AT_ONCE):
-                part = group[k : k + AT_ONCE]
-                self.update(zip(part, self._solved(part), strict=True))
+        if len(self.pairs) > MOST_KEPT:
+            self.pairs.clear()
+        pa.default_memory_pool().release_unused()
 
     def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
         held, size = [], 0
@@ -309,15 +322,22 @@ class Lattice(dict):
             held.append(text)
             size += len(text or "")
             if size >= TOGETHER:
-                self.learn([normal(t) for t in held if t])
-                yield from (None if t is None else self.encode(t) for t in held)
+                yield from self._encoded(held)
                 held, size = [], 0
-        self.learn([normal(t) for t in held if t])
-        yield from (None if t is None else self.encode(t) for t in held)
+        yield from self._encoded(held)
+
+    def _encoded(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
+        parts = [_WORD.findall(normal(t)) if t else [] for t in texts]
+        self._learn(parts)
+        for text, words in zip(texts, parts, strict=True):
+            yield None if text is None else self._ids(words)
+
+    def _ids(self, words: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32)
 
     def words(self, text: str) -> np.ndarray:
         """The ids of normalised text that begins and ends with whole words."""
-        return np.frombuffer(b"".join(map(self.__getitem__, _WORD.findall(text))), np.int32)
+        return self._ids(_WORD.findall(text))
 
     def encode(self, text: str) -> np.ndarray:
         return self.words(normal(text)) if text else np.zeros(0, np.int32)
@@ -450,6 +470,18 @@ def back(matrices: list[np.ndarray], first: int, last: int | None) -> list[tuple
     return [*((first, at),), *found[::-1]]
 
 
+def _in_order(group: pa.Table, by: str) -> list[np.ndarray]:
+    """The matrices of a group's rows, ordered by a number."""
+    data = group["matrix"].to_pylist()
+    return [_unpacked(data[k]) for k in np.argsort(group[by].to_numpy())]
+
+
+def _with_states(group: pa.Table, by: str, states: list[tuple[int, int]]) -> pa.Table:
+    """The digest, the number and the states of rows ordered by that number."""
+    into, out = (pa.array(x, pa.int32()) for x in zip(*states, strict=True))
+    return pa.table([group["digest"], pa.array(np.sort(group[by].to_numpy())), into, out], ["digest", by, "into", "out"])
+
+
 _CHUNK = T.StructType(
     [
         T.StructField("digest", T.BinaryType()),
@@ -499,33 +531,32 @@ def scanned(texts: DataFrame, model: Model, chunk_chars: int) -> DataFrame:
             rows = batch.to_pylist()
             made = [_packed(lattice.transfer(r["body"], r["cut"], r["stop"], r["chunk"] == 0, r["final"])) for r in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, "matrix"])
+        lattice.rest()
 
     schema = T.StructType([*_CHUNK.fields, T.StructField("matrix", T.BinaryType())])
     whole = written(pieces.select(*_CHUNK.names).mapInArrow(matrices, schema), "chunks")
     small = whole.select("digest", "chunk", (F.col("chunk") / FAN).cast("int").alias("block"), "matrix")
 
-    def combined(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk")
-        total = _unpacked(group["matrix"].iloc[0])
-        for data in group["matrix"].iloc[1:]:
-            total = product(total, _unpacked(data))
-        return pd.DataFrame({"digest": group["digest"].iloc[:1], "block": group["block"].iloc[:1], "matrix": [_packed(total)]})
+    def combined(group: pa.Table) -> pa.Table:
+        matrices = _in_order(group, "chunk")
+        total = matrices[0]
+        for matrix in matrices[1:]:
+            total = product(total, matrix)
+        first = group.slice(0, 1)
+        return pa.table([first["digest"], first["block"], pa.array([_packed(total)], pa.binary())], ["digest", "block", "matrix"])
 
-    blocks = small.groupBy("digest", "block").applyInPandas(combined, "digest binary, block int, matrix binary")
+    blocks = small.groupBy("digest", "block").applyInArrow(combined, "digest binary, block int, matrix binary")
 
-    def of_blocks(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("block")
-        states = back([_unpacked(m) for m in group["matrix"]], 0, None)
-        return pd.DataFrame({"digest": group["digest"], "block": group["block"], "into": [a for a, _ in states], "out": [b for _, b in states]})
+    def of_blocks(group: pa.Table) -> pa.Table:
+        return _with_states(group, "block", back(_in_order(group, "block"), 0, None))
 
-    ends = blocks.groupBy("digest").applyInPandas(of_blocks, "digest binary, block int, into int, out int")
+    ends = blocks.groupBy("digest").applyInArrow(of_blocks, "digest binary, block int, into int, out int")
 
-    def of_chunks(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk")
-        states = back([_unpacked(m) for m in group["matrix"]], int(group["into"].iloc[0]), int(group["out"].iloc[0]))
-        return pd.DataFrame({"digest": group["digest"], "chunk": group["chunk"], "into": [a for a, _ in states], "out": [b for _, b in states]})
+    def of_chunks(group: pa.Table) -> pa.Table:
+        states = back(_in_order(group, "chunk"), group["into"][0].as_py(), group["out"][0].as_py())
+        return _with_states(group, "chunk", states)
 
-    chosen = small.join(ends, ["digest", "block"]).groupBy("digest", "block").applyInPandas(of_chunks, "digest binary, chunk int, into int, out int")
+    chosen = small.join(ends, ["digest", "block"]).groupBy("digest", "block").applyInArrow(of_chunks, "digest binary, chunk int, into int, out int")
 
     def trace(batches):
         lattice = model.lattice()
@@ -534,6 +565,7 @@ def scanned(texts: DataFrame, model: Model, chunk_chars: int) -> DataFrame:
             lattice.learn([r["body"] for r in rows])
             ids = [lattice.traced(r["body"], r["cut"], r["stop"], r["chunk"] == 0, r["final"], r["into"], r["out"]) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("chunk"), _lists(ids)], ["digest", "chunk", "ids"])
+        lattice.rest()
 
     return whole.drop("matrix").join(chosen, ["digest", "chunk"]).mapInArrow(trace, "digest binary, chunk int, ids array<int>")
 
@@ -558,6 +590,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = CHUNK_CHARS)
         for batch in sliced(batches, TOGETHER):
             ids = list(lattice.encode_all(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids)], [*names, "ids"])
+        lattice.rest()
 
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     short = docs.filter(F.coalesce(~long, F.lit(True))).mapInArrow(run, schema)

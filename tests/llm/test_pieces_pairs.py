@@ -57,3 +57,26 @@ def test_decoding_together_is_decoding_apart(lattice):
     flat = np.array([i for r in rows for i in r], np.int64)
     assert lattice.decode_all(flat, [len(r) for r in rows]) == plain == [lattice.decode(r) for r in rows]
     assert lattice.decode_all(np.zeros(0, np.int64), []) == [] and lattice.decode([]) == ""
+
+
+def test_words_of_many_lengths_are_solved_together(lattice, monkeypatch):
+    chance, names = random.Random(4), sorted(lattice.ids)
+    words = list({"▁" + "".join(chance.choice(names) for _ in range(chance.randrange(1, 6))).replace("▁", "")[:31] for _ in range(1500)})
+    words += ["x", "▁", "ab\0", "\0", "▁é\0\0"]
+    words.sort(key=len, reverse=True)
+    assert len({len(w) for w in words}) > 20
+    for word, ids in zip(words, lattice._solved(words), strict=True):
+        assert ids == np.array(lattice.numbers(lattice.path(word, 0, len(word), None)), np.int32).tobytes()
+
+
+def test_caches_are_bounded_and_left_small(lattice, monkeypatch):
+    monkeypatch.setattr(pieces, "MOST_CACHED", 50)
+    monkeypatch.setattr(pieces, "MOST_KEPT", 20)
+    lattice.clear()
+    texts = [" ".join(f"w{k}x{n}" for n in range(30)) + " the" for k in range(5)]
+    plain = [lattice.numbers([a for w in pieces._WORD.findall(pieces.normal(t)) for a in lattice.path(w, 0, len(w), None)]) for t in texts]
+    for text, want in zip(texts, plain, strict=True):
+        assert [x.tolist() for x in lattice.encode_all([text])] == [want]
+        assert len(lattice) <= 50 and "▁the" in lattice
+    lattice.rest()
+    assert not len(lattice) and [x.tolist() for x in lattice.encode_all(texts)] == plain
