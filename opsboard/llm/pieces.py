@@ -44,9 +44,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 16_384
 FAN = 64
 SPACE = "▁"
-MOST_CACHED = 400_000  # words, and pairs of pieces
-MOST_KEPT = 100_000  # of them when a task is over: the worker lives on, and other operators need its memory
-AT_ONCE = 8_192  # words solved together, of much the same length
+MOST_CACHED = 200_000  # words, and pairs of pieces
+MOST_KEPT = 50_000  # of them when a task is over: the worker lives on, and other operators need its memory
+AT_ONCE = 4_096  # words solved together, of much the same length
 TOGETHER = 2_000_000  # characters whose words are solved together
 LONGEST_WORD = 32  # of the words that are solved many at a time
 _NORMAL, _BYTE, _UNIGRAM, _BPE = 1, 6, 1, 2
