@@ -13,8 +13,10 @@ within blocks of `FAN` chunks, then over a document's blocks, from which the sta
 at the chunk borders follow; then every chunk is traced back for itself. A string holds at most 2^31
 characters, hence at most 2^31 / (chunk_chars * FAN) blocks of one document meet.
 
-No piece has a space after another character, so the lattice falls apart at the start of each word; words
-are solved once and remembered.
+No piece has a space after another character, so the lattice falls apart at the start of each word. It also
+does between characters that no piece brings together, like letters and punctuation in most models: characters
+that stand side by side in some piece are of one group, and a word ends where the group changes. Words are
+solved once and remembered.
 
 Defined results: a null text has null ids, an empty one none; a character without a piece becomes its bytes;
 equal long texts are encoded once; repeated documents are returned each; extra columns are kept by `encode`
@@ -28,7 +30,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, filterfalse
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -46,12 +48,14 @@ FAN = 64
 SPACE = "▁"
 MOST_CACHED = 200_000  # words, and pairs of pieces
 MOST_KEPT = 50_000  # of them when a task is over: the worker lives on, and other operators need its memory
-AT_ONCE = 4_096  # words solved together, of much the same length
+AT_ONCE = 4 << 20  # possible arcs of the words solved together, which are of much the same length
 TOGETHER = 2_000_000  # characters whose words are solved together
 LONGEST_WORD = 32  # of the words that are solved many at a time
+MOST_GROUPS = 16  # of characters that words are told apart by; the characters of all others count as one
 _NORMAL, _BYTE, _UNIGRAM, _BPE = 1, 6, 1, 2
-# A word, or a line break: no piece holds one, so it stands alone as well.
+# What lies between spaces, or a line break: no piece holds one, so it stands alone as well.
 _WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+_BREAK = re.compile(f"(?<=[^{SPACE}]){SPACE}")  # where a word begins behind another
 NONE = -np.inf
 _BASE = 0x9E3779B97F4A7C15
 
@@ -88,21 +92,61 @@ class Lattice(dict):
         self.table = np.frombuffer(b"".join(self.surface), np.uint8)  # all surfaces, one after the other
         self.sizes = np.array([len(x) for x in self.surface], np.int64)
         self.begins = np.cumsum(self.sizes) - self.sizes
+        self.word = re.compile(self._pattern(self.ids))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.halves: dict[str, tuple[str, str] | None] = {}
         ranks = {score: k for k, score in enumerate(sorted(set(self.score.values()), reverse=True))}
         self.piece = {k: p for p, k in self.ids.items()}
-        ordered = sorted((self._hash(p), k) for p, k in self.ids.items())
+        # by hash times an odd number, whose upper bits tell short pieces apart as well
+        ordered = sorted((self._hash(p) * _BASE % (1 << 64), k) for p, k in self.ids.items())
         self.hashes = np.array([h for h, _ in ordered], np.uint64)
         self.of_hash = np.array([k for _, k in ordered], np.int64)
         if len(np.unique(self.hashes)) < len(ordered):
             raise ValueError("two pieces share a hash")
         self.maybe = np.zeros(1 << 20, bool)  # most characters' runs are no piece; this tells so at once
-        self.maybe[self.hashes >> np.uint64(44)] = True
+        slots = (self.hashes >> np.uint64(44)).astype(np.int64)
+        self.maybe[slots] = True
+        self.least_of = np.searchsorted(slots, np.arange(1 << 20)).astype(np.int32)  # where the hashes of a slot begin
+        self.most_in_slot = int(np.bincount(slots).max())
         self.weights = np.array([self.score.get(p.piece, self.unknown) for p in model.pieces])
         # pairs of ids already told apart, by a slot of their own; a pair that finds another in its slot takes it
         self.pair_key, self.pair_fits = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
         self.order = {p: ranks[score] for p, score in self.score.items()}  # the lower, the earlier it merges
+        # For pairs told apart many at once, by number: the ids, then characters that only occur within pieces.
+        self.number = {**self.ids, **{c: len(model.pieces) + k for k, c in enumerate(sorted(set("".join(self.ids)) - self.ids.keys()))}}
+        n = len(model.pieces) + len(self.number) - len(self.ids)
+        self.powers = np.array([pow(_BASE, k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
+        self.hash_of, self.power_of = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self.rank_of = np.full(n, -1, np.int64)  # -1 for a single character
+        self.half_of = np.full((2, n), -2, np.int64)  # -1 for a piece that never merges, -2 where not looked up yet
+        names = list(self.number)
+        at = np.array([self.number[p] for p in names])
+        self.name = dict(zip(at.tolist(), names, strict=True))
+        self.hash_of[at] = [self._hash(p) for p in names]
+        self.power_of[at] = self.powers[[len(p) for p in names]]
+        self.rank_of[at] = [self.order[p] if len(p) > 1 else -1 for p in names]
+
+    @staticmethod
+    def _pattern(pieces: Iterable[str]) -> str:
+        """A word: spaces, then characters of one group, those that are neighbours in pieces, or of none."""
+        root: dict[str, str] = {}
+
+        def found(c: str) -> str:
+            while root.setdefault(c, c) != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        for piece in pieces:
+            inner = piece.lstrip(SPACE)
+            for a, b in zip(inner, inner[1:], strict=False):
+                root[found(a)] = found(b)
+        groups: dict[str, list[str]] = {}
+        for c in root:
+            groups.setdefault(found(c), []).append(c)
+        sets = ["".join(map(re.escape, sorted(g))) for g in sorted(groups.values(), key=len, reverse=True)[:MOST_GROUPS]]
+        kinds = "|".join([*(f"[{g}]+" for g in sets), f"[^{''.join(sets)}{SPACE}\n]+"])
+        return f"{SPACE}*(?:{kinds})|{SPACE}+|\n"
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short text: the best neighbours merge first, of equals the leftmost."""
@@ -148,6 +192,45 @@ class Lattice(dict):
             else:
                 limit, after = right + 1, halves[0]
 
+    def _id_of(self, hashes: np.ndarray) -> np.ndarray:
+        """The ids of the pieces with these hashes, -1 where there is none."""
+        ids, mixed = np.full(len(hashes), -1, np.int64), hashes * np.uint64(_BASE)
+        slots = mixed >> np.uint64(44)
+        some = np.flatnonzero(self.maybe[slots])
+        wanted, at = mixed[some], self.least_of[slots[some]]
+        for _ in range(self.most_in_slot - 1):
+            at = np.minimum(at + (self.hashes[at] < wanted), len(self.hashes) - 1)
+        true = self.hashes[at] == wanted
+        ids[some[true]] = self.of_hash[at[true]]
+        return ids
+
+    def _halves_of(self, numbers: np.ndarray, side: int) -> np.ndarray:
+        """halved for numbers of pieces: the numbers of their left (0) or right (1) parts, -1 where there are none."""
+        for k in set(numbers[self.half_of[0, numbers] == -2].tolist()):
+            halves = self.halved(self.name[k])
+            self.half_of[:, k] = [self.number[p] for p in halves] if halves else -1
+        return self.half_of[side, numbers]
+
+    def fits_all(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """fits for arrays of ids."""
+        told, at = np.zeros(len(before), bool), np.arange(len(before))
+        limit = np.full(len(before), len(self.order) + 1, np.int64)
+        while at.size:
+            merged = self._id_of(self.hash_of[before] * self.power_of[after] + self.hash_of[after])
+            left, right = self.rank_of[before], self.rank_of[after]
+            good = (merged < 0) | (self.rank_of[merged] >= limit)
+            single = (left < 0) & (right < 0)
+            told[at[good & single]] = True
+            going = np.flatnonzero(good & ~single)
+            at, before, after, limit, left, right = (x[going] for x in (at, before, after, limit, left, right))
+            first = left > right
+            before, limit = before.copy(), np.where(first, left, right + 1)
+            before[first] = self._halves_of(before[first], 1)
+            after[~first] = self._halves_of(after[~first], 0)
+            left_over = np.flatnonzero((before >= 0) & (after >= 0))
+            at, before, after, limit = (x[left_over] for x in (at, before, after, limit))
+        return told
+
     def may_follow(self, piece: str | None, after: str) -> bool:
         if piece is None or not self.bpe:
             return True
@@ -217,12 +300,10 @@ class Lattice(dict):
         slot = ((key.astype(np.uint64) * np.uint64(_BASE)) >> np.uint64(44)).astype(np.int64)
         fits, missing = self.pair_fits[slot], np.flatnonzero(self.pair_key[slot] != key)
         if len(missing):
-            new, first, which = np.unique(key[missing], return_index=True, return_inverse=True)
-            pieces = [(self.piece[k >> 32], self.piece[k & 0xFFFFFFFF]) for k in new.tolist()]
-            told = np.array([self.fits(a, b) for a, b in pieces], bool)
+            new, which = np.unique(key[missing], return_inverse=True)
+            told = self.fits_all(new >> 32, new & 0xFFFFFFFF)
             fits[missing] = told[which]
-            place = slot[missing[first]]
-            self.pair_key[place], self.pair_fits[place] = new, told
+            self.pair_key[slot[missing]], self.pair_fits[slot[missing]] = key[missing], fits[missing]
         allowed[some] = fits
         return allowed
 
@@ -230,18 +311,14 @@ class Lattice(dict):
         """In a BPE lattice one path reaches a position: the first arc that fits is its last one."""
         n = len(arcs)
         for end in range(1, n + 1):
-            left = np.arange(reach[end])
-            for start in range(max(0, end - self.longest), end):
-                ids = arcs[start, end, left]
-                some = np.flatnonzero(ids != -1)
-                if not some.size:
-                    continue
-                rows, ids = left[some], ids[some].astype(np.int64)
-                fits = self._together(last[start, rows], ids)
-                last[end, rows[fits]], step[end, rows[fits]] = ids[fits], end - start
-                left = np.delete(left, some[fits])
-                if not left.size:
-                    break
+            least = max(0, end - self.longest)
+            held = arcs[least:end, end, : reach[end]]
+            starts, rows = np.nonzero(held != -1)
+            ids = held[starts, rows].astype(np.int64)
+            starts += least
+            fits = np.flatnonzero(self._together(last[starts, rows], ids))[::-1]  # of one word, the first is written last
+            rows, starts = rows[fits], starts[fits]
+            last[end, rows], step[end, rows] = ids[fits], end - starts
 
     def _best_paths(self, arcs: np.ndarray, last: np.ndarray, step: np.ndarray) -> None:
         """In a unigram lattice the best score decides; of equal ones the longer arc, as in `walk`."""
@@ -266,15 +343,9 @@ class Lattice(dict):
             total = np.zeros(m, np.uint64)
             for end in range(start + 1, min(n, start + self.longest) + 1):
                 total = total[: reach[end]] * base + chars[end - 1, : reach[end]]
-                some = np.flatnonzero(self.maybe[total >> np.uint64(44)])
-                if end == start + 1:
-                    arcs[start, end, : reach[end]] = -2
-                if not some.size:
-                    continue
-                wanted = total[some]
-                at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-                true = self.hashes[at] == wanted
-                arcs[start, end, some[true]] = self.of_hash[at[true]]
+                arcs[start, end, : reach[end]] = self._id_of(total)
+            one = arcs[start, start + 1, : reach[start + 1]]
+            one[one < 0] = -2
         last, step = np.full((n + 1, m), -1, np.int64), np.zeros((n + 1, m), np.int64)
         if self.bpe:
             self._only_paths(arcs, last, step, reach)
@@ -295,18 +366,28 @@ class Lattice(dict):
 
     def learn(self, texts: list[str]) -> None:
         """Solve the words of normalised texts that are not known yet, those of much the same length together."""
-        self._learn([_WORD.findall(t) for t in texts])
-
-    def _learn(self, parts: list[list[str]]) -> None:
-        new = set(filterfalse(self.__contains__, chain.from_iterable(parts)))
+        self._looked_up([self.word.findall(t) for t in texts])
+
+    def _looked_up(self, parts: list[list[str]]) -> list[bytes]:
+        """The ids of the words of each text."""
+        words = list(chain.from_iterable(parts))
+        known = list(map(self.get, words))
+        missing = [k for k, ids in enumerate(known) if ids is None]
+        new = {words[k] for k in missing}
         if len(self) + len(new) > MOST_CACHED:  # words at hand are kept, the common ones among them
-            kept = {w: self[w] for w in set(chain.from_iterable(parts)) - new}
+            kept = {w: ids for w, ids in zip(words, known, strict=True) if ids is not None}
             self.clear()
             self.update(kept)
-        short = sorted((w for w in new if len(w) <= LONGEST_WORD), key=len, reverse=True)
-        for k in range(0, len(short), AT_ONCE):
-            part = short[k : k + AT_ONCE]
+        short, at = sorted((w for w in new if len(w) <= LONGEST_WORD), key=len, reverse=True), 0
+        while at < len(short):
+            n = len(short[at])
+            part = short[at : at + max(1, AT_ONCE // (n * (n + 1)))]
             self.update(zip(part, self._solved(part), strict=True))
+            at += len(part)
+        for k in missing:
+            known[k] = self[words[k]]
+        left = iter(known)
+        return [b"".join(islice(left, len(words))) for words in parts]
 
     def rest(self) -> None:
         """Forget words and pairs at the end of a task, if they are many."""
@@ -327,17 +408,15 @@ class Lattice(dict):
         yield from self._encoded(held)
 
     def _encoded(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
-        parts = [_WORD.findall(normal(t)) if t else [] for t in texts]
-        self._learn(parts)
-        for text, words in zip(texts, parts, strict=True):
-            yield None if text is None else self._ids(words)
+        found = self.words_all([normal(t) if t else "" for t in texts])
+        return (None if text is None else ids for text, ids in zip(texts, found, strict=True))
 
-    def _ids(self, words: list[str]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32)
+    def words_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of normalised texts that begin and end with whole words."""
+        return [np.frombuffer(ids, np.int32) for ids in self._looked_up([self.word.findall(t) for t in texts])]
 
     def words(self, text: str) -> np.ndarray:
-        """The ids of normalised text that begins and ends with whole words."""
-        return self._ids(_WORD.findall(text))
+        return self.words_all([text])[0]
 
     def encode(self, text: str) -> np.ndarray:
         return self.words(normal(text)) if text else np.zeros(0, np.int32)
@@ -379,7 +458,7 @@ class Lattice(dict):
         """Best scores from each state at `cut` to each at `stop`; what all paths share is left out."""
         into = [(cut, None)] if first else self.states(text, cut, len(text))
         out = [(s, a) for s, a in self.states(text, stop, len(text)) if not final or s + len(a) == stop]
-        heads = self._breaks(text, cut, stop)
+        heads = self._outer_breaks(text, cut, stop) if self.bpe else self._breaks(text, cut, stop)
         matrix = np.full((len(into), len(out)), NONE)
         tail = None
         for k, (start, arc) in enumerate(into):
@@ -406,21 +485,42 @@ class Lattice(dict):
 
     def _breaks(self, text: str, cut: int, stop: int) -> list[int]:
         """Positions strictly inside the chunk where a word begins: all paths pass them."""
-        return [m.start() for m in re.compile(f"(?<=[^{SPACE}]){SPACE}").finditer(text, cut + self.longest, stop)]
+        return [m.start() for m in _BREAK.finditer(text, cut + self.longest, stop)]
+
+    def _outer_breaks(self, text: str, cut: int, stop: int) -> list[int]:
+        """The first and the last one of them."""
+        found = _BREAK.search(text, cut + self.longest, stop)
+        if not found:
+            return []
+        first, last = found.start(), text.rindex(SPACE, 0, stop)
+        while text[last - 1] == SPACE:
+            last -= 1
+        return [first, last] if last > first else [first]
 
     def traced(self, text: str, cut: int, stop: int, first: bool, final: bool, state_in: int, state_out: int) -> np.ndarray:
         """The ids of the arcs that begin in the chunk, given the states at its ends."""
+        return self.traced_all([(text, cut, stop, first, final, state_in, state_out)])[0]
+
+    def traced_all(self, rows: list[tuple]) -> list[np.ndarray]:
+        """traced for many chunks, the whole words of all of them together."""
+        ends = [self._traced_ends(*row) for row in rows]
+        return [
+            np.concatenate([np.array(head, np.int32), inner, np.array(tail, np.int32)])
+            for (head, _, tail), inner in zip(ends, self.words_all([words for _, words, _ in ends]), strict=True)
+        ]
+
+    def _traced_ends(self, text: str, cut: int, stop: int, first: bool, final: bool, state_in: int, state_out: int) -> tuple[list[int], str, list[int]]:
+        """The ids before the first word that begins in the chunk, the words up to the last one, the ids from there."""
         start, arc = (cut, None) if first else self.states(text, cut, len(text))[state_in]
         out = [(s, a) for s, a in self.states(text, stop, len(text)) if not final or s + len(a) == stop][state_out]
         if out == (start, arc):
-            return np.zeros(0, np.int32)
+            return [], "", []
         begin = start + len(arc or "")
-        heads = [h for h in self._breaks(text, cut, stop) if begin <= h <= out[0]]
+        heads = self._outer_breaks(text, cut, out[0] + 1)  # no state at `cut` reaches beyond the first
         if not heads:
-            return np.array(self.numbers([*self.path(text, begin, out[0], arc), out[1]]), np.int32)
-        head = self.numbers(self.path(text, begin, heads[0], arc))
+            return self.numbers([*self.path(text, begin, out[0], arc), out[1]]), "", []
         tail = self.numbers([*self.path(text, heads[-1], out[0], None), out[1]])
-        return np.concatenate([np.array(head, np.int32), self.words(text[heads[0] : heads[-1]]), np.array(tail, np.int32)])
+        return self.numbers(self.path(text, begin, heads[0], arc)), text[heads[0] : heads[-1]], tail
 
 
 def normal(text: str) -> str:
@@ -562,8 +662,7 @@ def scanned(texts: DataFrame, model: Model, chunk_chars: int) -> DataFrame:
         lattice = model.lattice()
         for batch in sliced(batches, TOGETHER):
             rows = batch.to_pylist()
-            lattice.learn([r["body"] for r in rows])
-            ids = [lattice.traced(r["body"], r["cut"], r["stop"], r["chunk"] == 0, r["final"], r["into"], r["out"]) for r in rows]
+            ids = lattice.traced_all([(r["body"], r["cut"], r["stop"], r["chunk"] == 0, r["final"], r["into"], r["out"]) for r in rows])
             yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("chunk"), _lists(ids)], ["digest", "chunk", "ids"])
         lattice.rest()
 
