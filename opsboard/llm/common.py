@@ -58,6 +58,7 @@ def sliced(batches: Iterable[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterat
         step = max(1, int(most * batch.num_rows / max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+        del batch  # else it is held while the next one is read
 
 
 def ship(spark: SparkSession) -> None:

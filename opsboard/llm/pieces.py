@@ -30,10 +30,8 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -46,10 +44,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 16_384
 FAN = 64
 SPACE = "▁"
-MOST_CACHED = 200_000  # words, and pairs of pieces
+MOST_CACHED = 100_000  # words, and pairs of pieces
+PAIR_BITS = 18  # pairs of ids told apart lie in so many slots, as a power of two
 MOST_KEPT = 50_000  # of them when a task is over: the worker lives on, and other operators need its memory
-AT_ONCE = 4 << 20  # possible arcs of the words solved together, which are of much the same length
-TOGETHER = 2_000_000  # characters whose words are solved together
+AT_ONCE = 1 << 20  # possible arcs of the words solved together, which are of much the same length
+TOGETHER = 1_000_000  # characters whose words are solved together
 LONGEST_WORD = 32  # of the words that are solved many at a time
 MOST_GROUPS = 16  # of characters that words are told apart by; the characters of all others count as one
 _NORMAL, _BYTE, _UNIGRAM, _BPE = 1, 6, 1, 2
@@ -60,6 +59,14 @@ NONE = -np.inf
 _BASE = 0x9E3779B97F4A7C15
 
 
+class Numbers(dict):
+    """The number of each word, in the order in which they are asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Lattice(dict):
     """Encoder and decoder of one model; as a dict it remembers the ids of words, as bytes of int32."""
 
@@ -110,7 +117,7 @@ class Lattice(dict):
         self.most_in_slot = int(np.bincount(slots).max())
         self.weights = np.array([self.score.get(p.piece, self.unknown) for p in model.pieces])
         # pairs of ids already told apart, by a slot of their own; a pair that finds another in its slot takes it
-        self.pair_key, self.pair_fits = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
+        self.pair_key, self.pair_fits = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         self.order = {p: ranks[score] for p, score in self.score.items()}  # the lower, the earlier it merges
         # For pairs told apart many at once, by number: the ids, then characters that only occur within pieces.
         self.number = {**self.ids, **{c: len(model.pieces) + k for k, c in enumerate(sorted(set("".join(self.ids)) - self.ids.keys()))}}
@@ -237,9 +244,13 @@ class Lattice(dict):
         if (known := self.pairs.get((piece, after))) is None:
             if len(self.pairs) >= MOST_CACHED:
                 self.pairs.clear()
-            known = self.pairs[piece, after] = self.fits(piece, after)
+            known = self.pairs[self._own(piece), self._own(after)] = self.fits(piece, after)
         return known
 
+    def _own(self, arc: str) -> str:
+        """A piece as the model holds it, so that what is remembered has no copies of it."""
+        return self.piece[self.ids[arc]] if arc in self.ids else arc
+
     def weight(self, piece: str) -> float:
         return 0.0 if self.bpe else self.score.get(piece, self.unknown)
 
@@ -297,7 +308,7 @@ class Lattice(dict):
         allowed = np.ones(before.shape, bool)
         some = np.flatnonzero((before >= 0) & (after >= 0))
         key = before[some] << 32 | after[some]
-        slot = ((key.astype(np.uint64) * np.uint64(_BASE)) >> np.uint64(44)).astype(np.int64)
+        slot = ((key.astype(np.uint64) * np.uint64(_BASE)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
         fits, missing = self.pair_fits[slot], np.flatnonzero(self.pair_key[slot] != key)
         if len(missing):
             new, which = np.unique(key[missing], return_inverse=True)
@@ -316,7 +327,7 @@ class Lattice(dict):
             starts, rows = np.nonzero(held != -1)
             ids = held[starts, rows].astype(np.int64)
             starts += least
-            fits = np.flatnonzero(self._together(last[starts, rows], ids))[::-1]  # of one word, the first is written last
+            fits = np.flatnonzero(self._together(last[starts, rows].astype(np.int64), ids))[::-1]  # of one word, the first is written last
             rows, starts = rows[fits], starts[fits]
             last[end, rows], step[end, rows] = ids[fits], end - starts
 
@@ -346,7 +357,7 @@ class Lattice(dict):
                 arcs[start, end, : reach[end]] = self._id_of(total)
             one = arcs[start, start + 1, : reach[start + 1]]
             one[one < 0] = -2
-        last, step = np.full((n + 1, m), -1, np.int64), np.zeros((n + 1, m), np.int64)
+        last, step = np.full((n + 1, m), -1, np.int32), np.zeros((n + 1, m), np.int16)
         if self.bpe:
             self._only_paths(arcs, last, step, reach)
         else:
@@ -366,14 +377,16 @@ class Lattice(dict):
 
     def learn(self, texts: list[str]) -> None:
         """Solve the words of normalised texts that are not known yet, those of much the same length together."""
-        self._looked_up([self.word.findall(t) for t in texts])
+        self._looked_up(texts)
 
-    def _looked_up(self, parts: list[list[str]]) -> list[bytes]:
-        """The ids of the words of each text."""
-        words = list(chain.from_iterable(parts))
+    def _looked_up(self, texts: Iterable[str]) -> list[bytes]:
+        """The ids of the words of each text. A word is held once; until it is solved, texts are numbers of words."""
+        numbers = Numbers()
+        parts = [array("i", map(numbers.__getitem__, self.word.findall(t))) for t in texts]
+        words = list(numbers)
         known = list(map(self.get, words))
         missing = [k for k, ids in enumerate(known) if ids is None]
-        new = {words[k] for k in missing}
+        new = [words[k] for k in missing]
         if len(self) + len(new) > MOST_CACHED:  # words at hand are kept, the common ones among them
             kept = {w: ids for w, ids in zip(words, known, strict=True) if ids is not None}
             self.clear()
@@ -386,8 +399,7 @@ class Lattice(dict):
             at += len(part)
         for k in missing:
             known[k] = self[words[k]]
-        left = iter(known)
-        return [b"".join(islice(left, len(words))) for words in parts]
+        return [b"".join(map(known.__getitem__, part)) for part in parts]
 
     def rest(self) -> None:
         """Forget words and pairs at the end of a task, if they are many."""
@@ -408,12 +420,12 @@ class Lattice(dict):
         yield from self._encoded(held)
 
     def _encoded(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
-        found = self.words_all([normal(t) if t else "" for t in texts])
+        found = self.words_all(normal(t) if t else "" for t in texts)
         return (None if text is None else ids for text, ids in zip(texts, found, strict=True))
 
-    def words_all(self, texts: list[str]) -> list[np.ndarray]:
+    def words_all(self, texts: Iterable[str]) -> list[np.ndarray]:
         """The ids of normalised texts that begin and end with whole words."""
-        return [np.frombuffer(ids, np.int32) for ids in self._looked_up([self.word.findall(t) for t in texts])]
+        return [np.frombuffer(ids, np.int32) for ids in self._looked_up(texts)]
 
     def words(self, text: str) -> np.ndarray:
         return self.words_all([text])[0]
@@ -607,7 +619,7 @@ def chunks(texts: DataFrame, model: Model, chunk_chars: int) -> DataFrame:
                     body = whole[offset : min(len(whole), stop + longest)]
                     rows.append((digest.as_py(), number, body, cut - offset, stop - offset, stop == len(whole)))
                     if len(rows) == 64 or rows[-1][-1]:
-                        yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=_CHUNK.names), schema=_CHUNK_ARROW, preserve_index=False)
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _CHUNK_ARROW, strict=True)], schema=_CHUNK_ARROW)
                         rows = []
 
     return texts.mapInArrow(run, _CHUNK)
@@ -630,7 +642,10 @@ def scanned(texts: DataFrame, model: Model, chunk_chars: int) -> DataFrame:
         for batch in sliced(batches, TOGETHER):
             rows = batch.to_pylist()
             made = [_packed(lattice.transfer(r["body"], r["cut"], r["stop"], r["chunk"] == 0, r["final"])) for r in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, "matrix"])
+            done = pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, "matrix"])
+            del batch, rows, made
+            yield done
+            del done
         lattice.rest()
 
     schema = T.StructType([*_CHUNK.fields, T.StructField("matrix", T.BinaryType())])
@@ -663,7 +678,10 @@ def scanned(texts: DataFrame, model: Model, chunk_chars: int) -> DataFrame:
         for batch in sliced(batches, TOGETHER):
             rows = batch.to_pylist()
             ids = lattice.traced_all([(r["body"], r["cut"], r["stop"], r["chunk"] == 0, r["final"], r["into"], r["out"]) for r in rows])
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("chunk"), _lists(ids)], ["digest", "chunk", "ids"])
+            done = pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("chunk"), _lists(ids)], ["digest", "chunk", "ids"])
+            del batch, rows, ids
+            yield done
+            del done
         lattice.rest()
 
     return whole.drop("matrix").join(chosen, ["digest", "chunk"]).mapInArrow(trace, "digest binary, chunk int, ids array<int>")
@@ -688,7 +706,10 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = CHUNK_CHARS)
         lattice = sent.lattice()
         for batch in sliced(batches, TOGETHER):
             ids = list(lattice.encode_all(batch.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids)], [*names, "ids"])
+            done = pa.RecordBatch.from_arrays([*batch.columns, _lists(ids)], [*names, "ids"])
+            del batch, ids  # else the batch is held while the next one is read
+            yield done
+            del done
         lattice.rest()
 
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -713,6 +734,9 @@ def decode(encoded: DataFrame, ids: str = "ids", added: str = "decoded", model:
             column = batch.column(ids)
             sizes = pc.fill_null(pc.list_value_length(column), 0).to_pylist()
             texts = lattice.decode_all(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string(), mask=column.is_null().to_numpy(zero_copy_only=False))], [*batch.schema.names, added])
+            done = pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string(), mask=column.is_null().to_numpy(zero_copy_only=False))], [*batch.schema.names, added])
+            del batch, column, texts
+            yield done
+            del done
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(added, T.StringType())]))
