@@ -17,7 +17,7 @@ from opsboard.plans import testdata
 from opsboard.plans.catalog import Query
 from opsboard.sources import export, store
 from opsboard.sources.services import load_perspectives
-from opsboard.storage import new_path, shared_folder, written
+from opsboard.storage import new_path, shared_folder, shuffles_let_go, written
 
 CUBE_KEYS = list(distinct.CUBE_KEYS)
 
@@ -450,10 +450,13 @@ FROM first JOIN totals USING (perspectiva)
 
 
 def _extract_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
-    """The extracts as CSV files in the shared folder, with unlike headers. The one of handled services has the
-    rows of a fifth of the accounts twice, once with a date nobody can read."""
+    """The extracts as packed CSV files in the shared folder, with unlike headers. The one of handled services has the
+    rows of a fifth of the accounts twice, once with a date nobody can read.
+
+    A packed file is read by one task, so a file has a million rows at most."""
     folder, moment = new_path(spark, "extracts"), "PERIODO GESTION"
     as_is = {"header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    packed = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": 1_000_000}
     paths = {view: f"{folder}/{view}" for view in schema.PERSPECTIVES}
     for view, path in paths.items():
         raw = testdata.raw_extract(spark, sf_dir, view).drop("perspectiva")
@@ -465,7 +468,8 @@ def _extract_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
             raw = raw.withColumn("OBSERVACION", F.lit("x"))
         else:
             raw = raw.select(*sorted(raw.columns))
-        raw.write.options(**as_is).csv(path)
+        with shuffles_let_go(spark):
+            raw.write.options(**as_is, **packed).csv(path)
     return paths
 
 

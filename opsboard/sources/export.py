@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsboard import schema
+from opsboard.storage import shuffles_let_go
 
 
 def write_detail_csv(detail: DataFrame, path: str, mode: str = "error") -> None:
@@ -68,4 +69,5 @@ def write_services(services: DataFrame, path: str, mode: str = "error", only_mon
         writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
     if only_months:
         writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+    with shuffles_let_go(services.sparkSession):
+        writer.option("compression", "zstd").parquet(path)

@@ -214,8 +214,8 @@ def sorted_out(
     test = is_test_account(_text(F.col(f"`{header['cuenta']}`"), raw.schema[header["cuenta"]].dataType), test_accounts)
     reason = (
         F.when(test, "prueba")
-        .when(_filled(moment) & parsed["periodo"].isNull(), "fecha")
-        .when(_filled(header["servicios"]) & parsed["servicios"].isNull(), "cantidad")
+        .when(parsed["periodo"].isNull() & _filled(moment), "fecha")
+        .when(parsed["servicios"].isNull() & _filled(header["servicios"]), "cantidad")
     )
     as_read = F.to_json(F.struct(*[F.col(f"`{h}`") for h in schema.SERVICE_HEADERS]), {"ignoreNullFields": "false"})
     typed = raw.select(*others, *columns, reason.alias("motivo"), F.when(reason.isNotNull(), as_read).alias("crudo"))

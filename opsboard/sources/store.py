@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from opsboard import schema
 from opsboard.sources.export import write_services
 from opsboard.sources.services import GOOD, REJECTED, listing, read_extract, sorted_out
-from opsboard.storage import delete, table_or_empty
+from opsboard.storage import delete, shuffles_let_go, table_or_empty
 
 _FILE = T.StructField("archivo", T.StringType())
 STORED = T.StructType([*schema.SERVICES, _FILE])
@@ -142,12 +142,12 @@ def ingest(
             raw = read_extract(spark, mine, fmt, archivo="archivo").withColumn("perspectiva", F.lit(view))
             parts.append((seen, sorted_out(raw, seen, date_format, test_accounts)))
     rows = reduce(DataFrame.unionByName, [part for _, part in parts])
-    rows.write.mode("overwrite").parquet(f"{store}/entrada")
+    _put(rows, f"{store}/entrada")
     counts = {name: sum(seen.get[name] for seen, _ in parts) for name in _COUNTS}
 
     entered = spark.read.schema(_TAKEN).parquet(f"{store}/entrada")
     tally = entered.groupBy("perspectiva", "archivo", "destino", "mes").agg(F.count(F.lit(1)).alias("filas"))
-    tally.write.mode("overwrite").parquet(f"{store}/recuento")
+    _put(tally, f"{store}/recuento")
     good = F.col("destino") == GOOD
     found = spark.read.schema(_TALLY).parquet(f"{store}/recuento").groupBy("perspectiva", "archivo").agg(
         F.sum(F.when(good, F.col("filas"))).alias("cargadas"),
@@ -167,12 +167,18 @@ def ingest(
     # with what is kept of them the touched months are complete before anything else changes
     kept = table_or_empty(spark, f"{store}/servicios", STORED).filter(_in_months(months))
     kept = kept.join(taken.select("perspectiva", "archivo"), ["perspectiva", "archivo"], "left_anti")
-    kept.select(*STORED.names).write.mode("overwrite").parquet(f"{store}/restos")
-    entries.select(*LEDGER.names).write.mode("overwrite").parquet(f"{store}/pendiente")
+    _put(kept.select(*STORED.names), f"{store}/restos")
+    _put(entries.select(*LEDGER.names), f"{store}/pendiente")
     _apply(spark, store, months)
     return Load(carga, len(files), **counts, meses=months)
 
 
+def _put(rows: DataFrame, path: str, *by: str) -> None:
+    """A table of the load at hand, in place of that of the load before."""
+    with shuffles_let_go(rows.sparkSession):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd").partitionBy(*by).parquet(path)
+
+
 def finish(spark: SparkSession, store: str) -> bool:
     """Finish a load that was cut off after it was complete; whether there was one."""
     waiting = table_or_empty(spark, f"{store}/pendiente", LEDGER)
@@ -202,4 +208,5 @@ def _apply(spark: SparkSession, store: str, months: tuple[tuple[str, date | None
     entered = spark.read.schema(_ENTERED).parquet(f"{store}/entrada")
     rejects = entered.filter(F.col("destino") == REJECTED).select("perspectiva", "archivo", "motivo", "crudo", F.lit(carga).alias("carga"))
     for rows, name in ((rejects, "rechazos"), (waiting, "libro")):  # the ledger last: it says the load is done
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("carga").parquet(f"{store}/{name}")
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+        writer.partitionBy("carga").parquet(f"{store}/{name}")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 _OWN = "opsboard.shared.dir"
+_LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,6 +49,21 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_let_go(spark: SparkSession) -> Iterator[None]:
+    """Within it, what a write shuffled leaves the disks when the write ends; else it would stay there until the
+    driver next collects garbage, which a driver with memory to spare may not do before the job is over."""
+    before = spark.conf.get(_LET_GO, None)
+    spark.conf.set(_LET_GO, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_LET_GO)
+        else:
+            spark.conf.set(_LET_GO, before)
+
+
 def table_or_empty(spark: SparkSession, path: str, struct: T.StructType) -> DataFrame:
     """The parquet table at ``path``; without rows while there is none."""
     try:

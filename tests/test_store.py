@@ -4,6 +4,7 @@ import datetime as dt
 import glob
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import Observation
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from opsboard import schema, storage
 from opsboard.operators.filters import Selection, apply_selection
+from opsboard.plans import service_board, testdata
 from opsboard.plans.service_board import ServiceBoard
 from opsboard.sources import export, services as source, store
 
@@ -283,3 +285,28 @@ def test_rows_are_put_aside_only_where_other_files_keep_them(spark, folder):
     ingest(spark, folder)
     assert spark.read.parquet(f"{folder}/store/restos").count() == 4  # those of 1.csv
     assert content(store.read_services(spark, f"{folder}/store")) == content(whole(spark, folder))
+
+
+# ---- disk ---------------------------------------------------------------------------------
+
+
+def shuffled(spark):
+    """Shuffle files on this machine's disks."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().endswith(".data")}
+
+
+def test_extracts_are_packed_and_leave_no_shuffle(spark, sf_dir):
+    before, setting = shuffled(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting, None)
+    paths = service_board._extract_files(spark, sf_dir)
+    until = time.time() + 20
+    while (left := shuffled(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(setting, None) == was
+    for view, path in paths.items():
+        files = [f for f in glob.glob(f"{path}/*") if not os.path.basename(f).startswith("_")]
+        assert files and all(f.endswith(".csv.gz") for f in files)
+        raw = source.read_extract(spark, path, "csv")
+        times = F.when((F.col("`ID CUENTA`") % 5 == 1) & (F.lit(view) == "gestion"), 2).otherwise(1)
+        assert raw.count() == testdata.raw_extract(spark, sf_dir, view).agg(F.sum(times)).first()[0] > 0
