@@ -5,14 +5,18 @@ A store is a folder of parquet tables:
 * ``servicios``, clean services by perspective and month, with the file each row came from;
 * ``rechazos``, rows that could not be read, by load;
 * ``libro``, the ledger: every file that was loaded, with size, time and the months it has rows in;
-* ``entrada``, ``recuento``, ``restos`` and ``pendiente``, what the load at hand is made of: its rows, how many of
-  them each file and month has, what the touched months keep of other files, and its entries for the ledger.
+* ``entrada``, ``recuento``, ``restos`` and ``pendiente``, what the load at hand is made of: its rows by destiny,
+  perspective and year, how many of them each file and month has, what the touched months keep of other files, and
+  its entries for the ledger.
 
 A load looks at the files on offer that the ledger does not know as they are. Their rows are read in one
 pass, put next to what the touched months hold from other files, and those months alone are written anew. A file
 that changed gives up its old rows; one that is no longer offered keeps them. Up to ``pendiente`` nothing
 readers see has changed; from then on the load can be finished from the store alone, and the next load does
 so first if this one was cut off. One load may run at a time.
+
+Months are written some at a time, as many as have ``ROWS_AT_A_TIME`` rows together, and what was shuffled for them
+is let go before the next: beside the tables a load needs disk for that many rows (or one month, if that has more).
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,10 +61,12 @@ REJECTS = T.StructType(
 )
 _DESTINY = T.StructField("destino", T.StringType())
 _ENTERED = T.StructType([*(f for f in REJECTS if f.name != "carga"), _DESTINY])
-_TAKEN = T.StructType([*STORED, _DESTINY])
+_YEAR = T.StructField("anio", T.IntegerType())
+_TAKEN = T.StructType([*STORED, _DESTINY, _YEAR])
 _TALLY = T.StructType([T.StructField("perspectiva", T.StringType()), _FILE, _DESTINY, T.StructField("mes", T.DateType()), T.StructField("filas", T.LongType())])
 _KNOWN = ["perspectiva", "archivo", "bytes", "modificado"]
 _COUNTS = ("filas", "pruebas", "fechas", "cantidades", "cargadas")
+ROWS_AT_A_TIME = 16_000_000
 
 
 @dataclass(frozen=True)
@@ -108,6 +115,30 @@ def _in_months(months: tuple[tuple[str, date | None], ...]) -> Column:
     return reduce(lambda a, b: a | b, map(of, sorted(by)), F.lit(False))
 
 
+def _batches(rows: Mapping[tuple[str, date | None], int]) -> list[tuple[tuple[str, date | None], ...]]:
+    """Months in the groups they are written in. A year goes whole where it can, as the rows of a load lie by year."""
+    batches: list[tuple[tuple[str, date | None], ...]] = []
+    size = 0
+    in_order = sorted(rows, key=lambda of: (of[0], str(of[1])))
+    for _, year in groupby(in_order, key=lambda of: (of[0], of[1] and of[1].year)):
+        months = tuple(year)
+        whole = sum(rows[m] for m in months) <= ROWS_AT_A_TIME
+        for part in [months] if whole else [(m,) for m in months]:
+            more = sum(rows[m] for m in part)
+            if not batches or size + more > ROWS_AT_A_TIME:
+                batches.append(())
+                size = 0
+            batches[-1] += part
+            size += more
+    return batches
+
+
+def _of_years(months: tuple[tuple[str, date | None], ...]) -> Column:
+    """Which years of a load's rows some months are in, as a filter that prunes directories. Rows without a year may be
+    those of a load that an earlier version put down in one folder."""
+    return F.col("anio").isin(sorted({month.year for _, month in months if month is not None})) | F.col("anio").isNull()
+
+
 def _offered(spark: SparkSession, inputs: Mapping[str, str]) -> DataFrame:
     lists = [listing(spark, path).withColumn("perspectiva", F.lit(view)) for view, path in inputs.items()]
     return reduce(DataFrame.unionByName, lists)
@@ -142,7 +173,7 @@ def ingest(
             raw = read_extract(spark, mine, fmt, archivo="archivo").withColumn("perspectiva", F.lit(view))
             parts.append((seen, sorted_out(raw, seen, date_format, test_accounts)))
     rows = reduce(DataFrame.unionByName, [part for _, part in parts])
-    _put(rows, f"{store}/entrada")
+    _put(rows.withColumn("anio", F.year("mes")), f"{store}/entrada", "destino", "perspectiva", "anio")
     counts = {name: sum(seen.get[name] for seen, _ in parts) for name in _COUNTS}
 
     entered = spark.read.schema(_TAKEN).parquet(f"{store}/entrada")
@@ -195,14 +226,16 @@ def _apply(spark: SparkSession, store: str, months: tuple[tuple[str, date | None
     """Bring the load at hand into the tables readers see. May be repeated."""
     kept = spark.read.schema(STORED).parquet(f"{store}/restos")
     taken = spark.read.schema(_TAKEN).parquet(f"{store}/entrada").filter(F.col("destino") == GOOD)
-    merged = kept.unionByName(taken.select(*STORED.names))
     waiting = spark.read.schema(LEDGER).parquet(f"{store}/pendiente")
     carga = waiting.first()["carga"]
-    write_services(merged, f"{store}/servicios", "overwrite", only_months=True)
     tally = spark.read.schema(_TALLY).parquet(f"{store}/recuento").filter(F.col("destino") == GOOD)
-    filled = kept.select("perspectiva", "mes").unionByName(tally.select("perspectiva", "mes")).distinct()
-    left = {(r["perspectiva"], r["mes"]) for r in filled.collect()}
-    for view, month in set(months) - left:
+    held = kept.select("perspectiva", "mes", F.lit(1).cast("long").alias("filas")).unionByName(tally.select("perspectiva", "mes", "filas"))
+    left = held.groupBy("perspectiva", "mes").agg(F.sum("filas").alias("filas")).collect()  # at most the calendar
+    filled = {(r["perspectiva"], r["mes"]): r["filas"] for r in left}
+    for some in _batches(filled) or [()]:
+        merged = kept.unionByName(taken.filter(_of_years(some)).select(*STORED.names)).filter(_in_months(some))
+        write_services(merged, f"{store}/servicios", "overwrite", only_months=True)
+    for view, month in set(months) - set(filled):
         name = "__HIVE_DEFAULT_PARTITION__" if month is None else month.isoformat()
         delete(spark, f"{store}/servicios/perspectiva={view}/mes={name}")
     entered = spark.read.schema(_ENTERED).parquet(f"{store}/entrada")

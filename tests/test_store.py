@@ -310,3 +310,49 @@ def test_extracts_are_packed_and_leave_no_shuffle(spark, sf_dir):
         raw = source.read_extract(spark, path, "csv")
         times = F.when((F.col("`ID CUENTA`") % 5 == 1) & (F.lit(view) == "gestion"), 2).otherwise(1)
         assert raw.count() == testdata.raw_extract(spark, sf_dir, view).agg(F.sum(times)).first()[0] > 0
+
+
+def test_months_are_written_some_at_a_time(spark, folder, monkeypatch):
+    write(f"{folder}/in/2.csv", [line("C1", str(k), f"2026-{k:02d}-03") for k in range(1, 13)] + [line("C2", periodo="")])
+    sizes, real = [], store.write_services
+
+    def counted(rows, *args, **options):
+        sizes.append(rows.count())
+        real(rows, *args, **options)
+
+    monkeypatch.setattr(store, "write_services", counted)
+    monkeypatch.setattr(store, "ROWS_AT_A_TIME", 5)
+    load = ingest(spark, folder)
+    assert len(sizes) > 3 and max(sizes) <= 5 and sum(sizes) == load.cargadas == 21
+    assert content(store.read_services(spark, f"{folder}/store")) == content(whole(spark, folder))
+    write(f"{folder}/in/1.csv", [line("C7", "70", "2026-05-01")])
+    stamp(f"{folder}/in/1.csv", 2_000_000_000)
+    ingest(spark, folder)
+    assert content(store.read_services(spark, f"{folder}/store")) == content(whole(spark, folder))
+
+
+def test_batches_hold_every_month_once(monkeypatch):
+    monkeypatch.setattr(store, "ROWS_AT_A_TIME", 10)
+    months = {("gestion", dt.date(2024 + n // 12, n % 12 + 1, 1)): 1 + n // 12 * n for n in range(24)}
+    months |= {("apertura", None): 4, ("apertura", dt.date(2024, 2, 1)): 3, ("apertura", dt.date(2023, 2, 1)): 3}
+    batches = store._batches(months)
+    assert sorted((m for b in batches for m in b), key=repr) == sorted(months, key=repr)
+    assert all(len(b) == 1 or sum(months[m] for m in b) <= 10 for b in batches)
+    assert batches[0] == (("apertura", dt.date(2023, 2, 1)), ("apertura", dt.date(2024, 2, 1)), ("apertura", None))
+    assert store._batches({}) == []
+
+
+def test_a_load_put_down_in_one_folder_is_finished(spark, folder, monkeypatch):
+    def cut(*args, **options):
+        raise RuntimeError("lost")
+
+    real = store.write_services
+    monkeypatch.setattr(store, "write_services", cut)
+    with pytest.raises(RuntimeError):
+        ingest(spark, folder)
+    monkeypatch.setattr(store, "write_services", real)
+    entered = spark.read.parquet(f"{folder}/store/entrada").drop("anio").collect()
+    struct = spark.read.parquet(f"{folder}/store/entrada").drop("anio").schema
+    spark.createDataFrame(entered, struct).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{folder}/store/entrada")
+    assert store.finish(spark, f"{folder}/store")
+    assert content(store.read_services(spark, f"{folder}/store")) == content(whole(spark, folder))
